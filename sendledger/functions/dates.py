@@ -19,6 +19,7 @@ SHEET_DAY = r"^([^/]*)/([^/]*)/([^/]*)\z"
 NAME_SHORT_YEAR = r"(\d{1,2})-([A-Za-z]{3})'(\d{2})"
 NAME_NO_YEAR = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3})"
 
+QUOTES = ["'", '"']
 FIRST_OLD_YEAR = 2070
 UNKNOWN_MONTH = "unknown"
 
@@ -34,14 +35,13 @@ def parse_report_ts(c: Column) -> Column:
     Empty text and anything holding "in process" is NULL; one outer quote on
     either side is dropped.
     """
-    text = strip(F.regexp_replace(c, "^[\"']|[\"']\\z", ""))
-    month, day, year, hour, minute = (F.regexp_extract(text, REPORT_MINUTE, i) for i in range(1, 6))
-    iso = F.concat(
-        year, F.lit("-"), _pad2(month), F.lit("-"), _pad2(day),
-        F.lit(" "), _pad2(hour), F.lit(":"), minute, F.lit(":00"),
-    )
+    quoted = F.left(c, F.lit(1)).isin(QUOTES) | F.right(c, F.lit(1)).isin(QUOTES)
+    text = strip(F.when(quoted, F.regexp_replace(c, "^[\"']|[\"']\\z", "")).otherwise(c))
+    # Zeros are put before every part, then taken from those of two digits.
+    padded = F.regexp_replace(text, REPORT_MINUTE, "$3-0$1-0$2 0$4:$5:00")
+    iso = F.regexp_replace(padded, r"([- ])0(\d\d)(?=[-: ])", "$1$2")
     empty = (strip(c) == "") | F.lower(c).contains("in process")
-    return F.when(~empty, F.when(text.rlike(REPORT_MINUTE), iso).otherwise(text))
+    return F.when(~empty, F.when(c.contains("/") & text.rlike(REPORT_MINUTE), iso).otherwise(text))
 
 
 def sheet_date(c: Column) -> Column:

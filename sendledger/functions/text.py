@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Blanks a JavaScript or C trim would remove, beyond Java's ASCII ``\s``.
-BLANK = r"[\s\u00a0\ufeff]"
+# FIXED VALUES: the characters counted as blank around a cell.
+BLANKS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 INTEGER_HEAD = r"^\s*([+-]?\d+)"
 FLOAT_HEAD = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def or_null(c: Column) -> Column:
     """Empty text becomes NULL."""
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def same_text(c: Column, value: Column | str) -> Column:
@@ -37,7 +40,9 @@ def plain_mobile(c: Column) -> Column:
 
 
 def clean_txn_id(c: Column) -> Column:
-    return or_null(F.regexp_replace(strip(c), r"'|\s+$", ""))
+    """Apostrophes and blanks at the end dropped; empty is NULL."""
+    cell = strip(c)
+    return or_null(F.when(cell.contains("'"), F.regexp_replace(cell, r"'|\s+\z", "")).otherwise(cell))
 
 
 def clean_tag_id(c: Column) -> Column:

@@ -40,6 +40,7 @@ LOG = Table("message_log", S.MESSAGE_LOG, ("month", "mapping_key"), ("month", "m
 DND = Table("dnd", S.DND, ("month", "mapping_key"), ("month", "mapping_key", "source"))
 DONE = Table("campaign_done", S.CAMPAIGN_DONE, ("month", "done_key"), ("month", "done_key", "source"))
 PROMO = Table("promotions_log", S.PROMOTIONS, ("month",), ("month", "source"))
+REJECTED = Table("rejected_files", S.REJECTED, (), ("file_path",))
 
 
 @dataclass(frozen=True)

@@ -83,6 +83,9 @@ CDR = layout(
     "additionalData string, cdr_date date"
 )
 TEMPLATES = texts("tempid", "sender", "count", "text", "type", "month")
+REJECTED = (
+    texts("source", "file_path").add("missing", T.ArrayType(T.StringType())).add("reason", T.StringType())
+)
 LEDGER = layout("date string, filename string, filepath string, uploaded_at timestamp_ntz")
 
 # FIXED VALUES: column order of the lead sheets, by feed and sheet.

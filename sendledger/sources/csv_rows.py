@@ -9,10 +9,11 @@ by counting quotes. Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from sendledger.functions.text import strip
 from sendledger.schemas import texts
 from sendledger.session import settle
 
@@ -30,45 +31,56 @@ def csv_cells(
     the rows of one file.
     """
     columns = texts(*[f"c{i}" for i in range(width)])
-    cells = F.array(*[F.col(n) for n in columns.names]).alias("cells")
-    size = F.col("_metadata.file_size")
-    whole = (
+    smallest, largest = _size_range(spark, paths)
+    ways = []
+    if largest is None or smallest <= whole_file_limit:
+        ways.append(_whole_files(spark, paths, columns, whole_file_limit))
+    if largest is not None and largest > whole_file_limit:
+        ways.append(_split_files(spark, paths, columns, whole_file_limit))
+    return reduce(DataFrame.unionByName, ways)
+
+
+def _size_range(spark: SparkSession, paths) -> tuple[int | None, int | None]:
+    """Smallest and largest file size; looks at names and sizes only."""
+    files = spark.read.format("binaryFile").load(paths)
+    return tuple(files.agg(F.min("length"), F.max("length")).first())
+
+
+def _whole_files(spark: SparkSession, paths, columns: T.StructType, limit: int) -> DataFrame:
+    return (
         spark.read.schema(columns)
         .options(header=True, multiLine=True, **CSV_OPTIONS)
         .csv(paths)
-        .where(size <= whole_file_limit)
+        .where(F.col("_metadata.file_size") <= limit)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
             F.lit(0).cast("bigint").alias("block"),
             F.monotonically_increasing_id().alias("pos"),
-            cells,
+            F.array(*columns.names).alias("cells"),
         )
     )
-    lines = _lines(spark, paths).where(F.col("file_size") > whole_file_limit)
-    parsed = F.from_csv("record", columns.simpleString()[7:-1].replace(":", " "), CSV_OPTIONS)
-    split = (
-        _records(lines)
+
+
+def _split_files(spark: SparkSession, paths, columns: T.StructType, limit: int) -> DataFrame:
+    ddl = ", ".join(f"{n} string" for n in columns.names)
+    return (
+        _records(_lines(spark.read.text(paths).where(F.col("_metadata.file_size") > limit)))
         .where(~F.col("is_header"))
-        .withColumn("row", parsed)
+        .withColumn("row", F.from_csv("record", ddl, CSV_OPTIONS))
         .select(
             "file_path", "block", "pos",
             F.array(*[F.col(f"row.{n}") for n in columns.names]).alias("cells"),
         )
     )
-    return whole.unionByName(split)
 
 
-def _lines(spark: SparkSession, paths) -> DataFrame:
-    return (
-        spark.read.text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_size").alias("file_size"),
-            F.col("_metadata.file_block_start").alias("block"),
-            # Rising within a split; splits are ordered by their start.
-            F.monotonically_increasing_id().alias("pos"),
-            "value",
-        )
+def _lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        # Rising within a split; splits are ordered by their start.
+        F.monotonically_increasing_id().alias("pos"),
+        "value",
     )
 
 
@@ -129,8 +141,7 @@ def _records(lines: DataFrame) -> DataFrame:
 def file_heads(spark: SparkSession, paths) -> DataFrame:
     """One row per file: ``file_path, header`` (its first line)."""
     return (
-        _lines(spark, paths)
-        .where(F.col("block") == 0)
+        _lines(spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0))
         .groupBy("file_path")
         .agg(F.min_by("value", "pos").alias("header"))
     )
@@ -140,7 +151,7 @@ def header_names(header: Column) -> Column:
     """The names of a header line: BOM and quotes dropped, trimmed, blanks as ``_``."""
     parts = F.split(F.regexp_replace(header, r"^\ufeff|\r\z", ""), OUTSIDE_QUOTES_COMMA)
     return F.transform(
-        parts, lambda p: F.regexp_replace(F.replace(F.trim(p), F.lit('"'), F.lit("")), r"\s+", "_")
+        parts, lambda p: F.regexp_replace(strip(F.replace(p, F.lit('"'), F.lit(""))), r"\s+", "_")
     )
 
 
@@ -150,11 +161,12 @@ def named_cells(
     heads: DataFrame,
     wanted: list[str],
     whole_file_limit: int = WHOLE_FILE_LIMIT,
-) -> tuple[DataFrame, Callable[[str], Column]]:
-    """Rows of the files in ``heads`` and a function giving a column by its name.
+) -> DataFrame:
+    """Rows of the files in ``heads`` with the wanted columns by name.
 
-    ``heads`` holds ``file_path, names``. Each file may order its columns in its
-    own way; the place of each wanted name travels with the file.
+    ``heads`` holds ``file_path, names`` and whatever else should stay with the
+    rows. Each file may order its columns in its own way; the place of each
+    wanted name travels with the file. A column the file lacks is NULL.
     """
     places = settle(
         heads.withColumn(
@@ -163,10 +175,7 @@ def named_cells(
     )
     width = places.agg(F.max(F.array_max("places"))).first()[0] or 1
     rows = csv_cells(spark, paths, width, whole_file_limit).join(places, "file_path")
-
-    def cell(name: str) -> Column:
-        place = F.element_at("places", wanted.index(name) + 1)
-        # Place 0 means the file lacks the column.
-        return F.when(place > 0, F.get("cells", place - 1))
-
-    return rows, cell
+    kept = [c for c in places.columns if c not in ("file_path", "places")]
+    return rows.select(
+        *kept, *[F.get("cells", F.get("places", F.lit(i)) - 1).alias(n) for i, n in enumerate(wanted)]
+    )

@@ -68,7 +68,7 @@ def read_templates(spark: SparkSession, path, whole_file_limit: int = WHOLE_FILE
     heads = file_heads(spark, path).select(
         "file_path", header_names(F.col("header")).alias("names")
     )
-    rows, cell = named_cells(spark, path, heads, list(TEMPLATE_HEADERS), whole_file_limit)
+    rows = named_cells(spark, path, heads, list(TEMPLATE_HEADERS), whole_file_limit)
     return rows.select(
-        [F.coalesce(cell(h), F.lit("")).alias(n) for h, n in TEMPLATE_HEADERS.items()]
+        [F.coalesce(F.col(h), F.lit("")).alias(n) for h, n in TEMPLATE_HEADERS.items()]
     )

@@ -55,29 +55,29 @@ def read_delivery_reports(
         "source", "file_path", "missing", "reason"
     )
     accepted = judged.where(F.col("reason").isNull()).select("file_path", "source", "names")
-    rows, cell = named_cells(spark, paths, accepted, REPORT_HEADERS, whole_file_limit)
+    rows = named_cells(spark, paths, accepted, REPORT_HEADERS, whole_file_limit)
 
     def kept(c: Column) -> Column:
         # These fields keep an empty cell as empty text, not NULL.
         return F.coalesce(c, F.lit(""))
 
     cleaned = {
-        "transaction_id": clean_txn_id(cell("transaction_id")),
-        "message_id": kept(strip(cell("message_id"))),
-        "mobileNo": plain_mobile(cell("mobile")),
-        "sender": kept(cell("sender_name")),
-        "text": kept(cell("text_message")),
-        "type": kept(cell("type")),
-        "length": lead_int(cell("length")).cast("string"),
-        "cost": number_text(lead_float(cell("cost"))),
-        "status": kept(strip(cell("status"))),
-        "cause": kept(cell("cause")),
-        "channel_name": kept(cell("channel_name")),
-        "submit_time": parse_report_ts(cell("submitted_time")),
-        "delivered_time": parse_report_ts(cell("delivered_time")),
-        "ip": kept(strip(cell("ip"))),
-        "entity_id": clean_tag_id(cell("entity_id")),
-        "template_id": clean_tag_id(cell("template_id")),
+        "transaction_id": clean_txn_id(F.col("transaction_id")),
+        "message_id": kept(strip(F.col("message_id"))),
+        "mobileNo": plain_mobile(F.col("mobile")),
+        "sender": kept(F.col("sender_name")),
+        "text": kept(F.col("text_message")),
+        "type": kept(F.col("type")),
+        "length": lead_int(F.col("length")).cast("string"),
+        "cost": number_text(lead_float(F.col("cost"))),
+        "status": kept(strip(F.col("status"))),
+        "cause": kept(F.col("cause")),
+        "channel_name": kept(F.col("channel_name")),
+        "submit_time": parse_report_ts(F.col("submitted_time")),
+        "delivered_time": parse_report_ts(F.col("delivered_time")),
+        "ip": kept(strip(F.col("ip"))),
+        "entity_id": clean_tag_id(F.col("entity_id")),
+        "template_id": clean_tag_id(F.col("template_id")),
         "source": F.col("source"),
         "circle": F.lit(UNKNOWN_CIRCLE),
         **{name: F.lit(campaign.get(name)).cast("string") for name in CAMPAIGN_FIELDS},

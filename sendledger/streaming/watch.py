@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sendledger.operators.existence import unseen
 from sendledger.operators.reports import counters
-from sendledger.plans.ingest import Store, ingest
+from sendledger.plans.ingest import REJECTED, Store, ingest
 from sendledger.sources.reports import read_delivery_reports
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_BATCH = 10
+GLOB_CHARS = r"[\[\]{}*?\\]"
 
 
 def watch_reports(
@@ -28,7 +32,8 @@ def watch_reports(
 
     Only names travel through the stream (the content column is never read).
     The load skips stored sources, so a batch run again after a failure adds
-    nothing twice. ``once`` drains the folder and stops.
+    nothing twice. Files turned away are noted in the store. ``once`` drains the
+    folder and stops.
     """
     names = (
         spark.readStream.format("binaryFile")
@@ -40,9 +45,14 @@ def watch_reports(
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        paths = [r["path"] for r in batch.collect()]
+        # At most files_per_batch names. The source may give a name with glob
+        # characters twice, and readers take names as glob patterns.
+        names = [r["path"] for r in batch.distinct().collect()]
+        paths = [re.sub(GLOB_CHARS, r"\\\g<0>", name) for name in names]
         if paths:
-            rows, _rejected = read_delivery_reports(batch.sparkSession, paths, campaign)
+            rows, rejected = read_delivery_reports(batch.sparkSession, paths, campaign)
+            noted = unseen(rejected, store.read(REJECTED), ["file_path"])
+            noted.select(REJECTED.schema.names).write.mode("append").parquet(store.path(REJECTED))
             ingest(rows, store, mapping, region)
 
     writer = names.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
