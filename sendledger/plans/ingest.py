@@ -1,9 +1,10 @@
 """Idempotent loads of campaign rows into the four stored tables.
 
-The cleaned rows are settled once in the shared folder; the tables are four
-projections of them. Each append skips rows whose (month, key, source) the table
-holds, so a load cut short can simply be run again. The message log comes last:
-it is the table that says whether a file was loaded.
+The cleaned rows are grouped by month and key and settled once in the shared
+folder; the tables are four projections of them, written without another
+shuffle. Each append skips rows whose (month, key, source) the table holds, so a
+load cut short can simply be run again. The message log comes last: it is the
+table that says whether a file was loaded.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from sendledger.operators.enrich import mapping_key, with_circle, with_error_tex
 from sendledger.operators.existence import known_keys, same_messages, unseen
 from sendledger.session import settle
 from sendledger.sources.reports import NOT_GIVEN
-from sendledger.sources.store import month_text, read_table, write_month_partitioned
+from sendledger.sources.store import grouped, month_text, read_table, write_month_partitioned
+
+# Up to this many months a load names the stored months it compares with.
+MOST_MONTHS = 240
 
 # FIXED VALUES: channel name and place of the ids in a call-detail record.
 CDR_CHANNEL_NAME = "UI"
@@ -99,16 +103,34 @@ def to_promo(df: DataFrame) -> DataFrame:
     )
 
 
-def _stored_keys(store: Store, table: Table, batch: DataFrame) -> DataFrame:
-    """Keys of the batch the table holds already, settled so their size is known."""
-    return settle(known_keys(batch, store.read(table), list(table.keys)))
+def _settled_stage(rows: DataFrame) -> DataFrame:
+    return settle(grouped(rows, "month", "mapping_key"))
+
+
+def batch_months(stage: DataFrame) -> list[str] | None:
+    """The months of a batch, or None when stray dates make them too many to list."""
+    months = [r["month"] for r in stage.select("month").distinct().limit(MOST_MONTHS + 1).collect()]
+    return months if len(months) <= MOST_MONTHS else None
+
+
+def _stored_keys(store: Store, table: Table, batch: DataFrame, months: list[str] | None) -> DataFrame:
+    """Keys of the batch the table holds already, settled so their size is known.
+
+    Only the batch's months of the table are read.
+    """
+    stored = store.read(table)
+    if months is not None:
+        stored = stored.where(F.col("month").isin(months))
+    return settle(known_keys(batch, stored, list(table.keys)))
 
 
-def append_new(df: DataFrame, store: Store, table: Table, batch: DataFrame | None = None) -> None:
+def append_new(
+    df: DataFrame, store: Store, table: Table, months: list[str] | None = None, is_grouped: bool = False
+) -> None:
     """Append the rows whose source the table does not hold yet."""
-    known = _stored_keys(store, table, df if batch is None else batch)
+    known = _stored_keys(store, table, df, months)
     fresh = unseen(df, known, list(table.keys))
-    write_month_partitioned(fresh, store.path(table), table.partitions)
+    write_month_partitioned(fresh, store.path(table), table.partitions, is_grouped)
 
 
 @dataclass(frozen=True)
@@ -122,13 +144,14 @@ def ingest(
     sender: str | None = None, month: str | None = None,
 ) -> Loaded:
     """Load staged rows into all four tables; returns what was new and what was not."""
-    stage = settle(route(with_circle(staged, region), mapping, sender, month))
-    known = _stored_keys(store, LOG, stage).select("source").distinct()
+    stage = _settled_stage(route(with_circle(staged, region), mapping, sender, month))
+    months = batch_months(stage)
+    known = _stored_keys(store, LOG, stage, months).select("source").distinct()
     fresh = unseen(stage, known, ["source"])
-    append_new(to_dnd(fresh), store, DND)
-    append_new(to_done(fresh), store, DONE)
-    append_new(to_promo(fresh), store, PROMO)
-    append_new(to_log(fresh), store, LOG)
+    for rows, table in (
+        (to_dnd(fresh), DND), (to_done(fresh), DONE), (to_promo(fresh), PROMO), (to_log(fresh), LOG),
+    ):
+        append_new(rows, store, table, months, is_grouped=True)
     return Loaded(fresh, known)
 
 
@@ -136,12 +159,13 @@ def ingest_numbers(
     staged: DataFrame, store: Store, mapping: DataFrame, region: DataFrame, date: str
 ) -> Loaded:
     """Load a number list into the campaign table and the promotions log only."""
-    stage = settle(route(with_circle(staged, region), mapping, month=month_text(date)))
-    known = _stored_keys(store, DONE, stage).select("source").distinct()
+    stage = _settled_stage(route(with_circle(staged, region), mapping, month=month_text(date)))
+    months = batch_months(stage)
+    known = _stored_keys(store, DONE, stage, months).select("source").distinct()
     fresh = unseen(stage, known, ["source"])
     # The campaign table decides whether a list was loaded, so it comes last.
-    append_new(to_promo(fresh), store, PROMO)
-    append_new(to_done(fresh), store, DONE)
+    for rows, table in ((to_promo(fresh), PROMO), (to_done(fresh), DONE)):
+        append_new(rows, store, table, months, is_grouped=True)
     return Loaded(fresh, known)
 
 

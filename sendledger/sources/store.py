@@ -25,15 +25,24 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def write_month_partitioned(
-    df: DataFrame, path: str, partitions: tuple[str, ...] = ("month", "mapping_key")
-) -> None:
-    """Append, with files grouped by partition.
+def grouped(df: DataFrame, *partitions: str) -> DataFrame:
+    """Rows brought together by partition before a write.
 
     The rebalance splits a partition that holds much of the data over many
     tasks and joins small ones, so neither one task nor many tiny files result.
     """
-    df.hint("rebalance", *partitions).write.partitionBy(*partitions).mode("append").parquet(path)
+    return df.hint("rebalance", *partitions)
+
+
+def write_month_partitioned(
+    df: DataFrame,
+    path: str,
+    partitions: tuple[str, ...] = ("month", "mapping_key"),
+    is_grouped: bool = False,
+) -> None:
+    """Append by partition; rows that are grouped already are not shuffled again."""
+    rows = df if is_grouped else grouped(df, *partitions)
+    rows.write.partitionBy(*partitions).mode("append").parquet(path)
 
 
 def month_text(day: date | str) -> str:
@@ -46,7 +55,7 @@ def read_months(df: DataFrame, start, end) -> DataFrame:
 
 
 def write_cdr(df: DataFrame, path: str) -> None:
-    df.hint("rebalance", "cdr_date").write.partitionBy("cdr_date").mode("append").parquet(path)
+    write_month_partitioned(df, path, ("cdr_date",))
 
 
 def read_cdr(spark: SparkSession, path: str, day) -> DataFrame:
@@ -85,9 +94,9 @@ def replace_table(df: DataFrame, path: str) -> None:
     )
 
 
-def replace_month(df: DataFrame, path: str, month: str) -> None:
+def replace_month(df: DataFrame, path: str, month: str, column: str = "month") -> None:
     """Replace one month of a feed by ``df``, also when ``df`` holds no row."""
-    df.write.mode("overwrite").parquet(f"{path}/month={month}")
+    df.write.mode("overwrite").parquet(f"{path}/{column}={month}")
 
 
 # --- upload ledger -----------------------------------------------------------------

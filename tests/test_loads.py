@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from sendledger import schemas as C
 from sendledger.operators import enrich, existence, feed_b, mapping as M, quality, reports as R
+from sendledger.operators.feed_a import feed_a_counts
+from sendledger.operators.feed_c import funnel
 from sendledger.operators.paging import page, page_info
 from sendledger.operators.templates import refresh_templates
 from sendledger.plans import ingest as I
-from sendledger.plans.feeds import append_feed, first_per_phone
+from sendledger.plans.feeds import (
+    LOADED, append_feed, first_per_phone, ledger_path, load_feed, read_stored_feed,
+)
+from sendledger.plans.tables import change_mappings, load_templates, save_mappings
+from sendledger.session import settle
 from sendledger.sources import store as S
 from sendledger.sources.reports import read_delivery_reports
 from sendledger.streaming.watch import hourly_counts, running_counts, stream_table, watch_reports
@@ -316,3 +322,79 @@ def test_hourly_counts_close_hours(spark, tmp_path):
     stream = stream_table(spark, str(tmp_path / "log"), rows.schema)
     closed = run_stream(spark, hourly_counts(stream), "append", "closed", str(tmp_path / "cp")).collect()
     assert sorted((r["hour"]["start"].day, r["submitted_count"]) for r in closed) == [(1, 2), (2, 2)]
+
+
+def sheet(folder, feed, kind, rows):
+    names = C.FEEDS[(feed, kind)]
+    lines = [",".join(names)] + [",".join(r.get(n, "") for n in names) for r in rows]
+    put(folder, f"{kind}.csv", "\n".join(lines) + "\n")
+
+
+def test_feed_a_load(spark, tmp_path):
+    root = str(tmp_path / "store")
+    day = {"report_date": "4/5/25", "utm_medium": "x_05_04_2025"}
+    sheet(tmp_path, "A", "leads", [{**day, "phone": "1"}, {**day, "phone": "1", "city": "late"}, {**day, "phone": "2"}])
+    sheet(tmp_path, "A", "sales", [{**day, "phone": "1", "amount": "10.5"}])
+    assert load_feed(spark, str(tmp_path), "Leads 5-Apr'25.xlsx", "A", root, "2025-04")
+    assert not load_feed(spark, str(tmp_path), "Leads 5-Apr'25.xlsx", "A", root, "2025-04")
+    sheet(tmp_path, "A", "leads", [{**day, "phone": "2"}, {**day, "phone": "3"}])
+    assert load_feed(spark, str(tmp_path), "Leads 6-Apr'25.xlsx", "A", root, "2025-04")
+    leads = read_stored_feed(spark, root, "A", "leads", "2025-04")
+    assert sorted((r["id"], r["phone"]) for r in leads.collect())[2] == (3, "3")
+    assert leads.where("city = ''").count() == 3
+    (r,) = feed_a_counts(leads, read_stored_feed(spark, root, "A", "sales")).collect()
+    assert (r["extracted_date"], r["lead_count"], r["sale_count"]) == ("05_04_2025", 3, 1)
+    ledger = S.read_table(spark, ledger_path(root, "A"), C.LEDGER)
+    assert sorted(r["date"] for r in ledger.collect()) == ["05/04/2025", "06/04/2025"]
+
+
+def test_feed_b_load_replaces(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for i, ids in enumerate((["1", "2"], ["3"])):
+        sheet(tmp_path, "B", "leads", [{"lead_date": "5-Apr-25".zfill(9), "lead_id": x} for x in ids])
+        assert load_feed(spark, str(tmp_path), f"Leads {i}.xlsx", "B", root, "2025-04")
+    rows = read_stored_feed(spark, root, "B", "leads", "2025-04").collect()
+    assert [(r["lead_id"], str(r["lead_date"])) for r in rows] == [("3", "2025-04-05")]
+
+
+def test_feed_c_load_appends(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for i, ids in enumerate((["1", "1"], ["1", "2"])):
+        sheet(tmp_path, "C", "leads", [{"offer_id": x, "utm_campaign": "A_SM_0504", "bt_f": "BT"} for x in ids])
+        for kind in ("login", "approval", "disbursal"):
+            sheet(tmp_path, "C", kind, [{"customer_id": x, "utm_campaign": "A_SM_0504", "bt": "Fresh"} for x in ids])
+        assert load_feed(spark, str(tmp_path), f"Leads {i}.xlsx", "C", root, "2025-04")
+    stages = {k: read_stored_feed(spark, root, "C", k, "2025-04") for k in LOADED["C"]}
+    (r,) = funnel(stages, "2025-04-05", "2025-04-05").collect()
+    assert (r["lead_count"], r["lead_bt_count"], r["login_fresh_count"], r["disb_count"]) == (3, 3, 3, 3)
+    assert (r["campaign_type"], str(r["formatted_date"])) == ("SMS", "2025-04-05")
+
+
+def test_mapping_table(spark, tmp_path, mapping):
+    path = str(tmp_path / "mapping")
+    new = mapping.drop("id")
+    added, exists = save_mappings(new, path)
+    assert (added.count(), exists.count()) == (2, 0)
+    added, exists = save_mappings(new, path)
+    assert (added.count(), exists.count()) == (0, 2)
+    stored = S.read_current(spark, path, C.MAPPING)
+    assert sorted(r["id"] for r in stored.collect()) == [1, 2]
+    change_mappings(stored.withColumn("mapping", F.lit("new")).withColumn("rcs_mapping", F.lit("r")), path)
+    assert {r["mapping"] for r in S.read_current(spark, path, C.MAPPING).collect()} == {"new"}
+
+
+def test_template_table(spark, tmp_path):
+    put(tmp_path, "t.csv", "TemplateId,Sender,Count,Text\n'1,S,2,\"a,\nb\"\n'2,S,1,c\n")
+    listed = spark.createDataFrame([("'2",)], "tempid string")
+    for _ in range(2):
+        load_templates(spark, str(tmp_path / "t.csv"), str(tmp_path / "templates"), listed, "K", "apr25")
+    (r,) = S.read_current(spark, str(tmp_path / "templates"), C.TEMPLATES).collect()
+    assert r.asDict() == {"tempid": "1", "sender": "S", "count": "2", "text": "a,\nb", "type": "K", "month": "apr25"}
+
+
+def test_hot_source_needs_no_shuffle_of_rows(spark, tmp_path, mapping, region):
+    """Rows meet the known sources by broadcast, so a hot source stays spread."""
+    rows = staged(spark, [{"source": "hot"}] * 50 + [{"source": "cold"}])
+    known = settle(existence.known_keys(rows, rows.where("source = 'cold'"), ["source"]))
+    plan = existence.unseen(rows, known, ["source"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("BroadcastHashJoin")[0]
