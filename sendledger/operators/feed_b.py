@@ -46,19 +46,24 @@ def feed_b_counts(
 ) -> DataFrame:
     """Qualified, not qualified and all leads by day, camp type and referrer."""
     _same_month(start, end)
-    return (
+    # Counted by full referrer first, so that rows are hashed and not sorted.
+    counted = (
         on_days(leads, "lead_date", start, end)
         .where(camp_filter(camp, camp_type, ref))
-        .groupBy(
-            "lead_date", "camp_type",
-            F.substring_index("reffer_id_source", "-", -2).alias("extracted_reffer_id"),
-        )
+        .groupBy("lead_date", "camp_type", "reffer_id_source")
         .agg(
-            F.min("reffer_id_source").alias("reffer_id_source"),
             tally(same_text(F.col("lead_category"), "NQL")).alias("NQL"),
             tally(same_text(F.col("lead_category"), "QL")).alias("QL"),
             F.count(F.lit(1)).alias("total_leads"),
         )
+    )
+    short = F.substring_index("reffer_id_source", "-", -2).alias("extracted_reffer_id")
+    return (
+        counted.groupBy("lead_date", "camp_type", short)
+        .agg(
+            F.min("reffer_id_source").alias("reffer_id_source"),
+            *[F.sum(c).alias(c) for c in ("NQL", "QL", "total_leads")],
+        )
         .orderBy("lead_date", "camp_type", "extracted_reffer_id")
     )
 

@@ -65,12 +65,20 @@ def campaign_summary(
     """
     rows = on_days(by(log, sender=sender), submit_day(log), start, end)
     cut = head_parts(F.col("source"), ".", 1)
-    grouped = rows.groupBy(
+    keys = ["raw_source", "circle", "date", "submitted_date"]
+    counted = rows.groupBy(
         (cut if collapse else F.col("source")).alias("raw_source"),
         "circle",
         minute_of(F.col("submit_time")).alias("date"),
         submit_day(rows).alias("submitted_date"),
-    ).agg(F.min("sender").alias("product_name"), *counters())
+        "sender",
+    ).agg(*counters())
+    # Spellings of the sender meet here: a minimum of text next to the row
+    # counts would make Spark sort all rows instead of hashing them.
+    grouped = counted.groupBy(*keys).agg(
+        F.min("sender").alias("product_name"),
+        *[F.sum(c).alias(c) for c in counted.columns if c.endswith("_count")],
+    )
     return grouped.orderBy("raw_source", "circle", "date").select(
         label(F.col("raw_source"), PRODUCT_RULES, PRODUCT_DEFAULT).alias("product_key"),
         "circle",

@@ -148,10 +148,10 @@ def ingest(
     months = batch_months(stage)
     known = _stored_keys(store, LOG, stage, months).select("source").distinct()
     fresh = unseen(stage, known, ["source"])
-    for rows, table in (
-        (to_dnd(fresh), DND), (to_done(fresh), DONE), (to_promo(fresh), PROMO), (to_log(fresh), LOG),
-    ):
+    for rows, table in ((to_dnd(fresh), DND), (to_done(fresh), DONE), (to_promo(fresh), PROMO)):
         append_new(rows, store, table, months, is_grouped=True)
+    # No fresh source is in the log: that is how it was told apart above.
+    write_month_partitioned(to_log(fresh), store.path(LOG), LOG.partitions, is_grouped=True)
     return Loaded(fresh, known)
 
 
@@ -163,9 +163,9 @@ def ingest_numbers(
     months = batch_months(stage)
     known = _stored_keys(store, DONE, stage, months).select("source").distinct()
     fresh = unseen(stage, known, ["source"])
+    append_new(to_promo(fresh), store, PROMO, months, is_grouped=True)
     # The campaign table decides whether a list was loaded, so it comes last.
-    for rows, table in ((to_promo(fresh), PROMO), (to_done(fresh), DONE)):
-        append_new(rows, store, table, months, is_grouped=True)
+    write_month_partitioned(to_done(fresh), store.path(DONE), DONE.partitions, is_grouped=True)
     return Loaded(fresh, known)
 
 
