@@ -7,19 +7,19 @@ from pyspark.sql import Column, functions as F
 from sendledger.functions.text import or_null, strip
 
 # FIXED VALUES: date layouts found in the input files.
-ISO_DAY = "yyyy-MM-dd"
-DAY_MONTH_NAME = "dd-MMM-yy"
-ISO_SECOND = "yyyy-MM-dd HH:mm:ss"
+ISO_DAY = "yyyy-M-d"
+DAY_MONTH_NAME = "d-MMM-yy"
+ISO_SECOND = "yyyy-M-d H:m:s"
 US_DAY = ("M/d/yyyy", "M/d/yy")
 DAY_KEY = "d_M_yyyy"
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
+PLAIN_TIME = r"^\d[\d :.-]*\d\z"
 REPORT_MINUTE = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2})\z"
 SHEET_DAY = r"^([^/]*)/([^/]*)/([^/]*)\z"
 NAME_SHORT_YEAR = r"(\d{1,2})-([A-Za-z]{3})'(\d{2})"
 NAME_NO_YEAR = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3})"
 
-QUOTES = ["'", '"']
 FIRST_OLD_YEAR = 2070
 UNKNOWN_MONTH = "unknown"
 
@@ -35,13 +35,20 @@ def parse_report_ts(c: Column) -> Column:
     Empty text and anything holding "in process" is NULL; one outer quote on
     either side is dropped.
     """
-    quoted = F.left(c, F.lit(1)).isin(QUOTES) | F.right(c, F.lit(1)).isin(QUOTES)
-    text = strip(F.when(quoted, F.regexp_replace(c, "^[\"']|[\"']\\z", "")).otherwise(c))
-    # Zeros are put before every part, then taken from those of two digits.
-    padded = F.regexp_replace(text, REPORT_MINUTE, "$3-0$1-0$2 0$4:$5:00")
-    iso = F.regexp_replace(padded, r"([- ])0(\d\d)(?=[-: ])", "$1$2")
+
+    def iso(text: Column) -> Column:
+        # Zeros are put before every part, then taken from those of two digits.
+        padded = F.regexp_replace(text, REPORT_MINUTE, "$3-0$1-0$2 0$4:$5:00")
+        return F.regexp_replace(padded, r"([- ])0(\d\d)(?=[-: ])", "$1$2")
+
+    text = strip(F.regexp_replace(c, "^[\"']|[\"']\\z", ""))
     empty = (strip(c) == "") | F.lower(c).contains("in process")
-    return F.when(~empty, F.when(c.contains("/") & text.rlike(REPORT_MINUTE), iso).otherwise(text))
+    # The two usual forms are told by one look each.
+    return (
+        F.when(c.rlike(PLAIN_TIME), c)
+        .when(c.rlike(REPORT_MINUTE), iso(c))
+        .when(~empty, F.when(text.rlike(REPORT_MINUTE), iso(text)).otherwise(text))
+    )
 
 
 def sheet_date(c: Column) -> Column:
@@ -95,7 +102,7 @@ def ms_to_text(c: Column, zone: str = "UTC") -> Column:
     moment = epoch + F.make_dt_interval(secs=(c / 1000).cast("decimal(18,6)"))
     if zone != "UTC":
         moment = F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)
-    return F.date_format(moment, ISO_SECOND)
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
 def day_of(c: Column) -> Column:

@@ -15,7 +15,9 @@ FLOAT_HEAD = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    # Most cells begin and end in plain ASCII and need no trimming.
+    plain = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(BLANKS)))
 
 
 def or_null(c: Column) -> Column:
@@ -61,7 +63,8 @@ def lead_float(c: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """A number as text, whole values without a fraction."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
 def normal_mobile(c: Column) -> Column:

@@ -17,7 +17,7 @@ from sendledger.functions.text import strip
 from sendledger.schemas import texts
 from sendledger.session import settle
 
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
+WHOLE_FILE_LIMIT = 128 * 1024 * 1024
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 OUTSIDE_QUOTES_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
 
@@ -63,9 +63,9 @@ def _whole_files(spark: SparkSession, paths, columns: T.StructType, limit: int)
 
 def _split_files(spark: SparkSession, paths, columns: T.StructType, limit: int) -> DataFrame:
     ddl = ", ".join(f"{n} string" for n in columns.names)
+    lines = _lines(spark.read.text(paths).where(F.col("_metadata.file_size") > limit))
     return (
-        _records(_lines(spark.read.text(paths).where(F.col("_metadata.file_size") > limit)))
-        .where(~F.col("is_header"))
+        _records(lines)
         .withColumn("row", F.from_csv("record", ddl, CSV_OPTIONS))
         .select(
             "file_path", "block", "pos",
@@ -84,43 +84,75 @@ def _lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _quotes() -> Column:
+    return F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split: ``carry``, ``is_plain`` and the place of the file's first line.
+
+    ``carry`` is 1 when the split begins inside a quoted cell. In a plain split
+    every line is a record of its own.
+    """
+    counted = lines.groupBy("file_path", "block").agg(
+        F.sum(F.pmod(_quotes(), F.lit(2))).alias("odd_lines"), F.min("pos").alias("first_pos")
+    )
+    by_file = W.partitionBy("file_path").orderBy("block")
+    before = F.sum("odd_lines").over(by_file.rowsBetween(W.unboundedPreceding, -1))
+    return settle(
+        counted.withColumn("carry", F.pmod(F.coalesce(before, F.lit(0)), F.lit(2))).select(
+            "file_path", "block", "carry",
+            ((F.col("carry") == 0) & (F.col("odd_lines") == 0)).alias("is_plain"),
+            F.first("first_pos").over(by_file).alias("head"),
+        )
+    )
+
+
 def _records(lines: DataFrame) -> DataFrame:
-    """Lines put together to records: ``file_path, block, pos, record, is_header``.
+    """Data records of the files: ``file_path, block, pos, record``.
 
     A line starts a record when an even number of quotes precedes it in its
-    file. Quotes are counted inside each split, whose size Spark bounds; only
-    one row per split is carried from split to split.
+    file. Lines of plain splits are taken as they are, without a shuffle; only
+    splits with quoted line ends are sorted and put together.
     """
-    in_split = W.partitionBy("file_path", "block").orderBy("pos")
-    before = in_split.rowsBetween(W.unboundedPreceding, -1)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    counted = lines.select("file_path", "block", "pos", "value", quotes.alias("quotes")).withColumn(
-        "odd", F.pmod(F.coalesce(F.sum("quotes").over(before), F.lit(0)), F.lit(2))
+    splits = _splits(lines)
+    kinds = {r["is_plain"] for r in splits.select("is_plain").distinct().collect()}
+    of_kind = lambda plain: lines.join(
+        splits.where(F.col("is_plain") == plain).drop("is_plain"), ["file_path", "block"]
+    )
+    ways = []
+    if kinds != {False}:
+        ways.append(of_kind(True).withColumnRenamed("value", "record"))
+    if False in kinds:
+        ways.append(_stitched(of_kind(False)))
+    names = ["file_path", "block", "pos", "record"]
+    is_header = (F.col("block") == 0) & (F.col("pos") == F.col("head"))
+    return reduce(
+        DataFrame.unionByName,
+        [w.where(~is_header & (F.trim("record") != "")).select(names) for w in ways],
     )
 
-    def last_start(odd: int) -> Column:
-        return F.max(F.when(F.col("odd") == odd, F.col("pos")))
 
-    splits = counted.groupBy("file_path", "block").agg(
-        F.pmod(F.sum("quotes"), F.lit(2)).alias("parity"),
-        F.min("pos").alias("first_pos"),
-        last_start(0).alias("last_0"),
-        last_start(1).alias("last_1"),
+def _stitched(lines: DataFrame) -> DataFrame:
+    """Records of splits with quoted line ends: ``file_path, block, pos, record, head``.
+
+    Quotes are counted inside each split, whose size Spark bounds; only one row
+    per split, the start of its last record, is carried from split to split.
+    """
+    in_split = W.partitionBy("file_path", "block").orderBy("pos")
+    before = F.sum(_quotes()).over(in_split.rowsBetween(W.unboundedPreceding, -1))
+    marked = lines.withColumn(
+        "is_start", F.pmod(F.coalesce(before, F.lit(0)) + F.col("carry"), F.lit(2)) == 0
     )
+    last = marked.where("is_start").groupBy("file_path", "block").agg(F.max("pos").alias("last"))
     earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    last = F.when(F.col("carry") == 0, F.col("last_0")).otherwise(F.col("last_1"))
-    carried = settle(
-        splits.withColumn(
-            "carry", F.pmod(F.coalesce(F.sum("parity").over(earlier), F.lit(0)), F.lit(2))
-        )
-        .withColumn("start", F.when(last.isNotNull(), F.struct("block", last.alias("pos"))))
-        .select(
-            "file_path", "block", "carry",
-            F.last("start", ignorenulls=True).over(earlier).alias("open"),
-            F.first("first_pos").over(W.partitionBy("file_path").orderBy("block")).alias("head"),
-        )
+    start = F.when(F.col("last").isNotNull(), F.struct("block", F.col("last").alias("pos")))
+    opened = settle(
+        lines.select("file_path", "block").distinct()
+        .join(last, ["file_path", "block"], "left")
+        .select("file_path", "block", F.last(start, ignorenulls=True).over(earlier).alias("open"))
     )
-    here = F.when(F.col("odd") == F.col("carry"), F.struct("block", "pos"))
+    here = F.when(F.col("is_start"), F.struct("block", "pos"))
     owner = F.coalesce(
         F.last(here, ignorenulls=True).over(in_split), F.col("open"), F.struct("block", "pos")
     )
@@ -128,13 +160,12 @@ def _records(lines: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "value"))), lambda l: l["value"]),
         "\n",
     )
-    owned = counted.join(carried, ["file_path", "block"]).withColumn("owner", owner)
-    is_header = (F.col("owner.block") == 0) & (F.col("owner.pos") == F.col("head"))
     return (
-        owned.groupBy("file_path", "owner", is_header.alias("is_header"))
+        marked.join(opened, ["file_path", "block"])
+        .withColumn("owner", owner)
+        .groupBy("file_path", "owner", "head")
         .agg(text.alias("record"))
-        .where(F.trim("record") != "")
-        .select("file_path", "owner.block", "owner.pos", "record", "is_header")
+        .select("file_path", "owner.block", "owner.pos", "record", "head")
     )
 
 

@@ -35,9 +35,7 @@ def _(t):
 def _(t):
     region = t.region_all
     twice = region.unionByName(region.withColumn("circle", F.concat(F.lit("A "), "circle")))
-    return E.with_circle(t.staged, twice.where("circle LIKE 'A %' OR circle > 'A '")).select("message_id", "circle").withColumn(
-        "circle", F.when(F.col("circle") == "Unknown", "Unknown").otherwise(F.col("circle"))
-    )
+    return E.with_circle(t.staged, twice).select("message_id", "circle")
 
 
 CODES = (
