@@ -245,9 +245,9 @@ def _(t):
     return by(t.product_mapping, channel="RCS")
 
 
-@query("mapping_of_client", ("product_mapping",), "SELECT * FROM product_mapping WHERE client = 'Client 2'")
+@query("mapping_of_client", ("product_mapping",), "SELECT * FROM product_mapping WHERE client = 'Client 3'")
 def _(t):
-    return by(t.product_mapping, client=CLIENT)
+    return by(t.product_mapping, client="CLIENT 3")
 
 
 @query(

@@ -275,10 +275,10 @@ def _(t):
 
 @query(
     "mapped_name", ("product_mapping",),
-    "SELECT mapping FROM product_mapping WHERE client = 'Client 2' ORDER BY id LIMIT 1",
+    "SELECT mapping FROM product_mapping WHERE client = 'Client 3' ORDER BY id LIMIT 1",
 )
 def _(t):
-    return E.mapped_name(t.product_mapping, "client", "CLIENT 2", "mapping")
+    return E.mapped_name(t.product_mapping, "client", "CLIENT 3", "mapping")
 
 
 # Stored: texts that carry a label; new: English and French texts; transactional: toxic ones.
