@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sendledger import schemas as S
 from sendledger.functions.dates import day_of, month_of, ms_to_text
 from sendledger.functions.predicates import is_dnd
-from sendledger.functions.text import name_key, nth_field
+from sendledger.functions.text import nth_field
 from sendledger.operators.enrich import mapping_key, with_circle, with_error_text
 from sendledger.operators.existence import known_keys, same_messages, unseen
 from sendledger.session import settle

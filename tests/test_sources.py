@@ -29,7 +29,7 @@ def put(folder, name, text):
 
 
 def test_report_row(spark, tmp_path):
-    put(tmp_path, "CM_LB 01.csv", "﻿" + HEADER + "\r\n" + ROW + "\r\n")
+    put(tmp_path, "CM_LB 01.csv", "\ufeff" + HEADER + "\r\n" + ROW + "\r\n")
     rows, rejected = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
     (r,) = rows.collect()
     assert r.asDict() == {
