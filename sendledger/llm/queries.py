@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sendledger.llm import chat, decontaminate, exact_dedup, line_dedup, packing, secret_scan, url_rules
+from sendledger.llm import (
+    chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, secret_scan, url_rules,
+)
 from sendledger.llm.common import table
 from sendledger.llm.oracles import SQL
 
@@ -29,6 +31,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, similarity=75)
+
+
 @query
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
