@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sendledger.llm import (
-    chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, secret_scan, url_rules,
+    chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, personal_data, quality, secret_scan,
+    url_rules,
 )
 from sendledger.llm.common import table
 from sendledger.llm.oracles import SQL
@@ -46,6 +47,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -81,6 +87,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return made.select(
+        "doc_id",
+        count(0).alias("n_email"),
+        count(1).alias("n_ip"),
+        count(2).alias("n_card"),
+        count(3).alias("n_phone"),
+        F.sha2(personal_data.joined(F.col("base")), 256).alias("base_sha256"),
+        personal_data.joined(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
