@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -34,33 +35,89 @@ from sendledger.llm.common import stored
 WINDOW = 2048
 END_ID = 1
 _FRACTION = 16  # bits of a share after the point
-_MEMO_WORDS = 600_000  # words whose ids a worker remembers, about 120 MB
+_MEMO_WORDS = 800_000  # words whose ids a worker remembers, about 160 MB
+_SLICE = 8_000_000  # bytes of text encoded at once
+_MARK = "\x02"  # stands between words that are encoded together
+_LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 _PLACES_LIMIT = 200_000  # rows of the start table that may be broadcast, about 8 MB
 
 
-class _Encoder(dict):
-    """Word -> its ids as bytes; white space always parts words, so a text's ids are its words' ids."""
+class _Encoder:
+    """Ids of many texts at once, by the distinct words between spaces and line ends.
+
+    White space always parts words, so a text's ids are its words' ids one after another. A-Z
+    is lower-cased beforehand, as the tokenizer does. Texts that may hold a special token's
+    string are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, found: set[str]) -> None:
-        if len(self) + len(found) > _MEMO_WORDS:
-            self.clear()
-        todo = list(found)
-        for word, encoded in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self[word] = np.array(encoded.ids, "<u4").astype("<u2").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        found = text.replace("\n", " ").split(" ")
-        missing = {w for w in found if w not in self}
+        if self.tokenizer.get_vocab_size() > 2**16:
+            raise ValueError("ids must fit 16 bits")
+        self.mark = self._whole(_MARK)[0]
+        self.memo: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+
+    def _learn(self, found: list[str]) -> None:
+        if len(self.memo) > _MEMO_WORDS:
+            self.memo.clear()
+        plain = [w for w in found if _MARK not in w]
+        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        texts = [f" {_MARK} ".join(line) for line in lines]
+        for line, encoded in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, np.uint16)
+            marks = np.flatnonzero(ids == self.mark)
+            data = ids.tobytes()
+            self.memo.update(
+                (w, data[2 * i : 2 * j]) for w, i, j in zip(line, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
+            )
+        self.memo.update((w, self._whole(w).tobytes()) for w in found if _MARK in w)
+
+    def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after another, and the number of each."""
+        _, offsets, data = texts.buffers()
+        lowered = pa.py_buffer(data.to_pybytes().translate(_LOWERED) if data else b"")
+        texts = pa.StringArray.from_buffers(len(texts), offsets, lowered, offset=texts.offset)
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        names, use = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        missing = [w for w in names if w not in self.memo]
         if missing:
-            self.learn(missing)
-            if not all(w in self for w in found):  # the memo was cleared meanwhile
-                self.learn({w for w in found if w not in self})
-        return b"".join(map(self.__getitem__, found))
+            kept = {w: self.memo[w] for w in names if w in self.memo}
+            self._learn(missing)
+            kept.update((w, self.memo[w]) for w in missing)
+            values = [kept[w] for w in names]
+        else:
+            values = [self.memo[w] for w in names]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[use]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = np.repeat(starts[use] - ends[:-1], counts) + np.arange(ends[-1])
+        edges = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return np.frombuffer(b"".join(values), np.uint16)[at], np.diff(edges)
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        texts = texts.fill_null("")
+        special = pc.match_substring(texts, "<|").to_pylist()
+        out: list[np.ndarray] = []
+        size, first = 0, 0
+        lengths = pc.binary_length(texts).to_pylist()
+        for i, length in enumerate([*lengths, None]):
+            if length is None or size and size + length > _SLICE:
+                chunk = texts.slice(first, i - first)
+                ids, counts = self._plain(pa.concat_arrays([chunk]))
+                out += np.split(ids, np.cumsum(counts)[:-1]) if len(chunk) else []
+                size, first = 0, i
+            size += length or 0
+        for i in (i for i, s in enumerate(special) if s):
+            out[i] = self._whole(texts[i].as_py())
+        return out
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -88,12 +145,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
         part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             ids, before, count = [], [], []
-            for text, queue in zip(batch.column("text").to_pylist(), batch.column("queue").to_pylist()):
-                data = (encoder.encode(text) if text else b"") + end
-                ids.append(data)
+            for own, queue in zip(encoder.encode(batch.column("text")), batch.column("queue").to_pylist()):
+                ids.append(own.tobytes() + end)
                 before.append(served.get(queue, 0))
-                count.append(len(data) // 2)
-                served[queue] = served.get(queue, 0) + len(data) // 2
+                count.append(len(own) + 1)
+                served[queue] = served.get(queue, 0) + len(own) + 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("queue"), pa.array([part] * len(ids), pa.int32()),
                  pa.array(before, pa.int64()), pa.array(count, pa.int64()), pa.array(ids, pa.binary())],
@@ -135,31 +191,38 @@ class Rounds:
         capped = np.minimum(rounds, self.last[queue]) * self.quanta[queue] >> _FRACTION
         return np.minimum(self.totals[queue], capped)
 
-    def place(self, queue: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where tokens first..first+count of a queue stand: each run's length and stream position."""
-        start = -((-(first + 1) << _FRACTION) // int(self.quanta[queue]))
-        stop = -((-(first + count) << _FRACTION) // int(self.quanta[queue]))
-        if stop - start < count:
-            rounds = np.arange(start, stop + 1, dtype=np.int64)
-        else:  # a share below one token a round: only the rounds that serve this queue
-            tokens = np.arange(first + 1, first + count + 1, dtype=np.int64)
-            rounds = np.unique(-((-tokens << _FRACTION) // self.quanta[queue]))
-        ends = np.minimum(self.served(queue, rounds), first + count)
-        begins = np.maximum(self.served(queue, rounds - 1), first)
+    def place(self, queue: int, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the documents at tokens first..first+count of a queue stand.
+
+        Gives for each piece, in order: its document's index, its first token, its length and its
+        position in the stream.
+        """
+        quantum, stop = int(self.quanta[queue]), first + count
+        if quantum >= 1 << _FRACTION:  # some tokens in every round
+            low, high = (-((-(t << _FRACTION)) // quantum) for t in (first + 1, stop))
+            number = high - low + 1
+            doc = np.repeat(np.arange(len(first)), number)
+            rounds = np.arange(len(doc)) + np.repeat(low - (np.cumsum(number) - number), number)
+        else:  # at most one token in a round
+            doc = np.repeat(np.arange(len(first)), count)
+            tokens = np.arange(len(doc)) + np.repeat(first - (np.cumsum(count) - count), count)
+            rounds = -((-((tokens + 1) << _FRACTION)) // quantum)
+        begins = np.maximum(self.served(queue, rounds - 1), first[doc])
+        lengths = np.minimum(self.served(queue, rounds), stop[doc]) - begins
+        filled = lengths > 0
+        doc, rounds, begins, lengths = doc[filled], rounds[filled], begins[filled], lengths[filled]
         at = begins.copy()
         for other in range(len(self.names)):
             if other != queue:
                 at += self.served(other, rounds if other < queue else rounds - 1)
-        filled = ends > begins
-        lengths, at = (ends - begins)[filled], at[filled]
         # a run holds at most one window of tokens, so it crosses at most one border
         head = np.minimum(lengths, self.window - at % self.window)
-        cut = head < lengths
-        order = np.argsort(np.concatenate((at, (at + head)[cut])), kind="stable")
-        return (
-            np.concatenate((head, (lengths - head)[cut]))[order],
-            np.concatenate((at, (at + head)[cut]))[order],
-        )
+        pieces = 1 + (head < lengths)
+        second = np.zeros(pieces.sum(), bool)
+        second[np.cumsum(pieces)[pieces == 2] - 1] = True
+        doc, begins, lengths, at, head = (np.repeat(x, pieces) for x in (doc, begins, lengths, at, head))
+        shift = np.where(second, head, 0)
+        return doc, begins + shift - first[doc], np.where(second, lengths - head, head), at + shift
 
 
 def pack(
@@ -181,25 +244,24 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, lengths, checks, at = [], [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("queue", "base", "before", "doc_tokens", "ids")]
-            for i, (queue, base, before, count, ids) in enumerate(zip(*columns)):
-                sizes, positions = rounds.place(number[queue], base + before, count)
-                wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
-                checks += [zlib.crc32(wide[4 * b : 4 * e]) for b, e in zip(begins.tolist(), ends.tolist())]
-                rows.append(np.full(len(sizes), i))
-                starts.append(begins)
-                lengths.append(sizes)
-                at.append(positions)
-            if not rows:
+            if not batch.num_rows:
                 continue
-            take, at = pa.array(np.concatenate(rows)), np.concatenate(at)
+            base, before, count = (batch.column(c).to_numpy() for c in ("base", "before", "doc_tokens"))
+            queue = np.array([number[q] for q in batch.column("queue").to_pylist()])
+            found = []
+            for q in np.unique(queue):
+                own = np.flatnonzero(queue == q)
+                doc, *rest = rounds.place(int(q), (base + before)[own], count[own])
+                found.append((own[doc], *rest))
+            doc, start, length, at = (np.concatenate(x) for x in zip(*found))
+            wide = memoryview(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype("<u4").tobytes())
+            first = 4 * ((np.cumsum(count) - count)[doc] + start)
+            checks = [zlib.crc32(wide[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+            take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), pa.array(np.concatenate(starts)), pa.array(np.concatenate(lengths)),
-                 pa.array(checks, pa.int64()), batch.column("doc_tokens").take(take), pa.array(at // window),
-                 pa.array(at % window), batch.column("queue").take(take)],
+                [batch.column("doc_id").take(take), pa.array(start), pa.array(length), pa.array(checks, pa.int64()),
+                 batch.column("doc_tokens").take(take), pa.array(at // window), pa.array(at % window),
+                 batch.column("queue").take(take)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
             )
 
