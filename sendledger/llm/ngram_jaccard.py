@@ -47,6 +47,7 @@ _HUBS = (0x1F3A5C7E9B2D4F60, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B)
 _BLOCK = 2_000_000  # tokens a task packs at once, about 100 MB
 _BUCKET = 2_000_000  # tokens of a bucket
 _SHARE = 256  # a token or class with one in so many of all rows is common
+_MANY = 1000  # and this many at least
 _MOST_COMMON = 100_000  # tokens in the list of common ones, 1.6 MB
 _MEMO_WORDS = 500_000
 
@@ -376,7 +377,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 75) -> Da
         )
     )
     total, tokens = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    many = max(1000, total // _SHARE)
+    many = max(_MANY, total // _SHARE)
     # at most _SHARE classes are that large
     hot = {r.key: r.first_id for r in classes.where(F.col("size") >= many).collect() if r.first_id is not None}
     often = (
