@@ -35,8 +35,8 @@ from sendledger.llm.common import stored
 WINDOW = 2048
 END_ID = 1
 _FRACTION = 16  # bits of a share after the point
-_MEMO_WORDS = 800_000  # words whose ids a worker remembers, about 160 MB
-_SLICE = 8_000_000  # bytes of text encoded at once
+_MEMO_WORDS = 1_500_000  # words whose ids a worker remembers, about 300 MB
+_SLICE = 16_000_000  # bytes of text encoded at once
 _MARK = "\x02"  # stands between words that are encoded together
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 _PLACES_LIMIT = 200_000  # rows of the start table that may be broadcast, about 8 MB
@@ -57,14 +57,13 @@ class _Encoder:
         if self.tokenizer.get_vocab_size() > 2**16:
             raise ValueError("ids must fit 16 bits")
         self.mark = self._whole(_MARK)[0]
+        self.signs = {c: self._whole(c).tobytes() for c in ".,;:!?"}
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def _learn(self, found: list[str]) -> None:
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo.clear()
         plain = [w for w in found if _MARK not in w]
         lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         texts = [f" {_MARK} ".join(line) for line in lines]
@@ -77,6 +76,22 @@ class _Encoder:
             )
         self.memo.update((w, self._whole(w).tobytes()) for w in found if _MARK in w)
 
+    def _words(self, names: list[str]) -> list[bytes]:
+        """The ids of distinct words; letters with one sign at their end share the letters' ids."""
+        if len(self.memo) > _MEMO_WORDS:
+            self.memo.clear()
+        memo, signs = self.memo, self.signs
+        values = list(map(memo.get, names))
+        rest = [i for i, v in enumerate(values) if v is None]
+        stems = [w[:-1] if w[-1:] in signs and w[:-1].isalpha() else w for w in map(names.__getitem__, rest)]
+        missing = {w for w in stems if w not in memo}
+        if missing:
+            self._learn(list(missing))
+        for i, stem in zip(rest, stems):
+            own = memo[stem]
+            values[i] = own if len(stem) == len(names[i]) else own + signs[names[i][-1]]
+        return values
+
     def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another, and the number of each."""
         _, offsets, data = texts.buffers()
@@ -85,14 +100,7 @@ class _Encoder:
         parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
         names, use = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        missing = [w for w in names if w not in self.memo]
-        if missing:
-            kept = {w: self.memo[w] for w in names if w in self.memo}
-            self._learn(missing)
-            kept.update((w, self.memo[w]) for w in missing)
-            values = [kept[w] for w in names]
-        else:
-            values = [self.memo[w] for w in names]
+        values = self._words(names)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
         starts = np.cumsum(sizes) - sizes
         counts = sizes[use]
