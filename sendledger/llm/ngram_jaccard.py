@@ -19,8 +19,9 @@ How the work is spread:
    can still have a partner.
 4. Star rounds: each token's sets are compared with one hub, so a group of n near
    copies costs n comparisons for each token, not n * n. Linked sets become one component.
-   A last round compares what is left: in each token's sets, those outside the
-   largest component with the sets of other components. No pair inside a component is formed.
+   A last round compares what is left: small components pair by pair, and sets with
+   larger components, once for each component, in blocks of members. No pair inside a
+   component is formed.
 
 Defined results: a null, empty or wordless text has an empty set, links with nothing and
 is its own component. A text of fewer words than the width is one shingle. Rows with
@@ -50,6 +51,8 @@ _SHARE = 256  # a token or class with one in so many of all rows is common
 _MANY = 1000  # and this many at least
 _MOST_COMMON = 100_000  # tokens in the list of common ones, 1.6 MB
 _MEMO_WORDS = 500_000
+_LARGE = 8  # sets of a component that is compared as a whole
+_SET_BLOCK = 1000  # sets compared with as many others in one task
 
 
 class _WordHashes(dict):
@@ -294,27 +297,127 @@ def _spread(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+def _possible(similarity: int):
+    """Whether the first token that two similar sets share can be this one, by sizes and places.
+
+    Both list their ``d`` shared tokens in one order. What they have in common is at most
+    the shorter of the parts before the token, the token, and the shorter of the parts behind it.
+    The smaller set must also have enough tokens from this one on to reach the overlap
+    that a set of its own size would need.
+    """
+    before = F.least("place", "other_place")
+    behind = F.least(F.col("d") - F.col("place"), F.col("other_d") - F.col("other_place"))
+    both, sizes = before + behind, F.col("n") + F.col("other_n")
+    close = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * similarity
+    rest = F.when(F.col("n") < F.col("other_n"), F.col("d") - F.col("place")).when(
+        F.col("n") > F.col("other_n"), F.col("other_d") - F.col("other_place")
+    ).otherwise(behind)
+    enough = (100 + similarity) * rest >= 2 * similarity * F.least("n", "other_n")
+    return close & enough & ((100 + similarity) * both >= similarity * sizes)
+
+
+_OTHER = {"key": "other", "n": "other_n", "d": "other_d", "place": "other_place", "comp": "other_comp"}
+
+
+def _hub_pairs(members: DataFrame, turn: int, similarity: int) -> DataFrame:
     """Each token's sets against its hub: pairs of different components."""
     salt = F.lit(_HUBS[turn])
     hubs = members.groupBy("token").agg(
         F.min(F.col("key").bitwiseXOR(salt)).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    ).where("low < high").select("token", F.col("hub").bitwiseXOR(salt).alias("hub"))
-    own = members.select("token", F.col("key").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))
-    hubs = hubs.join(own, ["token", "hub"])
-    found = members.join(hubs, "token").where("comp <> hub_comp")
-    return found.select("key", "n", F.col("hub").alias("other"), F.col("hub_n").alias("other_n"))
+    ).where("low < high").select("token", F.col("hub").bitwiseXOR(salt).alias("other"))
+    hubs = hubs.join(members.withColumnsRenamed(_OTHER), ["token", "other"])
+    found = members.join(hubs, "token").where((F.col("comp") != F.col("other_comp")) & _possible(similarity))
+    return found.select("key", "other")
+
+
+def _block_links(similarity: int):
+    """For some sets and a block of a component's members: one link of each set that has any."""
+
+    def run(asked: pa.Table, members: pa.Table) -> pa.Table:
+        found = ([], [])
+        if asked.num_rows and members.num_rows:
+            lists = members.column("tokens").combine_chunks()
+            tokens, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            keys, sizes = members.column("key").to_numpy(), members.column("n").to_numpy()
+            order = np.argsort(tokens, kind="stable")
+            owner = np.repeat(np.arange(len(keys)), lengths)[order]
+            distinct, first, count = np.unique(tokens[order], return_index=True, return_counts=True)
+            for key, n, own in zip(asked.column("key").to_pylist(), asked.column("n").to_pylist(), asked.column("tokens")):
+                own = own.values.to_numpy()
+                at = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
+                at = at[distinct[at] == own]
+                holders = np.repeat(first[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(count[at].sum())
+                both = np.bincount(owner[holders], minlength=len(keys))
+                linked = np.flatnonzero(100 * both >= similarity * (n + sizes - both))
+                if len(linked):
+                    found[0].append(key)
+                    found[1].append(int(keys[linked[0]]))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
+    return run
 
-def _left_pairs(members: DataFrame) -> DataFrame:
-    """Each token's sets outside its largest component against the sets of other components."""
-    shares = members.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    main = shares.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    main = main.where("comps > 1").drop("comps")
-    mixed = members.join(main, "token")
-    small = mixed.where("comp <> main").select("token", "key", "n", "comp")
-    other = mixed.select("token", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    return small.join(other, "token").where("comp <> other_comp").select("key", "n", "other", "other_n")
+
+def _links_to_large(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links of sets to larger components with which they share a token.
+
+    A set is asked about a component once, whatever tokens and members they share. The members
+    lie in blocks; the sets asked about a component go to each of its blocks.
+    """
+    large = mixed.where(F.col("size") >= _LARGE).groupBy("token", "comp", "size").agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("place").alias("most_before"),
+        F.max(F.col("d") - F.col("place")).alias("most_behind"),
+    )
+    large = large.withColumnsRenamed({"comp": "large", "size": "large_size"})
+    both = F.least("place", "most_before") + F.least(F.col("d") - F.col("place"), F.col("most_behind"))
+    asked = mixed.join(large, "token").where(
+        (F.struct("size", "comp") < F.struct(F.col("large_size"), F.col("large")))
+        & (F.col("least_n") * similarity <= F.col("n") * 100)
+        & (F.col("most_n") * 100 >= F.col("n") * similarity)
+        & ((100 + similarity) * both >= similarity * (F.col("n") + F.col("least_n")))
+    )
+    asked = stored(asked.select("key", "large", "large_size").distinct())
+    blocks = asked.groupBy("large", "large_size").agg(F.count("*").alias("asking"))
+
+    def parts(size: str):
+        return F.ceil(F.col(size) / _SET_BLOCK).cast("int")
+
+    def block(n):
+        return F.pmod(F.xxhash64("key"), n).cast("int")
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    blocks = blocks.select("large", parts("large_size").alias("rows"), parts("asking").alias("columns"))
+    whole = sets.select("key", "n", "tokens")
+    asking = asked.select("key", "large").join(blocks, "large").join(whole, "key")
+    asking = asking.withColumn("column", block(F.col("columns"))).withColumn("row", each(F.col("rows")))
+    members = nodes.select("key", F.col("comp").alias("large")).join(blocks, "large").join(whole, "key")
+    members = members.withColumn("row", block(F.col("rows"))).withColumn("column", each(F.col("columns")))
+    names = ["large", "row", "column", "key", "n", "tokens"]
+    left = asking.select(*[F.col(c).alias(c) for c in names])  # new columns: both sides come from one table
+    right = members.select(*[F.col(c).alias(c) for c in names])
+    return left.groupBy(*names[:3]).cogroup(right.groupBy(*names[:3])).applyInArrow(
+        _block_links(similarity), "a long, b long"
+    )
+
+
+def _left_links(postings: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links between components that the hubs left apart, all candidates compared."""
+    nodes = sets.select("key")
+    if labels is None:
+        nodes = nodes.withColumn("comp", F.col("key"))
+    else:
+        nodes = nodes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    nodes = stored(nodes.join(nodes.groupBy("comp").agg(F.count("*").alias("size")), "comp"))
+    members = postings.join(nodes, "key")
+    several = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    mixed = stored(members.join(several.select("token"), "token"))
+    small = mixed.where(F.col("size") < _LARGE).drop("size")
+    pairs = small.join(small.withColumnsRenamed(_OTHER), "token").where(
+        (F.col("key") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & _possible(similarity)
+    )
+    found = _linked(pairs.select("key", "other"), sets, similarity)
+    return found.unionByName(_links_to_large(mixed, nodes, sets, similarity))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -323,8 +426,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    close = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * similarity
-    pairs = pairs.where(close).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    pairs = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     met = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b")
     met = met.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b")
     whole = met.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
@@ -334,7 +436,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 def _components(sets: DataFrame, similarity: int) -> DataFrame:
     """(key, comp) of every set that is linked with another."""
-    postings = stored(sets.select("key", "n", F.explode("first").alias("token")))
+    postings = stored(sets.select("key", "n", F.size("tokens").alias("d"), F.posexplode("first").alias("place", "token")))
     labels = None
     for turn in range(len(_HUBS) + 1):
         if labels is None:
@@ -342,8 +444,10 @@ def _components(sets: DataFrame, similarity: int) -> DataFrame:
         else:
             members = postings.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         last = turn == len(_HUBS)
-        pairs = _left_pairs(members) if last else _hub_pairs(members, turn)
-        links = stored(_linked(pairs, sets, similarity))
+        if last:
+            links = stored(_left_links(postings, labels, sets, similarity))
+        else:
+            links = stored(_linked(_hub_pairs(members, turn, similarity), sets, similarity))
         if links.isEmpty():
             if last:
                 break
