@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,32 +30,72 @@ def builder(app: str = "sendledger", **settings: str) -> SparkSession.Builder:
     return b
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh path under the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder the session names, by its setting or on its context."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
-    Only where ``spark.checkpoint.dir`` is unset (a local test session) is a
-    temporary folder chosen; on a cluster a machine-local path would not be
-    visible to the executors.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def use_local_folder(spark: SparkSession) -> None:
+    """For tests and single-machine runs: choose a checkpoint folder where none is named."""
+    if not shared_folder(spark) and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh path under the cluster's shared checkpoint folder, which must be named."""
+    base = shared_folder(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/sendledger-{uuid.uuid4().hex}"
 
 
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end, also after an error, whatever was settled inside.
+
+    Rows that are read from settled files must be written before that.
+    """
+    outer, own = getattr(_SCRATCH, "paths", None), []
+    _SCRATCH.paths = own
+    try:
+        yield
+    finally:
+        _SCRATCH.paths = outer
+        conf = spark._jsc.hadoopConfiguration()
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Two effects: later branches start from files, so a lost executor costs only
     its own tasks, and the optimizer sees the true size, so it broadcasts a
-    small result and shuffles a large one without a hint from here.
+    small result and shuffles a large one without a hint from here. Inside
+    ``scratch`` the files go away with the block.
     """
     spark = df.sparkSession
     path = work_folder(spark)
+    if getattr(_SCRATCH, "paths", None) is not None:
+        _SCRATCH.paths.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+ONE_TASK_BYTES = 1 << 20
+
+
+def in_one_task(df: DataFrame) -> DataFrame:
+    """A table that Spark knows to be small, in one partition: grouping it then needs no shuffle.
+
+    The size is the optimizer's; a larger or unknown table stays as it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(1) if size <= ONE_TASK_BYTES else df

@@ -1,183 +1,238 @@
 """CSV files as rows of text cells, whatever their size or header.
 
-A quoted cell may hold line ends. Spark reads such a file whole (``multiLine``),
-in one task. That is right for the usual upload and wrong for a file that holds
-a large share of the data, so files above a size limit take another way: they
-are read as lines, split as usual, and the lines of one record are put together
-by counting quotes. Both ways give the same rows.
+A quoted cell may hold line ends, so where a record begins depends on all the quotes
+before it. The text is read once, as lines in ordinary splits, and settled with what
+each line does to the state "inside a quoted cell": most lines leave it alone or end
+outside whatever came before, some open a cell. The effects of a split's lines
+are composed, one row per split is carried through each file, and only splits that
+hold quoted line ends are put together from several lines. How a file is split
+makes no difference to its rows.
+
+A quote opens a cell only at the start of a cell; anywhere else it is plain text.
+A file that ends inside a quoted cell, or whose quoted cell runs over more than
+``LONGEST_RECORD`` bytes, is not read at all: ``files`` tells which.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sendledger.functions.text import strip
-from sendledger.schemas import texts
 from sendledger.session import settle
 
-WHOLE_FILE_LIMIT = 128 * 1024 * 1024
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 OUTSIDE_QUOTES_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
+# Distance between the splits of a quoted cell's first and last line: a text cell
+# is far shorter, a stray quote at the start of a cell makes a longer one.
+LONGEST_RECORD = 256 * 1024 * 1024
+# File names put into one filter; more files are read in as many turns.
+FILES_AT_ONCE = 10_000
+# Splits with quoted line ends that may be broadcast, about 20 MB.
+SPLITS_AT_ONCE = 100_000
 
+# What a line does to the state: leave it, end outside, end inside, turn it round.
+SAME, OUTSIDE, INSIDE, TURN = range(4)
 
-def csv_cells(
-    spark: SparkSession, paths, width: int, whole_file_limit: int = WHOLE_FILE_LIMIT
-) -> DataFrame:
-    """Data rows of headed CSV files: ``file_path, block, pos, cells``.
-
-    ``cells`` is an array of ``width`` texts by position; ``(block, pos)`` orders
-    the rows of one file.
-    """
-    columns = texts(*[f"c{i}" for i in range(width)])
-    smallest, largest = _size_range(spark, paths)
-    ways = []
-    if largest is None or smallest <= whole_file_limit:
-        ways.append(_whole_files(spark, paths, columns, whole_file_limit))
-    if largest is not None and largest > whole_file_limit:
-        ways.append(_split_files(spark, paths, columns, whole_file_limit))
-    return reduce(DataFrame.unionByName, ways)
 
+def _effect(line: Column) -> Column:
+    """The state after a line, for either state before it, as one of the four effects.
 
-def _size_range(spark: SparkSession, paths) -> tuple[int | None, int | None]:
-    """Smallest and largest file size; looks at names and sizes only."""
-    files = spark.read.format("binaryFile").load(paths)
-    return tuple(files.agg(F.min("length"), F.max("length")).first())
+    Line by line only commas part cells. Inside a quoted cell a piece between commas
+    closes it if a quote is left once doubled quotes are taken away; outside,
+    a piece opens a cell if it begins with a quote and its rest does not close it.
+    """
 
+    def holds(piece: Column) -> Column:
+        return ~F.contains(F.replace(piece, F.lit('""'), F.lit("")), F.lit('"'))
 
-def _whole_files(spark: SparkSession, paths, columns: T.StructType, limit: int) -> DataFrame:
-    return (
-        spark.read.schema(columns)
-        .options(header=True, multiLine=True, **CSV_OPTIONS)
-        .csv(paths)
-        .where(F.col("_metadata.file_size") <= limit)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.lit(0).cast("bigint").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-            F.array(*columns.names).alias("cells"),
+    def step(state: Column, piece: Column) -> Column:
+        stays = holds(piece)
+        opens = F.startswith(piece, F.lit('"')) & holds(F.substr(piece, F.lit(2)))
+        return F.struct(
+            F.when(state["out"], stays).otherwise(opens).alias("out"),
+            F.when(state["in"], stays).otherwise(opens).alias("in"),
         )
-    )
 
-
-def _split_files(spark: SparkSession, paths, columns: T.StructType, limit: int) -> DataFrame:
-    ddl = ", ".join(f"{n} string" for n in columns.names)
-    lines = _lines(spark.read.text(paths).where(F.col("_metadata.file_size") > limit))
-    return (
-        _records(lines)
-        .withColumn("row", F.from_csv("record", ddl, CSV_OPTIONS))
-        .select(
-            "file_path", "block", "pos",
-            F.array(*[F.col(f"row.{n}") for n in columns.names]).alias("cells"),
-        )
+    start = F.struct(F.lit(False).alias("out"), F.lit(True).alias("in"))
+    effect = F.aggregate(
+        F.split(line, ",", -1), start, step,
+        lambda s: F.when(~s["out"] & s["in"], SAME).when(~s["out"], OUTSIDE).when(s["in"], INSIDE).otherwise(TURN),
     )
+    return F.when(F.contains(line, F.lit('"')), effect).otherwise(SAME)
 
 
-def _lines(lines: DataFrame) -> DataFrame:
-    return lines.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        # Rising within a split; splits are ordered by their start.
-        F.monotonically_increasing_id().alias("pos"),
-        "value",
-    )
-
+@dataclass(frozen=True)
+class Lines:
+    """The settled lines of some files, their splits and the files themselves.
 
-def _quotes() -> Column:
-    return F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    ``rows``: file_path, block, pos, value, effect. ``splits``: file_path, block, starts_inside,
+    is_open, opened (the place of the record open at its start). ``files``: file_path, head (the
+    place of the first line), is_closed.
+    """
 
+    rows: DataFrame
+    splits: DataFrame
+    files: DataFrame
 
-def _splits(lines: DataFrame) -> DataFrame:
-    """One row per split: ``carry``, ``is_plain`` and the place of the file's first line.
 
-    ``carry`` is 1 when the split begins inside a quoted cell. In a plain split
-    every line is a record of its own.
-    """
-    counted = lines.groupBy("file_path", "block").agg(
-        F.sum(F.pmod(_quotes(), F.lit(2))).alias("odd_lines"), F.min("pos").alias("first_pos")
-    )
-    by_file = W.partitionBy("file_path").orderBy("block")
-    before = F.sum("odd_lines").over(by_file.rowsBetween(W.unboundedPreceding, -1))
-    return settle(
-        counted.withColumn("carry", F.pmod(F.coalesce(before, F.lit(0)), F.lit(2))).select(
-            "file_path", "block", "carry",
-            ((F.col("carry") == 0) & (F.col("odd_lines") == 0)).alias("is_plain"),
-            F.first("first_pos").over(by_file).alias("head"),
+def _with_effects(df: DataFrame, order) -> DataFrame:
+    """``is_fixed`` and ``value`` of the effects up to and including each row."""
+    turns = F.sum(F.when(F.col("effect") == TURN, 1).otherwise(0)).over(order)
+    df = df.withColumn("turns", turns).withColumn(
+        "fixed",
+        F.when(F.col("effect").isin(OUTSIDE, INSIDE), F.struct((F.col("effect") == INSIDE).alias("value"), F.col("turns").alias("turns"))),
+    )
+    last = F.last("fixed", ignorenulls=True).over(order)
+    df = df.withColumn("last", last)
+    turned = F.pmod(F.col("turns") - F.coalesce("last.turns", F.lit(0)), F.lit(2)) == 1
+    return df.withColumn("is_fixed", F.col("last").isNotNull()).withColumn(
+        "value", F.coalesce("last.value", F.lit(False)) != turned
+    ).drop("turns", "fixed", "last")
+
+
+def read_lines(spark: SparkSession, paths) -> Lines:
+    """Read the files once; everything after works on the settled lines."""
+    rows = settle(
+        spark.read.text(paths).select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            # Rising within a split; splits are ordered by their start.
+            F.monotonically_increasing_id().alias("pos"),
+            "value",
+            _effect(F.col("value")).alias("effect"),
+        )
+    )
+    in_split = W.partitionBy("file_path", "block").orderBy("pos")
+    in_file = W.partitionBy("file_path").orderBy("block")
+    # Only lines with quotes are sorted, without their text.
+    quoted = _with_effects(
+        rows.where(F.col("effect") != SAME).select("file_path", "block", "pos", "effect"), in_split
+    )
+    ends = quoted.groupBy("file_path", "block").agg(
+        F.max_by(F.struct("is_fixed", "value"), "pos").alias("end"),
+        F.max((F.col("effect") > OUTSIDE).cast("int")).alias("opens"),
+    )
+    end_effect = F.when(F.col("end.is_fixed"), F.when(F.col("end.value"), INSIDE).otherwise(OUTSIDE)).when(
+        F.col("end.value"), TURN
+    )
+    splits = (
+        rows.groupBy("file_path", "block")
+        .agg(F.min("pos").alias("first"))
+        .join(ends, ["file_path", "block"], "left")
+        .withColumn("effect", F.coalesce(end_effect, F.lit(SAME)))
+    )
+    splits = _with_effects(splits, in_file)  # a file starts outside, so the value is the state
+    splits = splits.withColumn("starts_inside", F.coalesce(F.lag("value").over(in_file), F.lit(False)))
+    splits = settle(
+        splits.select(
+            "file_path", "block", "first", "starts_inside", F.col("value").alias("ends_inside"),
+            (F.col("starts_inside") | (F.coalesce("opens", F.lit(0)) == 1)).alias("is_open"),
+        )
+    )
+    state = F.when(F.col("is_fixed"), F.col("value")).otherwise(F.col("starts_inside") != F.col("value"))
+    before = F.coalesce(F.lag("after").over(in_split), F.col("starts_inside"))
+    opened = (
+        quoted.join(splits.where("is_open").select("file_path", "block", "starts_inside"), ["file_path", "block"])
+        .withColumn("after", state)
+        .withColumn("before", before)
+        .where("after AND NOT before")
+        .groupBy("file_path", "block")
+        .agg(F.max("pos").alias("last_opened"))
+    )
+    place = F.when(F.col("last_opened").isNotNull(), F.struct("block", F.col("last_opened").alias("pos")))
+    earlier = in_file.rowsBetween(W.unboundedPreceding, -1)
+    splits = settle(
+        splits.join(opened, ["file_path", "block"], "left").withColumn(
+            "opened", F.when(F.col("starts_inside"), F.last(place, ignorenulls=True).over(earlier))
         )
     )
+    files = splits.groupBy("file_path").agg(
+        F.min_by("first", "block").alias("head"),
+        (
+            ~F.max_by("ends_inside", "block")
+            & (F.coalesce(F.max(F.col("block") - F.col("opened.block")), F.lit(0)) <= LONGEST_RECORD)
+        ).alias("is_closed"),
+    )
+    return Lines(rows, splits, settle(files))
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Data records of the files: ``file_path, block, pos, record``.
+def file_heads(lines: Lines) -> DataFrame:
+    """One row per file: ``file_path, header`` (its first line), ``is_closed``."""
+    heads = lines.files.select(F.col("head").alias("pos"), "is_closed")
+    return lines.rows.join(heads, "pos").select("file_path", F.col("value").alias("header"), "is_closed")
 
-    A line starts a record when an even number of quotes precedes it in its
-    file. Lines of plain splits are taken as they are, without a shuffle; only
-    splits with quoted line ends are sorted and put together.
-    """
-    splits = _splits(lines)
-    kinds = {r["is_plain"] for r in splits.select("is_plain").distinct().collect()}
-    of_kind = lambda plain: lines.join(
-        splits.where(F.col("is_plain") == plain).drop("is_plain"), ["file_path", "block"]
-    )
-    ways = []
-    if kinds != {False}:
-        ways.append(of_kind(True).withColumnRenamed("value", "record"))
-    if False in kinds:
-        ways.append(_stitched(of_kind(False)))
+
+def _records(lines: Lines) -> DataFrame:
+    """Data records of the closed files: ``file_path, block, pos, record``."""
     names = ["file_path", "block", "pos", "record"]
-    is_header = (F.col("block") == 0) & (F.col("pos") == F.col("head"))
-    return reduce(
-        DataFrame.unionByName,
-        [w.where(~is_header & (F.trim("record") != "")).select(names) for w in ways],
-    )
+    open_splits = lines.splits.where("is_open").select("file_path", "block", "starts_inside", "opened")
+    n = open_splits.count()
+    if not n:
+        found = lines.rows.withColumnRenamed("value", "record")
+    else:
+        # A split is bounded, so no key is hot where the list is too long to broadcast.
+        listed = F.broadcast(open_splits) if n <= SPLITS_AT_ONCE else open_splits
+        plain = lines.rows.join(listed, ["file_path", "block"], "left_anti").withColumnRenamed("value", "record")
+        found = plain.select(names).unionByName(_stitched(lines.rows.join(listed, ["file_path", "block"])))
+    # Places are unique, so this join has no hot key either.
+    return found.join(lines.files.select(F.col("head").alias("pos")), "pos", "left_anti").where(
+        F.trim("record") != ""
+    ).select(names)
 
 
 def _stitched(lines: DataFrame) -> DataFrame:
-    """Records of splits with quoted line ends: ``file_path, block, pos, record, head``.
-
-    Quotes are counted inside each split, whose size Spark bounds; only one row
-    per split, the start of its last record, is carried from split to split.
-    """
+    """Records of splits with quoted line ends: a record belongs to the line that begins it."""
     in_split = W.partitionBy("file_path", "block").orderBy("pos")
-    before = F.sum(_quotes()).over(in_split.rowsBetween(W.unboundedPreceding, -1))
-    marked = lines.withColumn(
-        "is_start", F.pmod(F.coalesce(before, F.lit(0)) + F.col("carry"), F.lit(2)) == 0
-    )
-    last = marked.where("is_start").groupBy("file_path", "block").agg(F.max("pos").alias("last"))
-    earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    start = F.when(F.col("last").isNotNull(), F.struct("block", F.col("last").alias("pos")))
-    opened = settle(
-        lines.select("file_path", "block").distinct()
-        .join(last, ["file_path", "block"], "left")
-        .select("file_path", "block", F.last(start, ignorenulls=True).over(earlier).alias("open"))
-    )
-    here = F.when(F.col("is_start"), F.struct("block", "pos"))
-    owner = F.coalesce(
-        F.last(here, ignorenulls=True).over(in_split), F.col("open"), F.struct("block", "pos")
+    lines = _with_effects(lines.withColumnRenamed("value", "text"), in_split)
+    state = F.when(F.col("is_fixed"), F.col("value")).otherwise(F.col("starts_inside") != F.col("value"))
+    marked = lines.withColumn("after", state).withColumn(
+        "before", F.coalesce(F.lag("after").over(in_split), F.col("starts_inside"))
     )
+    here = F.when(~F.col("before"), F.struct("block", "pos"))
+    owner = F.coalesce(F.last(here, ignorenulls=True).over(in_split), F.col("opened"))
     text = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "value"))), lambda l: l["value"]),
-        "\n",
+        F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "text"))), lambda l: l["text"]), "\n"
     )
     return (
-        marked.join(opened, ["file_path", "block"])
-        .withColumn("owner", owner)
-        .groupBy("file_path", "owner", "head")
+        marked.withColumn("owner", owner)
+        .groupBy("file_path", "owner")
         .agg(text.alias("record"))
-        .select("file_path", "owner.block", "owner.pos", "record", "head")
+        .select("file_path", "owner.block", "owner.pos", "record")
     )
 
 
-def file_heads(spark: SparkSession, paths) -> DataFrame:
-    """One row per file: ``file_path, header`` (its first line)."""
+def _cells(lines: Lines, width: int) -> DataFrame:
+    names = [f"c{i}" for i in range(width)]
+    ddl = ", ".join(f"{n} string" for n in names)
     return (
-        _lines(spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0))
-        .groupBy("file_path")
-        .agg(F.min_by("value", "pos").alias("header"))
+        _records(lines)
+        .withColumn("row", F.from_csv("record", ddl, CSV_OPTIONS))
+        .select("file_path", "block", "pos", F.array(*[F.col(f"row.{n}") for n in names]).alias("cells"))
     )
 
 
+def _some_files(rows: DataFrame, files: list[str]) -> DataFrame:
+    """Rows of the files listed, without a join; long lists take several turns."""
+    turns = [files[i : i + FILES_AT_ONCE] for i in range(0, len(files), FILES_AT_ONCE)] or [[]]
+    return reduce(DataFrame.unionByName, [rows.where(F.col("file_path").isin(t)) for t in turns])
+
+
+def csv_cells(spark: SparkSession, paths, width: int) -> DataFrame:
+    """Data rows of headed CSV files: ``file_path, block, pos, cells``.
+
+    ``cells`` is an array of ``width`` texts by position; ``(block, pos)`` orders
+    the rows of one file. A file that cannot be read whole is an error.
+    """
+    lines = read_lines(spark, paths)
+    unclosed = [r["file_path"] for r in lines.files.where("NOT is_closed").limit(5).collect()]
+    if unclosed:
+        raise ValueError(f"files end inside a quoted cell: {unclosed}")
+    return _cells(lines, width)
+
+
 def header_names(header: Column) -> Column:
     """The names of a header line: BOM and quotes dropped, trimmed, blanks as ``_``."""
     parts = F.split(F.regexp_replace(header, r"^\ufeff|\r\z", ""), OUTSIDE_QUOTES_COMMA)
@@ -186,27 +241,36 @@ def header_names(header: Column) -> Column:
     )
 
 
-def named_cells(
-    spark: SparkSession,
-    paths,
-    heads: DataFrame,
-    wanted: list[str],
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
-) -> DataFrame:
-    """Rows of the files in ``heads`` with the wanted columns by name.
+def named_cells(lines: Lines, heads: DataFrame, wanted: list[str]) -> DataFrame:
+    """``file_path`` and the wanted columns by name, for the files in ``heads`` (file_path, names).
 
-    ``heads`` holds ``file_path, names`` and whatever else should stay with the
-    rows. Each file may order its columns in its own way; the place of each
-    wanted name travels with the file. A column the file lacks is NULL.
+    Each file may order its columns in its own way. The driver holds one entry per file,
+    as the listing of the input does; files with the same order are one case of a
+    plain expression. A column the file lacks is NULL.
     """
-    places = settle(
-        heads.withColumn(
-            "places", F.array(*[F.array_position("names", n).cast("int") for n in wanted])
-        ).drop("names")
-    )
-    width = places.agg(F.max(F.array_max("places"))).first()[0] or 1
-    rows = csv_cells(spark, paths, width, whole_file_limit).join(places, "file_path")
-    kept = [c for c in places.columns if c not in ("file_path", "places")]
-    return rows.select(
-        *kept, *[F.get("cells", F.get("places", F.lit(i)) - 1).alias(n) for i, n in enumerate(wanted)]
+    places = F.transform(
+        F.array(*[F.lit(n) for n in wanted]), lambda n: F.array_position("names", n).cast("int")
+    )
+    orders: dict[tuple[int, ...], list[str]] = {}
+    for r in heads.select("file_path", places.alias("places")).toLocalIterator():
+        orders.setdefault(tuple(r["places"]), []).append(r["file_path"])
+    width = max((max(order) for order in orders), default=1) or 1
+    cells = _cells(lines, width)
+
+    def rows(order: tuple[int, ...], files: list[str]) -> DataFrame:
+        named = [(F.get("cells", F.lit(p - 1)) if p else F.lit(None).cast("string")).alias(n) for p, n in zip(order, wanted)]
+        return _some_files(cells, files).select("file_path", *named)
+
+    if not orders:
+        return rows((0,) * len(wanted), [])
+    if len(orders) == 1 or sum(map(len, orders.values())) > FILES_AT_ONCE:
+        return reduce(DataFrame.unionByName, [rows(order, files) for order, files in orders.items()])
+    cases = list(orders.items())
+    place = F.array(*[F.lit(p) for p in cases[0][0]])
+    for order, files in cases[1:]:
+        place = F.when(F.col("file_path").isin(files), F.array(*[F.lit(p) for p in order])).otherwise(place)
+    chosen = _some_files(cells, [f for _, files in cases for f in files]).withColumn("places", place)
+    return chosen.select(
+        "file_path", *[F.when(F.get("places", F.lit(i)) > 0, F.get("cells", F.get("places", F.lit(i)) - 1)).alias(n)
+                       for i, n in enumerate(wanted)]
     )

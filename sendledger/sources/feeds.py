@@ -8,7 +8,8 @@ from sendledger import schemas as S
 from sendledger.functions.dates import (
     DAY_MONTH_NAME, ISO_DAY, ISO_SECOND, US_DAY, sheet_date, try_date,
 )
-from sendledger.sources.csv_rows import WHOLE_FILE_LIMIT, csv_cells, file_heads, header_names, named_cells
+from sendledger.session import settle
+from sendledger.sources.csv_rows import csv_cells, file_heads, header_names, named_cells, read_lines
 
 # FIXED VALUES: headers of a template file and the columns they fill.
 TEMPLATE_HEADERS = {"TemplateId": "tempid", "Sender": "sender", "Count": "count", "Text": "text"}
@@ -51,24 +52,27 @@ def typed_feed(rows: DataFrame, feed: str, kind: str) -> DataFrame:
     )
 
 
-def read_feed(
-    spark: SparkSession, path, feed: str, kind: str, whole_file_limit: int = WHOLE_FILE_LIMIT
-) -> DataFrame:
+def read_feed(spark: SparkSession, path, feed: str, kind: str) -> DataFrame:
     """One sheet, columns by position, plus ``file_path, block, pos`` for its order."""
     names = S.FEEDS[(feed, kind)]
-    rows = csv_cells(spark, path, len(names), whole_file_limit).select(
+    rows = csv_cells(spark, path, len(names)).select(
         "file_path", "block", "pos",
         *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)],
     )
     return typed_feed(rows, feed, kind)
 
 
-def read_templates(spark: SparkSession, path, whole_file_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
+def read_templates(spark: SparkSession, path) -> DataFrame:
     """Templates by header name; a missing column or value is empty text."""
-    heads = file_heads(spark, path).select(
-        "file_path", header_names(F.col("header")).alias("names")
+    lines = read_lines(spark, path)
+    heads = file_heads(lines).select(
+        "file_path", "is_closed", header_names(F.col("header")).alias("names")
     )
-    rows = named_cells(spark, path, heads, list(TEMPLATE_HEADERS), whole_file_limit)
+    heads = settle(heads)
+    unclosed = heads.where("NOT is_closed").first()
+    if unclosed:
+        raise ValueError(f"file ends inside a quoted cell: {unclosed['file_path']}")
+    rows = named_cells(lines, heads, list(TEMPLATE_HEADERS))
     return rows.select(
         [F.coalesce(F.col(h), F.lit("")).alias(n) for h, n in TEMPLATE_HEADERS.items()]
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sendledger.functions.dates import parse_report_ts
 from sendledger.functions.text import (
@@ -11,7 +14,7 @@ from sendledger.functions.text import (
 )
 from sendledger.schemas import HEADER_SPELLINGS, REPORT_HEADERS, STAGED_COLUMNS
 from sendledger.session import settle
-from sendledger.sources.csv_rows import WHOLE_FILE_LIMIT, file_heads, header_names, named_cells
+from sendledger.sources.csv_rows import file_heads, header_names, named_cells, read_lines
 
 CAMPAIGN_FIELDS = ["client", "product", "base", "vendor", "channel"]
 
@@ -29,33 +32,39 @@ def _normal_name(name: Column) -> Column:
 
 
 def read_delivery_reports(
-    spark: SparkSession, paths, campaign: dict[str, str], whole_file_limit: int = WHOLE_FILE_LIMIT
+    spark: SparkSession, paths, campaign: dict[str, str]
 ) -> tuple[DataFrame, DataFrame]:
     """Cleaned rows of all acceptable files, and the files turned away.
 
-    A file is turned away whole when it lacks a required column, or when a file
-    of the same name stands in the same batch (the first path wins).
+    A file is turned away whole when it ends inside a quoted cell, when it lacks a required
+    column, or when a file of the same name stands in the same batch (the first path wins).
     """
-    heads = file_heads(spark, paths).select(
+    lines = read_lines(spark, paths)
+    required = F.array(*[F.lit(n) for n in REPORT_HEADERS])
+    heads = file_heads(lines).select(
         "file_path",
+        "is_closed",
         source_from_path(F.col("file_path")).alias("source"),
         F.transform(header_names(F.col("header")), _normal_name).alias("names"),
     )
-    required = F.array(*[F.lit(n) for n in REPORT_HEADERS])
-    heads = settle(heads.withColumn("missing", F.array_except(required, "names")))
-    complete = heads.where(F.size("missing") == 0)
-    first = complete.groupBy("source").agg(F.min("file_path").alias("first_path"))
-    judged = heads.join(first, "source", "left").withColumn(
-        "reason",
-        F.when(F.size("missing") > 0, "missing columns").when(
-            F.col("file_path") != F.col("first_path"), "same name in batch"
-        ),
+    heads = heads.withColumn("missing", F.array_except(required, "names"))
+    sound = F.when(F.col("is_closed") & (F.size("missing") == 0), F.col("file_path"))
+    same = Window.partitionBy("source")
+    judged = settle(
+        heads.withColumn("first_path", F.min(sound).over(same)).withColumn(
+            "reason",
+            F.when(~F.col("is_closed"), "unclosed quote")
+            .when(F.size("missing") > 0, "missing columns")
+            .when(F.col("file_path") != F.col("first_path"), "same name in batch"),
+        )
     )
     rejected = judged.where(F.col("reason").isNotNull()).select(
         "source", "file_path", "missing", "reason"
     )
-    accepted = judged.where(F.col("reason").isNull()).select("file_path", "source", "names")
-    rows = named_cells(spark, paths, accepted, REPORT_HEADERS, whole_file_limit)
+    accepted = judged.where(F.col("reason").isNull()).select("file_path", "names")
+    rows = named_cells(lines, accepted, REPORT_HEADERS).withColumn(
+        "source", source_from_path(F.col("file_path"))
+    )
 
     def kept(c: Column) -> Column:
         # These fields keep an empty cell as empty text, not NULL.
@@ -85,19 +94,45 @@ def read_delivery_reports(
     return rows.select([cleaned[n].alias(n) for n in STAGED_COLUMNS]), rejected
 
 
+# How much of a number list is looked at to see what parts its entries.
+_PEEK_BYTES = 1 << 16
+
+
+def _separators(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Files by what Spark should split them at: a comma where no line ends near the start.
+
+    Both separators are honoured in every file; this only keeps a list that stands
+    on one huge line from becoming one row.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, list[str]] = {}
+    for r in spark.read.format("binaryFile").load(paths).select("path").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(r["path"])
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            start = bytes(stream.readNBytes(_PEEK_BYTES))
+        finally:
+            stream.close()
+        one_line = b"\n" not in start and b"," in start
+        found.setdefault("," if one_line else "\n", []).append(re.sub(r"[\[\]{}*?\\]", r"\\\g<0>", r["path"]))
+    return found
+
+
 def read_number_list(
-    spark: SparkSession, paths, campaign: dict[str, str], line_sep: str = "\n"
+    spark: SparkSession, paths, campaign: dict[str, str]
 ) -> tuple[DataFrame, DataFrame]:
     """Staged rows of all valid numbers, and the invalid entries.
 
-    Lines and commas both separate numbers. Spark splits the file at
-    ``line_sep``; give ``","`` for a list that stands on one huge line.
+    Lines and commas both separate numbers.
     """
+    read = [
+        spark.read.option("lineSep", sep).text(files).select("value", F.col("_metadata.file_path").alias("file_path"))
+        for sep, files in _separators(spark, paths).items()
+    ]
     entries = (
-        spark.read.option("lineSep", line_sep)
-        .text(paths)
+        reduce(DataFrame.unionByName, read)
         .select(
-            source_from_path(F.col("_metadata.file_path"), any_extension=True).alias("source"),
+            source_from_path(F.col("file_path"), any_extension=True).alias("source"),
             F.explode(F.split("value", r"\r?\n|,")).alias("entry"),
         )
         .select("source", strip(F.col("entry")).alias("entry"))

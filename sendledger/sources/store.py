@@ -12,6 +12,11 @@ from sendledger.functions.text import same_text
 from sendledger.schemas import CDR, LEDGER
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that the optimizer knows to be empty."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table, or no rows when nothing was written yet.
 
@@ -22,7 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
 
 
 def grouped(df: DataFrame, *partitions: str) -> DataFrame:
@@ -76,22 +81,32 @@ def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
         read_table(spark, f"{path}/versions", VERSION).orderBy(F.desc("version")).limit(1).collect()
     )
     if not newest:
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
     return read_table(spark, f"{path}/{newest[0]['folder']}", schema)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Write a new version beside the old one, then name it the current one.
 
-    ``df`` may be derived from the version in use: no path is overwritten.
+    ``df`` may be derived from the version in use: no path is overwritten. A version
+    number is claimed by creating a file, which only one of two writers can do;
+    the other must read the new version and start again.
     """
     spark = df.sparkSession
-    folder = f"data-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{folder}")
     newest = read_table(spark, f"{path}/versions", VERSION).agg(F.max("version")).first()[0] or 0
-    spark.createDataFrame([(newest + 1, folder)], VERSION).write.mode("append").parquet(
-        f"{path}/versions"
-    )
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{newest + 1}")
+    files = claim.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(claim.getParent())
+    if not files.createNewFile(claim):
+        raise RuntimeError(f"version {newest + 1} of {path} is being written by another load")
+    try:
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{folder}")
+        spark.createDataFrame([(newest + 1, folder)], VERSION).write.mode("append").parquet(
+            f"{path}/versions"
+        )
+    finally:
+        files.delete(claim, False)
 
 
 def replace_month(df: DataFrame, path: str, month: str, column: str = "month") -> None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sendledger.schemas import FEED_A_LEADS, FEED_B_LEADS, REPORT_HEADERS
-from sendledger.sources import feeds, store as S
+from sendledger.sources import csv_rows, feeds, store as S
 from sendledger.sources.csv_rows import csv_cells
 from sendledger.sources.reports import read_delivery_reports, read_number_list
 
@@ -42,8 +42,7 @@ def test_report_row(spark, tmp_path):
     assert rejected.count() == 0
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_many_layouts(spark, tmp_path, limit):
+def test_many_layouts(spark, tmp_path):
     names = HEADER.split(",")
     cells = dict(zip(names, ROW.split(",")))
     for i in range(3):
@@ -52,7 +51,7 @@ def test_many_layouts(spark, tmp_path, limit):
     spaced = [n.replace("_", "  ").upper() for n in names]
     put(tmp_path, "f3.csv", ",".join(f'" {n} "' for n in spaced) + "\n" + ROW + "\n")
     put(tmp_path, "bad.csv", ",".join(names[2:]) + "\n" + ",".join(ROW.split(",")[2:]) + "\n")
-    rows, rejected = read_delivery_reports(spark, str(tmp_path), CAMPAIGN, limit)
+    rows, rejected = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
     got = rows.collect()
     assert sorted(r["source"] for r in got) == ["f0", "f1", "f2", "f3"]
     assert len({tuple(v for k, v in r.asDict().items() if k != "source") for r in got}) == 1
@@ -78,8 +77,22 @@ def test_no_acceptable_file(spark, tmp_path):
     assert rejected.first()["missing"] == REPORT_HEADERS
 
 
-@pytest.mark.parametrize("split_bytes", ["64", "1000", "128m"])
-def test_both_ways_read_the_same(spark, tmp_path, split_bytes):
+@pytest.fixture
+def splits(spark):
+    """Sets the size of a split; the usual one comes back afterwards."""
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
+SPLITS = ["64", "1000", "128m"]
+
+
+def file_name():
+    return F.element_at(F.split("file_path", "/"), -1)
+
+
+@pytest.mark.parametrize("split_bytes", SPLITS)
+def test_splits_make_no_difference(spark, tmp_path, splits, split_bytes):
     """Quoted line ends across split boundaries, against Python's own reader."""
     rng = random.Random(3)
     pieces = ["a", "bc", ",", '"', "\n", " ", "\n\n", "x" * 90]
@@ -93,25 +106,67 @@ def test_both_ways_read_the_same(spark, tmp_path, split_bytes):
             writer.writerow(row)
             expected.append((f"f{i}.csv", *[c or None for c in row]))
         put(tmp_path, f"f{i}.csv", out.getvalue())
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
-    try:
-        for limit in (10**9, 0):
-            rows = csv_cells(spark, str(tmp_path), width, limit)
-            got = rows.select(F.element_at(F.split("file_path", "/"), -1).alias("f"), "cells").collect()
-            got = sorted(((r["f"], *[c or None for c in r["cells"]]) for r in got), key=repr)
-            assert got == sorted(expected, key=repr)
-            in_order = rows.where("file_path LIKE '%f1.csv'").orderBy("block", "pos").collect()
-            assert [int(r["cells"][0]) for r in in_order] == list(range(120))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
-
-
-def test_size_limit_splits_the_files(spark, tmp_path):
-    put(tmp_path, "small.csv", "a,b\n1,2\n")
-    put(tmp_path, "large.csv", "a,b\n" + "3,4\n" * 50)
-    rows = csv_cells(spark, str(tmp_path), 2, whole_file_limit=20)
-    counted = {r["f"]: r["count"] for r in rows.groupBy(F.element_at(F.split("file_path", "/"), -1).alias("f")).count().collect()}
-    assert counted == {"small.csv": 1, "large.csv": 50}
+    splits(split_bytes)
+    rows = csv_cells(spark, str(tmp_path), width)
+    got = rows.select(file_name().alias("f"), "cells").collect()
+    got = sorted(((r["f"], *[c or None for c in r["cells"]]) for r in got), key=repr)
+    assert got == sorted(expected, key=repr)
+    in_order = rows.where("file_path LIKE '%f1.csv'").orderBy("block", "pos").collect()
+    assert [int(r["cells"][0]) for r in in_order] == list(range(120))
+
+
+@pytest.mark.parametrize("split_bytes", SPLITS)
+def test_stray_quotes_are_text(spark, tmp_path, splits, split_bytes):
+    """A quote inside a cell opens nothing, wherever the file is split."""
+    lines = [f'{k},3,5" pipe,"a ""b""\nc",{k}' if k % 7 == 0 else f'{k},3,5" pipe,x" y"z,"q"" r"' for k in range(400)]
+    put(tmp_path, "f.csv", "a,b,c,d,e\n" + "\n".join(lines) + "\n")
+    splits(split_bytes)
+    got = {int(r["cells"][0]): r["cells"] for r in csv_cells(spark, str(tmp_path), 5).collect()}
+    assert len(got) == 400
+    assert got[7] == ["7", "3", '5" pipe', 'a "b"\nc', "7"]
+    assert got[8] == ["8", "3", '5" pipe', 'x" y"z', 'q" r']
+
+
+@pytest.mark.parametrize("split_bytes", SPLITS)
+def test_unclosed_file_is_turned_away(spark, tmp_path, splits, split_bytes):
+    put(tmp_path, "good.csv", HEADER + "\n" + (ROW + "\n") * 20)
+    put(tmp_path, "open.csv", HEADER + "\n" + (ROW + "\n") * 20 + ROW.replace(",hi,", ',"hi,') + "\n" + (ROW + "\n") * 50)
+    splits(split_bytes)
+    rows, rejected = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
+    assert [(r["source"], r["count"]) for r in rows.groupBy("source").count().collect()] == [("good", 20)]
+    assert [(r["source"], r["missing"], r["reason"]) for r in rejected.collect()] == [("open", [], "unclosed quote")]
+    with pytest.raises(ValueError, match="open.csv"):
+        csv_cells(spark, str(tmp_path), 3)
+
+
+def test_overlong_cell_is_turned_away(spark, tmp_path, splits, monkeypatch):
+    monkeypatch.setattr(csv_rows, "LONGEST_RECORD", 500)
+    stray = ROW.replace(",hi,", ',"hi,') + "\n" + (ROW + "\n") * 30 + ROW.replace(",hi,", ',hi",') + "\n"
+    put(tmp_path, "long.csv", HEADER + "\n" + stray)
+    splits("64")
+    rows, rejected = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
+    assert rows.count() == 0 and [r["reason"] for r in rejected.collect()] == ["unclosed quote"]
+
+
+def test_many_files_are_read_in_turns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_rows, "FILES_AT_ONCE", 2)
+    names = HEADER.split(",")
+    cells = dict(zip(names, ROW.split(",")))
+    for i in range(7):
+        order = names[i % 3 :] + names[: i % 3]
+        put(tmp_path, f"f{i}.csv", ",".join(order) + "\n" + ",".join(cells[n] for n in order) + "\n")
+    rows, _ = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
+    got = rows.collect()
+    assert sorted(r["source"] for r in got) == [f"f{i}" for i in range(7)]
+    assert {r["transaction_id"] for r in got} == {"77"} and {r["template_id"] for r in got} == {"8"}
+
+
+def test_number_list_on_one_line(spark, tmp_path, splits):
+    put(tmp_path, "one.txt", ",".join(str(9_000_000_000 + i) for i in range(20_000)))
+    splits("10000")
+    rows, _ = read_number_list(spark, str(tmp_path), {**CAMPAIGN, "date": "2025-04-05"})
+    assert rows.rdd.getNumPartitions() > 10
+    assert rows.select("mobileNo").distinct().count() == 20_000
 
 
 def test_number_list(spark, tmp_path):
@@ -123,8 +178,6 @@ def test_number_list(spark, tmp_path):
         ("my list.v2", "e", "e", "NA", "2025-04-05", "S")
     }
     assert [(r["source"], r["entry"]) for r in invalid.collect()] == [("my list.v2", "12345")]
-    commas, _ = read_number_list(spark, str(tmp_path), {**CAMPAIGN, "date": "2025-04-05"}, line_sep=",")
-    assert commas.count() == 3
 
 
 def test_feed_dates(spark, tmp_path):
