@@ -58,6 +58,15 @@ def is_dnd(cause: Column) -> Column:
     return any_like(cause, DND_PATTERNS)
 
 
+def _falls_between(month: int, day: int, first: date, last: date) -> bool:
+    """Whether some year has this month and day inside the range."""
+    years = range(first.year, last.year + 1)
+    if len(years) > 9:  # eight years in a row may lack a 29 February
+        return True
+    leap = [y for y in years if (month, day) != (2, 29) or (y % 4 == 0 and (y % 100 != 0 or y % 400 == 0))]
+    return any(first <= date(y, month, day) <= last for y in leap)
+
+
 def day_tokens(start: date | str, end: date | str) -> str:
     """Regular expression finding ``ddMM`` or ``MMdd`` of any day in the range.
 
@@ -65,15 +74,14 @@ def day_tokens(start: date | str, end: date | str) -> str:
     share two leading digits are folded to keep matching cheap.
     """
     day, last = (d if isinstance(d, date) else date.fromisoformat(d) for d in (start, end))
-    last = min(last, day + timedelta(days=366 * 8))
-    tails: dict[str, set[str]] = {}
-    while day <= last:
-        dd, mm = day.strftime("%d"), day.strftime("%m")
-        tails.setdefault(dd, set()).add(mm)
-        tails.setdefault(mm, set()).add(dd)
-        day += timedelta(days=1)
-    if not tails:
+    if last < day:
         raise ValueError("the day range is empty")
+    tails: dict[str, set[str]] = {}
+    for year_day in (date(2000, 1, 1) + timedelta(days=i) for i in range(366)):
+        if _falls_between(year_day.month, year_day.day, day, last):
+            dd, mm = year_day.strftime("%d"), year_day.strftime("%m")
+            tails.setdefault(dd, set()).add(mm)
+            tails.setdefault(mm, set()).add(dd)
     return "|".join(f"{head}(?:{'|'.join(sorted(ends))})" for head, ends in sorted(tails.items()))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sendledger.functions.text import name_key, same_text
+from sendledger.session import in_one_task
 
 
 def number_series(mobile: Column) -> Column:
@@ -19,7 +20,7 @@ def number_series(mobile: Column) -> Column:
 
 
 def one_circle(region: DataFrame) -> DataFrame:
-    return region.groupBy("series").agg(F.min("circle").alias("new_circle"))
+    return in_one_task(region).groupBy("series").agg(F.min("circle").alias("new_circle"))
 
 
 def with_circle(df: DataFrame, region: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def with_circle(df: DataFrame, region: DataFrame) -> DataFrame:
 def one_error_text(codes: DataFrame) -> DataFrame:
     """One status and cause per code, the smallest pair."""
     return (
-        codes.groupBy(F.lower("code").alias("code_key"))
+        in_one_task(codes)
+        .groupBy(F.lower("code").alias("code_key"))
         .agg(F.min(F.struct("status", "cause")).alias("text"))
         .select("code_key", F.col("text.status").alias("new_status"), F.col("text.cause").alias("new_cause"))
     )
@@ -73,7 +75,8 @@ def mapping_key(
     NULL if ``fallback`` is off.
     """
     dim = (
-        mapping.groupBy(F.lower(on).alias("lookup"))
+        in_one_task(mapping)
+        .groupBy(F.lower(on).alias("lookup"))
         .agg(F.min_by(value, "id").alias("found"))
     )
     joined = df.join(dim, F.lower(df[on]) == F.col("lookup"), "left")

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sendledger.functions.dates import DAY_KEY, day_key, try_date
 
-# FIXED VALUE: medium of the sales the detail report shows.
-SALE_MEDIUM = "%Acko_car%"
-
 LEAD_ONLY = ["quote_load", "gmb_definition"]
 SALE_ONLY = ["gwp", "amount"]
 
@@ -20,44 +17,33 @@ def _medium_day(day: date | str) -> str:
     return d.strftime("%d_%m_%Y")
 
 
-def feed_a_counts(leads: DataFrame, sales: DataFrame) -> DataFrame:
-    """Mediums, distinct leads and distinct sales by day key, by date.
+def feed_a_counts(leads: DataFrame, sales: DataFrame, mediums: bool = False) -> DataFrame:
+    """Distinct leads and distinct sales by day key, by date; on request with the list of mediums.
 
-    Both sides are counted on their own first: a join of the raw rows would
-    pair every lead of a day with every sale of that day.
+    Each lead and sale is brought to one row per day first: a join of the raw rows would
+    pair every lead of a day with every sale of that day. ``feed_a_mediums`` gives the mediums
+    as rows; the list is for days whose mediums are few.
     """
     key = day_key(F.col("utm_medium")).alias("extracted_date")
-    none = F.lit(0).cast("bigint")
-    no_list = F.lit(None).cast("string").alias("all_mediums")
-    lead_side = leads.groupBy(key).agg(
-        F.count_distinct("id").alias("lead_count"), none.alias("sale_count"), no_list
-    )
-    sale_side = sales.groupBy(key).agg(
-        none.alias("lead_count"), F.count_distinct("id").alias("sale_count"), no_list
-    )
-    mediums = (
-        leads.select("utm_medium").unionByName(sales.select("utm_medium"))
-        .distinct()
-        .groupBy(key)
-        .agg(
-            none.alias("lead_count"),
-            none.alias("sale_count"),
-            F.nullif(
-                F.concat_ws(",", F.array_sort(F.collect_list("utm_medium"))), F.lit("")
-            ).alias("all_mediums"),
-        )
-    )
-    # Rows without a medium form a group of their own that matches no lead or sale.
-    counted = lambda name: F.when(F.col("extracted_date").isNull(), 0).otherwise(F.sum(name))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(key, F.lit(name).alias("side"), "id", "utm_medium")
+
+    both = side(leads, "lead").unionByName(side(sales, "sale"))
+    seen = [F.collect_set("utm_medium").alias("mediums")] if mediums else []
+    each = both.groupBy("extracted_date", "side", "id")
+    each = each.agg(*seen) if mediums else each.agg(F.lit(None).alias("nothing")).drop("nothing")
+
+    def counted(name: str) -> Column:
+        n = F.count(F.when(F.col("side") == name, F.col("id")))
+        # Rows without a medium form a group of their own that matches no lead or sale.
+        return F.when(F.col("extracted_date").isNull(), 0).otherwise(n).cast("bigint").alias(f"{name}_count")
+
+    listed = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("mediums")))), ",") if mediums else None
+    totals = [F.nullif(listed, F.lit("")).alias("all_mediums")] if mediums else []
     return (
-        lead_side.unionByName(sale_side)
-        .unionByName(mediums)
-        .groupBy("extracted_date")
-        .agg(
-            F.max("all_mediums").alias("all_mediums"),
-            counted("lead_count").cast("bigint").alias("lead_count"),
-            counted("sale_count").cast("bigint").alias("sale_count"),
-        )
+        each.groupBy("extracted_date")
+        .agg(*totals, counted("lead"), counted("sale"))
         .orderBy(try_date(F.col("extracted_date"), DAY_KEY), "extracted_date")
     )
 
@@ -91,9 +77,9 @@ def self_dated() -> Column:
 
 
 def feed_a_detail(
-    leads: DataFrame, sales: DataFrame, day, sale_medium: str = SALE_MEDIUM, parity: bool = False
+    leads: DataFrame, sales: DataFrame, day, sale_medium: str, parity: bool = False
 ) -> DataFrame:
-    """All leads of a day and the sales shown beside them, one row each.
+    """All leads of a day and the sales of a medium (a LIKE pattern) beside them, one row each.
 
     ``side`` tells leads from sales. By default the sales are those of the same
     day; ``parity`` takes the sales of any day whose medium holds their own

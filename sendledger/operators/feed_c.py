@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sendledger.functions.dates import tail_date
 from sendledger.functions.predicates import (
@@ -62,21 +62,23 @@ def funnel(
     """
     campaign = F.col("utm_campaign")
     year = year or int(str(start)[:4])
+    wanted = on_day_tokens(campaign, start, end) & channel_filter(campaign, channel)
     counted = (
         _tagged(stages)
-        .where(on_day_tokens(campaign, start, end) & channel_filter(campaign, channel))
         .groupBy("utm_campaign")
-        .agg(*_measures())
+        .agg(*_measures(), F.count(F.lit(1)).alias("rows"))
+        # Every group has rows; asking for them keeps the patterns off the raw rows.
+        .where(F.when(F.col("rows") > 0, wanted))
+        .drop("rows")
         .withColumn("campaign_date", campaign_token(campaign, fixed))
         .withColumn("formatted_date", tail_date(campaign, year))
         .withColumn("campaign_type", label(campaign, CHANNEL_RULES, CHANNEL_DEFAULT))
     )
     if fixed:
-        of_type = lambda t: F.sum(F.when(F.col("campaign_type") == t, F.col("lead_count")))
-        per_token = counted.groupBy("campaign_date").agg(
-            of_type("RCS").alias("total_rc_lead_count"), of_type("SMS").alias("total_sm_lead_count")
-        )
-        counted = counted.join(per_token, "campaign_date", "left")
+        token = Window.partitionBy("campaign_date")  # one row per campaign is left
+        for name, kind in (("total_rc_lead_count", "RCS"), ("total_sm_lead_count", "SMS")):
+            of_kind = F.when(F.col("campaign_date").isNotNull() & (F.col("campaign_type") == kind), F.col("lead_count"))
+            counted = counted.withColumn(name, F.sum(of_kind).over(token))
     else:
         nothing = F.lit(None).cast("bigint")
         counted = counted.withColumn("total_rc_lead_count", nothing).withColumn(

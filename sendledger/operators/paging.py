@@ -6,57 +6,58 @@ source has several rows at a page edge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from sendledger.operators.reports import client_uploads
 
 PAGE_SIZE = 10
 
 
-def _sources(df: DataFrame, cursor: str | None, limit: int, direction: str) -> DataFrame:
-    sources = df.select("source").distinct()
-    back = direction == "prev"
-    if cursor:
-        sources = sources.where(F.col("source") < cursor if back else F.col("source") > cursor)
-    return sources.orderBy(F.desc("source") if back else F.asc("source")).limit(limit)
+def _after(cursor: str | None, direction: str) -> Column:
+    if not cursor:
+        return F.lit(True)
+    return F.col("source") < cursor if direction == "prev" else F.col("source") > cursor
+
+
+def _order(direction: str) -> Column:
+    return F.desc("source") if direction == "prev" else F.asc("source")
 
 
 def page(
     df: DataFrame, cursor: str | None = None, limit: int = PAGE_SIZE, direction: str = "next"
 ) -> DataFrame:
-    """Rows of the next (or previous) ``limit`` sources after ``cursor``, ascending."""
+    """Rows of the next (or previous) ``limit`` sources after ``cursor``, ascending.
+
+    One pass: the cursor is a condition on a grouping key, so it reaches the scan, and each
+    task passes on the rows of its own first ``limit`` sources only. Rows without a source
+    stay on the first page.
+    """
     rest = [c for c in df.columns if c != "source"]
-    chosen = _sources(df, cursor, limit, direction).withColumnRenamed("source", "chosen")
-    # Null-safe, so rows without a source stay on the first page.
-    rows = df.join(chosen, F.col("source").eqNullSafe(F.col("chosen")), "left_semi")
-    return rows.orderBy("source", *rest)
+    place = F.dense_rank().over(Window.orderBy(_order(direction)))
+    rows = df.where(_after(cursor, direction)).withColumn("place", place).where(F.col("place") <= limit)
+    return rows.drop("place").orderBy("source", *rest)
 
 
 def page_info(
-    df: DataFrame,
-    total: DataFrame,
-    limit: int = PAGE_SIZE,
-    cursor: str | None = None,
-    direction: str = "next",
+    promo: DataFrame, client: str, start, end,
+    limit: int = PAGE_SIZE, cursor: str | None = None, direction: str = "next",
 ) -> DataFrame:
-    """One row about a page: totals, cursors, and whether there is more.
+    """One row about a page of a client's uploads: totals, cursors, and whether there is more.
 
-    ``total`` is the one-row result of ``source_count``.
+    Totals and page come from one list of months and sources, so the rows are read once.
     """
-    here = _sources(df, cursor, limit, direction).agg(
-        F.lit(None).cast("bigint").alias("total_records"),
-        F.min("source").alias("first_cursor"),
-        F.max("source").alias("last_cursor"),
-        F.count(F.lit(1)).alias("page_sources"),
-    )
-    counted = total.select(
-        F.col("total_records").cast("bigint"),
-        F.lit(None).cast("string").alias("first_cursor"),
-        F.lit(None).cast("string").alias("last_cursor"),
-        F.lit(None).cast("bigint").alias("page_sources"),
+    pairs = client_uploads(promo, client, start, end).select("month", "source").distinct()
+    none = {"total_records": "bigint", "first_cursor": "string", "last_cursor": "string", "page_sources": "bigint"}
+
+    def row(df: DataFrame, **found: Column) -> DataFrame:
+        return df.agg(*[found.get(n, F.lit(None).cast(t)).alias(n) for n, t in none.items()])
+
+    sources = pairs.where(_after(cursor, direction)).select("source").distinct().orderBy(_order(direction)).limit(limit)
+    here = row(
+        sources, first_cursor=F.min("source"), last_cursor=F.max("source"), page_sources=F.count(F.lit(1))
     )
+    merged = here.unionByName(row(pairs, total_records=F.count(F.lit(1)))).agg(*[F.max(n).alias(n) for n in none])
     current = "1" if not cursor else ("Previous" if direction == "prev" else "Next")
-    merged = here.unionByName(counted).agg(
-        *[F.max(c).alias(c) for c in ("total_records", "first_cursor", "last_cursor", "page_sources")]
-    )
     return merged.select(
         "total_records",
         F.ceil(F.col("total_records") / F.lit(limit)).cast("bigint").alias("total_pages"),

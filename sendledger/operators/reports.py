@@ -114,7 +114,7 @@ def cause_ranking(log: DataFrame, start, end) -> DataFrame:
     )
 
 
-def _of_client(promo: DataFrame, client: str, start, end) -> DataFrame:
+def client_uploads(promo: DataFrame, client: str, start, end) -> DataFrame:
     return on_days(promo, promo_day(promo), start, end).where(
         any_like(F.col("client"), [f"%{client}%"])
     )
@@ -126,7 +126,7 @@ UPLOAD_KEYS = ["vendor", "product", "date", "source", "channel", "client"]
 def upload_list(promo: DataFrame, client: str, start, end) -> DataFrame:
     """Numbers per vendor, product, day, source, channel and client, by source."""
     return (
-        _of_client(promo, client, start, end)
+        client_uploads(promo, client, start, end)
         .groupBy("vendor", "product", F.substring("date", 1, 10).alias("date"), "source", "channel", "client")
         .agg(F.count("mobileNo").alias("mobile_count"))
         .orderBy("source", "vendor", "product", "date", "channel", "client")
@@ -136,7 +136,7 @@ def upload_list(promo: DataFrame, client: str, start, end) -> DataFrame:
 def source_count(promo: DataFrame, client: str, start, end) -> DataFrame:
     """Distinct sources counted month by month, then summed over the months."""
     return (
-        _of_client(promo, client, start, end)
+        client_uploads(promo, client, start, end)
         .groupBy("month")
         .agg((F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))).alias("n"))
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"))
@@ -163,8 +163,8 @@ def message_texts(log: DataFrame, month: str | None = None, by_group: bool = Fal
 
 
 def _done_days(done: DataFrame, client: str, start, end) -> DataFrame:
-    day = F.substring("date", 1, 10)
-    return by(done, client=client).where(day.between(str(start), str(end))).withColumn("date", day)
+    rows = on_days(by(done, client=client), _day(done, "submit_date", "date"), start, end)
+    return rows.withColumn("date", F.substring("date", 1, 10))
 
 
 def base_check(done: DataFrame, client: str, start, end) -> DataFrame:

@@ -2,13 +2,15 @@
 
 The cleaned rows are grouped by month and key and settled once in the shared
 folder; the tables are four projections of them, written without another
-shuffle. Each append skips rows whose (month, key, source) the table holds, so a
-load cut short can simply be run again. The message log comes last: it is the
-table that says whether a file was loaded.
+shuffle. A small ledger holds which (table, month, key, source) was loaded. Before
+the writes the batch's keys are marked as pending, after them as loaded. A later load
+skips loaded keys by the ledger alone; only keys that a load cut short left pending are
+looked up in the stored table itself, so a load can simply be run again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -19,13 +21,10 @@ from sendledger.functions.predicates import is_dnd
 from sendledger.functions.text import nth_field
 from sendledger.operators.enrich import mapping_key, with_circle, with_error_text
 from sendledger.operators.existence import known_keys, same_messages, unseen
-from sendledger.session import settle
+from sendledger.session import in_one_task, scratch, settle
 from sendledger.sources.reports import NOT_GIVEN
 from sendledger.sources.store import grouped, month_text, read_table, write_month_partitioned
 
-# Up to this many months a load names the stored months it compares with.
-MOST_MONTHS = 240
-
 # FIXED VALUES: channel name and place of the ids in a call-detail record.
 CDR_CHANNEL_NAME = "UI"
 ENTITY_FIELD = 10
@@ -44,6 +43,7 @@ LOG = Table("message_log", S.MESSAGE_LOG, ("month", "mapping_key"), ("month", "m
 DND = Table("dnd", S.DND, ("month", "mapping_key"), ("month", "mapping_key", "source"))
 DONE = Table("campaign_done", S.CAMPAIGN_DONE, ("month", "done_key"), ("month", "done_key", "source"))
 PROMO = Table("promotions_log", S.PROMOTIONS, ("month",), ("month", "source"))
+LOADS = Table("loads", S.LOADS, ("month",), ("folder", "month", "key", "source"))
 REJECTED = Table("rejected_files", S.REJECTED, (), ("file_path",))
 
 
@@ -107,66 +107,113 @@ def _settled_stage(rows: DataFrame) -> DataFrame:
     return settle(grouped(rows, "month", "mapping_key"))
 
 
-def batch_months(stage: DataFrame) -> list[str] | None:
-    """The months of a batch, or None when stray dates make them too many to list."""
-    months = [r["month"] for r in stage.select("month").distinct().limit(MOST_MONTHS + 1).collect()]
-    return months if len(months) <= MOST_MONTHS else None
+@dataclass(frozen=True)
+class Loaded:
+    """The sources a load added, and those it found loaded before."""
+
+    sources: list[str]
+    duplicates: list[str]
+
+
+# The column of a stage row that a table's key is taken from; none for a table kept by month only.
+KEYS = {LOG.folder: "mapping_key", DND.folder: "mapping_key", DONE.folder: "done_key", PROMO.folder: None}
+LOADED, PENDING = "loaded", "pending"
 
 
-def _stored_keys(store: Store, table: Table, batch: DataFrame, months: list[str] | None) -> DataFrame:
-    """Keys of the batch the table holds already, settled so their size is known.
+def _marks(stage: DataFrame, store: Store, tables: list[Table]) -> DataFrame:
+    """The batch's keys in each table with what the ledger says of them: folder, month, key, source, state.
 
-    Only the batch's months of the table are read.
+    A key may stand more than once.
     """
-    stored = store.read(table)
-    if months is not None:
-        stored = stored.where(F.col("month").isin(months))
-    return settle(known_keys(batch, stored, list(table.keys)))
+    keys = stage.groupBy("month", "mapping_key", "done_key", "source").agg(
+        F.max(is_dnd(F.col("cause"))).alias("has_dnd")
+    )
 
+    def entry(t: Table):
+        key = F.col(KEYS[t.folder]) if KEYS[t.folder] else F.lit("")
+        mark = F.struct(F.lit(t.folder).alias("folder"), "month", key.alias("key"), "source")
+        return F.when(F.col("has_dnd"), mark) if t is DND else mark
+
+    each = keys.select(F.explode(F.array(*[entry(t) for t in tables])).alias("m")).where("m IS NOT NULL").select("m.*")
+    names = list(LOADS.keys)
+    ledger = (
+        in_one_task(store.read(LOADS))
+        .groupBy(*names)
+        .agg(F.min("state").alias("state"))  # "loaded" sorts before "pending"
+    )
+    return settle(each.join(ledger, names, "left"))
 
-def append_new(
-    df: DataFrame, store: Store, table: Table, months: list[str] | None = None, is_grouped: bool = False
-) -> None:
-    """Append the rows whose source the table does not hold yet."""
-    known = _stored_keys(store, table, df, months)
-    fresh = unseen(df, known, list(table.keys))
-    write_month_partitioned(fresh, store.path(table), table.partitions, is_grouped)
 
+def _note(marks: DataFrame, store: Store, state: str) -> None:
+    rows = marks.where(F.col("source").isNotNull()).withColumn("state", F.lit(state))
+    rows.select(S.LOADS.names).coalesce(1).write.partitionBy("month").mode("append").parquet(store.path(LOADS))
 
-@dataclass(frozen=True)
-class Loaded:
-    rows: DataFrame
-    duplicates: DataFrame
+
+def _fresh(rows: DataFrame, store: Store, table: Table, marks: DataFrame, states: set[str]) -> DataFrame:
+    """The rows whose key is not stored yet, by the ledger; pending keys are looked up in the table."""
+    if not states:
+        return rows
+    own = marks.where(F.col("folder") == table.folder)
+    names = {"key": KEYS[table.folder]} if KEYS[table.folder] else {}
+    own = own.withColumnsRenamed(names).select("state", *table.keys)
+    known = own.where(F.col("state") == LOADED).drop("state")
+    if PENDING in states:
+        pending = own.where(F.col("state") == PENDING).drop("state")
+        stored = store.read(table).join(pending, list(table.keys), "left_semi")
+        known = known.unionByName(known_keys(pending, stored, list(table.keys)))
+    return unseen(rows, settle(known), list(table.keys))
+
+
+def load_stage(
+    stage: DataFrame, store: Store, steps: list[tuple[Table, Callable[[DataFrame], DataFrame]]], deciding: Table
+) -> Loaded:
+    """Append a settled stage to the tables; the deciding table tells which sources are known."""
+    marks = _marks(stage, store, [table for table, _ in steps])
+    source = F.when(F.col("folder") == deciding.folder, F.col("source"))
+    states: dict[str, set[str]] = {}
+    sources: dict[str | None, set[str]] = {}
+    unnamed = False
+    # A load has few sources: the driver listed their files.
+    for r in in_one_task(marks).groupBy("folder", "state").agg(
+        F.collect_set(source).alias("sources"), F.max(F.col("source").isNull()).alias("unnamed")
+    ).collect():
+        sources.setdefault(r["state"], set()).update(r["sources"])
+        unnamed = unnamed or r["unnamed"]
+        if r["state"]:
+            states.setdefault(r["folder"], set()).add(r["state"])
+    known = sources.get(LOADED, set())
+    added = set().union(*sources.values()) - known if sources else set()
+    if not added and not unnamed:
+        return Loaded([], sorted(known))
+    rows = stage
+    if known:
+        listed = marks.where((F.col("folder") == deciding.folder) & (F.col("state") == LOADED)).select("source")
+        rows, marks = unseen(stage, listed, ["source"]), settle(unseen(marks, listed, ["source"]))
+    _note(marks.where("state IS NULL"), store, PENDING)
+    for table, project in steps:
+        fresh = _fresh(project(rows), store, table, marks, states.get(table.folder, set()))
+        write_month_partitioned(fresh, store.path(table), table.partitions, is_grouped=True)
+    _note(marks.where(F.coalesce(F.col("state"), F.lit("")) != LOADED), store, LOADED)
+    return Loaded(sorted(added), sorted(known))
 
 
 def ingest(
     staged: DataFrame, store: Store, mapping: DataFrame, region: DataFrame,
     sender: str | None = None, month: str | None = None,
 ) -> Loaded:
-    """Load staged rows into all four tables; returns what was new and what was not."""
-    stage = _settled_stage(route(with_circle(staged, region), mapping, sender, month))
-    months = batch_months(stage)
-    known = _stored_keys(store, LOG, stage, months).select("source").distinct()
-    fresh = unseen(stage, known, ["source"])
-    for rows, table in ((to_dnd(fresh), DND), (to_done(fresh), DONE), (to_promo(fresh), PROMO)):
-        append_new(rows, store, table, months, is_grouped=True)
-    # No fresh source is in the log: that is how it was told apart above.
-    write_month_partitioned(to_log(fresh), store.path(LOG), LOG.partitions, is_grouped=True)
-    return Loaded(fresh, known)
+    """Load staged rows into all four tables; a source that the message log holds is left out."""
+    with scratch(store.spark):
+        stage = _settled_stage(route(with_circle(staged, region), mapping, sender, month))
+        return load_stage(stage, store, [(DND, to_dnd), (DONE, to_done), (PROMO, to_promo), (LOG, to_log)], LOG)
 
 
 def ingest_numbers(
     staged: DataFrame, store: Store, mapping: DataFrame, region: DataFrame, date: str
 ) -> Loaded:
     """Load a number list into the campaign table and the promotions log only."""
-    stage = _settled_stage(route(with_circle(staged, region), mapping, month=month_text(date)))
-    months = batch_months(stage)
-    known = _stored_keys(store, DONE, stage, months).select("source").distinct()
-    fresh = unseen(stage, known, ["source"])
-    append_new(to_promo(fresh), store, PROMO, months, is_grouped=True)
-    # The campaign table decides whether a list was loaded, so it comes last.
-    write_month_partitioned(to_done(fresh), store.path(DONE), DONE.partitions, is_grouped=True)
-    return Loaded(fresh, known)
+    with scratch(store.spark):
+        stage = _settled_stage(route(with_circle(staged, region), mapping, month=month_text(date)))
+        return load_stage(stage, store, [(PROMO, to_promo), (DONE, to_done)], DONE)
 
 
 def cdr_rows(cdr: DataFrame, txn: str, campaign: dict[str, str], zone: str = "UTC") -> DataFrame:
@@ -210,10 +257,11 @@ def ingest_cdr(
     ``campaign`` gives source, client, product, base, vendor, channel, sender and
     the date whose month the rows go to.
     """
-    staged = settle(with_error_text(cdr_rows(cdr, txn, campaign, zone), codes, txn))
-    if staged.isEmpty():
-        raise ValueError(f"transaction {txn} has no call-detail records")
-    return ingest(
-        staged, store, mapping, region,
-        sender=campaign.get("sender"), month=month_text(campaign["date"]),
-    )
+    with scratch(store.spark):
+        staged = settle(with_error_text(cdr_rows(cdr, txn, campaign, zone), codes, txn))
+        if staged.isEmpty():
+            raise ValueError(f"transaction {txn} has no call-detail records")
+        return ingest(
+            staged, store, mapping, region,
+            sender=campaign.get("sender"), month=month_text(campaign["date"]),
+        )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sendledger.operators.mapping import add_mappings, update_mapping
 from sendledger.operators.templates import refresh_templates
 from sendledger.schemas import MAPPING, TEMPLATES
-from sendledger.session import settle
+from sendledger.session import scratch, settle
 from sendledger.sources.feeds import read_templates
 from sendledger.sources.store import read_current, replace_table
 
@@ -31,6 +31,6 @@ def load_templates(
 ) -> None:
     """Refresh the stored templates from a CSV file."""
     stored = read_current(spark, path, TEMPLATES)
-    replace_table(
-        refresh_templates(stored, read_templates(spark, csv_path), transactional, kind, month), path
-    )
+    with scratch(spark):
+        new = read_templates(spark, csv_path)
+        replace_table(refresh_templates(stored, new, transactional, kind, month), path)

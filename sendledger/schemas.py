@@ -46,7 +46,7 @@ STAGED_COLUMNS = [
 ]
 STAGED = texts(*STAGED_COLUMNS)
 
-# Stored tables: text as received, typed days for pushdown, then the partition columns.
+# FIXED VALUES: columns of the stored tables, text as received, typed days for pushdown, then the partition columns.
 LOG_COLUMNS = [c for c in STAGED_COLUMNS if c not in ("client", "base", "vendor", "channel")]
 DND_COLUMNS = ["mobileNo", "status", "date"]
 DONE_COLUMNS = [
@@ -71,6 +71,8 @@ DND = _stored([*DND_COLUMNS, "source"], "submit_date", "month", "mapping_key")
 CAMPAIGN_DONE = _stored(DONE_COLUMNS, "submit_date", "month", "done_key")
 PROMOTIONS = _stored(PROMO_COLUMNS, "delivered_date", "month")
 
+LOADS = texts("folder", "key", "source", "state", "month")
+
 MAPPING = layout(
     "id int, sender string, client string, product string, channel string, "
     "mapping string, log_mapping string"

@@ -10,10 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from sendledger.operators.existence import unseen
 from sendledger.operators.reports import counters
 from sendledger.plans.ingest import REJECTED, Store, ingest
+from sendledger.session import scratch, settle
 from sendledger.sources.reports import read_delivery_reports
+from sendledger.sources.store import read_current, replace_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-FILES_PER_BATCH = 10
+FILES_PER_BATCH = 1000
 GLOB_CHARS = r"[\[\]{}*?\\]"
 
 
@@ -50,10 +52,11 @@ def watch_reports(
         names = [r["path"] for r in batch.distinct().collect()]
         paths = [re.sub(GLOB_CHARS, r"\\\g<0>", name) for name in names]
         if paths:
-            rows, rejected = read_delivery_reports(batch.sparkSession, paths, campaign)
-            noted = unseen(rejected, store.read(REJECTED), ["file_path"])
-            noted.select(REJECTED.schema.names).write.mode("append").parquet(store.path(REJECTED))
-            ingest(rows, store, mapping, region)
+            with scratch(batch.sparkSession):
+                rows, rejected = read_delivery_reports(batch.sparkSession, paths, campaign)
+                noted = unseen(rejected, store.read(REJECTED), ["file_path"])
+                noted.select(REJECTED.schema.names).write.mode("append").parquet(store.path(REJECTED))
+                ingest(rows, store, mapping, region)
 
     writer = names.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
@@ -61,8 +64,26 @@ def watch_reports(
 
 
 def running_counts(stream: DataFrame) -> DataFrame:
-    """Counters by source over a growing message log; use output mode ``update``."""
-    return stream.groupBy("source").agg(*counters())
+    """Counters by source over a growing message log, for ``keep_counts``; rows without a source are left out."""
+    return stream.where("source IS NOT NULL").groupBy("source").agg(*counters())
+
+
+def keep_counts(counted: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest counters of each source in a stored table; drains what is there and stops.
+
+    Only the sources of a micro-batch arrive; the table is rewritten as a new version, so a
+    batch run again gives the same table.
+    """
+    schema = counted.schema
+
+    def merge(batch: DataFrame, _: int) -> None:
+        with scratch(batch.sparkSession):
+            changed = settle(batch)
+            kept = read_current(batch.sparkSession, path, schema).join(changed, "source", "left_anti")
+            replace_table(kept.select(schema.names).unionByName(changed), path)
+
+    writer = counted.writeStream.outputMode("update").foreachBatch(merge)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hourly_counts(stream: DataFrame, lateness: str = "2 days") -> DataFrame:

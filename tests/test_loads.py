@@ -15,7 +15,9 @@ from sendledger.plans import ingest as I
 from sendledger.plans.feeds import (
     LOADED, append_feed, first_per_phone, ledger_path, load_feed, read_stored_feed,
 )
+from sendledger.plans.lookup import client_base, stored_rows
 from sendledger.plans.tables import change_mappings, load_templates, save_mappings
+from sendledger import session
 from sendledger.session import settle
 from sendledger.sources import store as S
 from sendledger.sources.reports import read_delivery_reports
@@ -72,7 +74,7 @@ def test_load_is_idempotent_and_routed(spark, tmp_path, mapping, region):
     store = I.Store(spark, str(tmp_path / "store"))
     rows, _ = read_delivery_reports(spark, str(tmp_path / "in"), CAMPAIGN)
     first = I.ingest(rows, store, mapping, region)
-    assert first.duplicates.count() == 0 and first.rows.count() == 3
+    assert first.duplicates == [] and first.sources == ["one", "two"]
     after = counts(store)
     assert after == {"message_log": 3, "dnd": 2, "campaign_done": 3, "promotions_log": 3}
     # The month of each row counts, not that of the file's last row.
@@ -86,19 +88,83 @@ def test_load_is_idempotent_and_routed(spark, tmp_path, mapping, region):
     report(tmp_path / "in", "three.csv", ["4/7/2025"])
     rows, _ = read_delivery_reports(spark, str(tmp_path / "in"), CAMPAIGN)
     second = I.ingest(rows, store, mapping, region)
-    assert sorted(r["source"] for r in second.duplicates.collect()) == ["one", "two"]
+    assert second.duplicates == ["one", "two"] and second.sources == ["three"]
     assert counts(store) == {"message_log": 4, "dnd": 2, "campaign_done": 4, "promotions_log": 4}
 
 
-def test_interrupted_load_is_completed(spark, tmp_path, mapping, region):
-    """The log is written last: a load that stopped before it runs again without doubling."""
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("writes", range(7))
+def test_interrupted_load_is_completed(spark, tmp_path, mapping, region, monkeypatch, writes):
+    """A load may stop after any write, ledger entries included; run again, it doubles nothing."""
     store = I.Store(spark, str(tmp_path))
-    rows = staged(spark, [{"cause": "NCPR Fail"}, {"source": "s2"}])
-    part = I.route(rows, mapping)
-    I.append_new(I.to_dnd(part), store, I.DND)
-    I.append_new(I.to_done(part), store, I.DONE)
-    I.ingest(rows, store, mapping, region)
-    assert counts(store) == {"message_log": 2, "dnd": 1, "campaign_done": 2, "promotions_log": 2}
+    rows = staged(spark, [{"cause": "NCPR Fail"}, {"source": "s2"}, {"source": "s2", "submit_time": "2025-05-05 10:00:00"}])
+    left = [writes]
+
+    def guarded(write):
+        def run(*args, **options):
+            if not left[0]:
+                raise Crash
+            left[0] -= 1
+            return write(*args, **options)
+
+        return run
+
+    with monkeypatch.context() as patch:
+        patch.setattr(I, "write_month_partitioned", guarded(I.write_month_partitioned))
+        patch.setattr(I, "_note", guarded(I._note))
+        if writes < 6:
+            with pytest.raises(Crash):
+                I.ingest(rows, store, mapping, region)
+        else:
+            I.ingest(rows, store, mapping, region)
+    again = I.ingest(rows, store, mapping, region)
+    assert counts(store) == {"message_log": 3, "dnd": 1, "campaign_done": 3, "promotions_log": 3}
+    assert (again.sources, again.duplicates) == (([], ["s1", "s2"]) if writes == 6 else (["s1", "s2"], []))
+    assert I.ingest(rows, store, mapping, region).duplicates == ["s1", "s2"]
+    assert counts(store)["promotions_log"] == 3
+
+
+def test_a_load_leaves_no_settled_files(spark, tmp_path, mapping, region, monkeypatch):
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(folder))
+    os.mkdir(tmp_path / "in")
+    report(tmp_path / "in", "one.csv", ["4/5/2025"])
+    store = I.Store(spark, str(tmp_path / "store"))
+
+    def load():
+        with session.scratch(spark):
+            rows, _ = read_delivery_reports(spark, str(tmp_path / "in"), CAMPAIGN)
+            return I.ingest(rows, store, mapping, region)
+
+    assert load().sources == ["one"]
+    assert os.listdir(folder) == []
+    monkeypatch.setattr(I, "to_promo", lambda df: df.select("no such column"))
+    report(tmp_path / "in", "two.csv", ["4/5/2025"])
+    with pytest.raises(Exception):
+        load()
+    assert os.listdir(folder) == []
+    assert settle(spark.range(3)).count() == 3 and len(os.listdir(folder)) == 1
+
+
+def test_shared_folder_must_be_named(spark, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: None)
+    with pytest.raises(RuntimeError):
+        session.work_folder(spark)
+
+
+def test_a_load_takes_few_jobs(spark, tmp_path, mapping, region):
+    store, group = I.Store(spark, str(tmp_path)), "few-jobs"
+    rows = settle(staged(spark, [{"cause": "NCPR Fail"}, {"source": "s2"}]))
+    mapping, region = settle(mapping), settle(region)
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        I.ingest(rows, store, mapping, region)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 15
 
 
 def test_unreadable_month_is_guarded_too(spark, tmp_path, mapping, region):
@@ -160,6 +226,37 @@ def test_log_reads_are_pruned(spark, tmp_path, mapping, region, capsys):
     assert "text:" not in schema and "entity_id" not in schema
 
 
+def test_reports_by_name_read_their_folders_only(spark, tmp_path, mapping, region, capsys):
+    store = I.Store(spark, str(tmp_path))
+    I.ingest(staged(spark, [{}, {"sender": "other", "client": "c 2"}, {"source": "s2", "submit_time": "2025-05-05 10:00:00"}]), store, mapping, region)
+    days = ("2025-04-01", "2025-04-30")
+    log = stored_rows(store, I.LOG, mapping, "SEND", *days)
+    assert log.count() == 1
+    R.campaign_summary(log, "SEND", *days).explain("formatted")
+    R.base_check(stored_rows(store, I.DONE, mapping, "C 1", *days), "C 1", *days).explain("formatted")
+    plan = capsys.readouterr().out
+    for key, line in zip(("mapping_key", "done_key"), [x for x in plan.splitlines() if x.startswith("PartitionFilters")]):
+        assert "month" in line and f"{key}#" in line
+    assert plan.count("GreaterThanOrEqual(submit_date,2025-04-01)") == 2
+    assert client_base(store, mapping, "C 1", *days).count() == 1
+    assert stored_rows(store, I.LOG, mapping, "other").count() == 1
+    with pytest.raises(LookupError, match="no mapping"):
+        client_base(store, mapping, "c 2", *days)
+    with pytest.raises(LookupError, match="no rows"):
+        client_base(store, mapping, "C 1", "2031-01-01", "2031-01-02")
+
+
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    path = str(tmp_path / "table")
+    os.makedirs(f"{path}/claims")
+    open(f"{path}/claims/1", "w").close()
+    with pytest.raises(RuntimeError):
+        S.replace_table(spark.range(3), path)
+    os.remove(f"{path}/claims/1")
+    S.replace_table(spark.range(3), path)
+    assert S.read_current(spark, path, spark.range(0).schema).count() == 3
+
+
 def test_report_laws(spark):
     log = frame(spark, SF, "log")
     days = ("2024-01-01", "2024-12-31")
@@ -182,18 +279,28 @@ def test_report_laws(spark):
 
 @pytest.mark.parametrize("direction", ["next", "prev"])
 def test_pages_make_the_whole(spark, direction):
-    uploads = R.upload_list(frame(spark, SF, "promo"), "client", "2024-01-01", "2024-12-31").cache()
-    total = spark.createDataFrame([(uploads.select("source").distinct().count(),)], "total_records long")
+    promo, days = frame(spark, SF, "promo"), ("client", "2024-01-01", "2024-12-31")
+    uploads = R.upload_list(promo, *days)
     cursor, seen = ("zzz" if direction == "prev" else None), []
     for _ in range(100):
         rows = page(uploads, cursor, 40, direction).collect()
-        info = page_info(uploads, total, 40, cursor, direction).first()
+        info = page_info(promo, *days, 40, cursor, direction).first()
         seen += rows
         if not info["has_next"]:
             break
         cursor = info["previous_cursor"] if direction == "prev" else info["next_cursor"]
     assert sorted(seen, key=repr) == sorted(uploads.collect(), key=repr)
-    assert info["total_pages"] == -(-total.first()[0] // 40)
+    assert info["total_records"] == R.source_count(promo, *days).first()[0]
+    assert info["total_pages"] == -(-info["total_records"] // 40)
+
+
+def test_a_page_reads_the_rows_once(spark):
+    promo, days = frame(spark, SF, "promo"), ("client", "2024-01-01", "2024-12-31")
+
+    def scans(df):
+        return str(df._jdf.queryExecution().executedPlan()).count("FileScan parquet")
+
+    assert scans(page(R.upload_list(promo, *days), "CM")) == scans(promo) == 1
 
 
 def test_source_without_name_is_on_the_first_page(spark):
@@ -262,9 +369,6 @@ def test_templates_read_twice_change_nothing(spark):
 
 
 def test_quality(spark, region):
-    heads = spark.createDataFrame([("f", ["transaction_id"]), ("g", C.REPORT_HEADERS)], "source string, names array<string>")
-    (r,) = quality.missing_columns(heads).collect()
-    assert r["source"] == "f" and len(r["missing"]) == len(C.REPORT_HEADERS) - 1
     rows = staged(spark, [{"cause": "x" * 51}, {"mobileNo": "917777000001"}])
     (r,) = quality.length_violations(rows).collect()
     assert tuple(r) == ("cause", 50, 1, 51)
@@ -348,6 +452,19 @@ def test_feed_a_load(spark, tmp_path):
     assert sorted(r["date"] for r in ledger.collect()) == ["05/04/2025", "06/04/2025"]
 
 
+def test_feed_a_ids_go_on_over_months(spark, tmp_path):
+    root = str(tmp_path / "store")
+    day = {"report_date": "5/1/25", "utm_medium": "x_05_04_2025"}
+    for i, (month, phone) in enumerate([("2025-05", "1"), ("2025-06", "2")]):
+        for kind in ("leads", "sales"):
+            sheet(tmp_path, "A", kind, [{**day, "phone": phone}])
+        assert load_feed(spark, str(tmp_path), f"Leads {i}.xlsx", "A", root, month)
+    leads, sales = (read_stored_feed(spark, root, "A", kind) for kind in ("leads", "sales"))
+    assert sorted(r["id"] for r in leads.collect()) == [1, 2]
+    (r,) = feed_a_counts(leads, sales).collect()
+    assert (r["lead_count"], r["sale_count"]) == (2, 2)
+
+
 def test_feed_b_load_replaces(spark, tmp_path):
     root = str(tmp_path / "store")
     for i, ids in enumerate((["1", "2"], ["3"])):
