@@ -67,11 +67,6 @@ def _(t):
     return R.campaign_summary(t.log, SENDER)
 
 
-@query("counters_by_sender", ("log",), f"SELECT sender, {COUNTS} FROM log GROUP BY sender")
-def _(t):
-    return t.log.groupBy("sender").agg(*R.counters())
-
-
 @query(
     "source_group_totals", ("log",),
     f"SELECT {head('source', '_', 2)} AS source_group, {TOTALS} FROM log "
@@ -318,5 +313,4 @@ FROM ({SOURCE_COUNT}) c, (SELECT min(source) AS a, max(source) AS z, count(*) AS
   (SELECT DISTINCT source FROM ({UPLOADS}) v WHERE source > 'CM_LB_1501.0' ORDER BY source LIMIT 10) s) p""",
 )
 def _(t):
-    total = R.source_count(t.promo, "client", START, END)
-    return page_info(_uploads(t), total, cursor="CM_LB_1501.0")
+    return page_info(t.promo, "client", START, END, cursor="CM_LB_1501.0")

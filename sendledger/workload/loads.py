@@ -10,9 +10,11 @@ from sendledger.operators import enrich as E, existence as X, mapping as M, qual
 from sendledger.operators.templates import refresh_templates
 from sendledger.plans import ingest as I
 from sendledger.plans.feeds import append_feed, first_per_phone
-from sendledger.schemas import TEMPLATES
-from sendledger.sources.store import files_for_month, ledger_filter
-from sendledger.workload.registry import Inputs, query
+from sendledger.plans.tables import change_mappings, load_templates, save_mappings
+from sendledger.schemas import MAPPING, TEMPLATES
+from sendledger.session import work_folder
+from sendledger.sources.store import files_for_month, ledger_filter, read_cdr, read_current, replace_table, write_cdr
+from sendledger.workload.registry import CSV, Inputs, query
 
 REGION = "(SELECT series, min(circle) AS c FROM region_all GROUP BY series)"
 
@@ -115,10 +117,12 @@ def _(t):
 
 @query(
     "cdr_of_day", ("cdr",),
-    "SELECT event_id, msgId, cdr_date FROM cdr WHERE cdr_date = DATE '2024-01-12'",
+    "SELECT * EXCLUDE (event_id) FROM cdr WHERE cdr_date = DATE '2024-01-12'",
 )
 def _(t):
-    return t.cdr.where(F.col("cdr_date") == F.lit("2024-01-12").cast("date")).select("event_id", "msgId", "cdr_date")
+    folder = work_folder(t.spark)
+    write_cdr(t.cdr.drop("event_id"), folder)
+    return read_cdr(t.spark, folder, "2024-01-12").select([c for c in t.cdr.columns if c != "event_id"])
 
 
 @query(
@@ -281,20 +285,71 @@ def _(t):
     return E.mapped_name(t.product_mapping, "client", "CLIENT 3", "mapping")
 
 
-# Stored: texts that carry a label; new: English and French texts; transactional: toxic ones.
+# New: every document. Stored: every document, each second one under another id. Transactional: toxic ones.
+TEMPLATE_SQL = """SELECT replace(tempid, '''', '') AS tempid, sender, count, text, type, month FROM (
+  SELECT *, 'HSCC' AS type, 'apr25' AS month FROM template_rows
+  UNION ALL SELECT * REPLACE (concat(tempid, '_old') AS tempid), 'old', 'mar25' FROM template_rows
+    WHERE CAST(replace(tempid, '''', '') AS BIGINT) % 2 = 0) x
+WHERE replace(tempid, '''', '') NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""
+
+
+def _template_inputs(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = t.template_rows
+    even = F.pmod(F.replace("tempid", F.lit("'"), F.lit("")).cast("bigint"), F.lit(2)) == 0
+    stored = rows.withColumn("tempid", F.when(even, F.concat("tempid", F.lit("_old"))).otherwise(F.col("tempid")))
+    stored = stored.withColumn("type", F.lit("old")).withColumn("month", F.lit("mar25")).select(TEMPLATES.names)
+    toxic = t.labels.where("toxic = 1").select(F.concat(F.lit("'"), F.col("doc_id").cast("string")).alias("tempid"))
+    return stored, rows, toxic
+
+
+@query("refresh_templates", ("template_rows",), TEMPLATE_SQL)
+def _(t):
+    stored, new, toxic = _template_inputs(t)
+    return refresh_templates(stored, new, toxic, "HSCC", "apr25\n")
+
+
+# The same through files and the stored table; a line end read from a file is a plain one.
+@query(
+    "load_templates", ("template_rows",),
+    TEMPLATE_SQL.replace("text, type", "CASE WHEN type = 'HSCC' THEN replace(text, concat(chr(13), chr(10)), chr(10)) ELSE text END AS text, type"),
+)
+def _(t):
+    folder = work_folder(t.spark)
+    stored, new, toxic = _template_inputs(t)
+    replace_table(stored, f"{folder}/templates")
+    cells = new.select(F.col("tempid").alias("TemplateId"), F.col("sender").alias("Sender"), F.col("count").alias("Count"), F.col("text").alias("Text"))
+    cells.write.options(**CSV).csv(f"{folder}/in")
+    load_templates(t.spark, f"{folder}/in", f"{folder}/templates", toxic, "HSCC", "apr25")
+    return read_current(t.spark, f"{folder}/templates", TEMPLATES)
+
+
+ENTRIES = ", ".join(c for c in MAPPING.names if c != "id")
+# Ids start anew in a table that was empty, in the order of the entries' digests.
+SAVED = f"""SELECT CAST(row_number() OVER (ORDER BY {DIGEST}) AS INTEGER) AS id, {ENTRIES} FROM product_mapping"""
+
+
+def _saved(t: Inputs) -> str:
+    """The mapping saved twice into an empty table; the second time nothing is new."""
+    path = f"{work_folder(t.spark)}/mapping"
+    for _ in range(2):
+        save_mappings(t.product_mapping.drop("id"), path)
+    return path
+
+
+@query("save_mappings", ("product_mapping",), SAVED)
+def _(t):
+    return read_current(t.spark, _saved(t), MAPPING)
+
+
 @query(
-    "refresh_templates", ("template_rows",),
-    """SELECT replace(tempid, '''', '') AS tempid, sender, count, text,
-  CASE WHEN lang IN ('en', 'fr') THEN 'HSCC' ELSE 'old' END AS type,
-  CASE WHEN lang IN ('en', 'fr') THEN 'apr25' ELSE 'mar25' END AS month
-FROM template_rows WHERE (lang IN ('en', 'fr') OR replace(tempid, '''', '') IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))
-AND replace(tempid, '''', '') NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
+    "change_mappings", ("product_mapping",),
+    f"SELECT * REPLACE (CASE WHEN channel = 'sms' THEN concat(mapping, ' x') ELSE mapping END AS mapping) FROM ({SAVED}) s",
 )
 def _(t):
-    rows, labels = t.template_rows, t.labels.withColumn("tempid", F.concat(F.lit("'"), F.col("doc_id").cast("string")))
-    stored = rows.join(labels, "tempid", "left_semi").withColumn("type", F.lit("old")).withColumn("month", F.lit("mar25"))
-    new = rows.where(F.col("lang").isin("en", "fr"))
-    return refresh_templates(stored.select(TEMPLATES.names), new, labels.where("toxic = 1"), "HSCC", "apr25\n")
+    path = _saved(t)
+    changes = by(read_current(t.spark, path, MAPPING), channel="sms")
+    change_mappings(changes.withColumn("mapping", F.concat("mapping", F.lit(" x"))).withColumn("rcs_mapping", F.lit("r")), path)
+    return read_current(t.spark, path, MAPPING)
 
 
 @query("files_of_month", ("files",), "SELECT filename, filepath FROM files WHERE filename ILIKE '%Apr%'")

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sendledger.workload.fixtures import frame, with_blocks
 
+# How the workload writes files that the readers then read.
+CSV = {
+    "header": True, "escape": '"', "quote": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
