@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sendledger.llm.common import stored
-from sendledger.llm.weak import ABSTAIN, Linear, Reliabilities, flat, sigmoid
+from sendledger.llm.weak import ABSTAIN, Linear, Reliabilities, choose, feature_sums, flat, sigmoid
 
 KINDS = ("email", "ip", "card", "phone", "id", "name", "handle", "spelled")
 BASE = 4
@@ -174,30 +174,35 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {_SPANS}")
 
 
-def fit(found: DataFrame, max_training: int = 20_000) -> tuple[Reliabilities, Linear]:
-    """Reliabilities over all candidates, and the classifier trained on at most ``max_training`` of them."""
+def fit(found: DataFrame, max_training: int = 20_000) -> tuple[Reliabilities, np.ndarray, float]:
+    """Reliabilities over all candidates; weights and bias of the classifier trained on ``max_training`` of them."""
     each = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     counted = each.groupBy("kind", "votes").count().collect()  # at most kinds * 3^4 rows
-    labellers, model = Reliabilities(4, len(KINDS)), Linear(_FEATURES, least=2.0, effect=0.0)
+    labellers = Reliabilities(4, len(KINDS))
     if not counted:
-        return labellers, model
+        return labellers, np.zeros(_FEATURES, np.float32), 0.0
     labellers.fit(
         np.array([r.votes for r in counted]), np.array([r.kind for r in counted]), np.array([float(r["count"]) for r in counted])
     )
     chosen = each.orderBy(F.xxhash64("doc_id", "start", "kind"), "doc_id", "start", "kind").limit(max_training)
     rows = chosen.select("kind", "votes", "features").collect()
-    wanted = labellers.posterior(np.array([r.votes for r in rows]), np.array([r.kind for r in rows]))
+    wanted = labellers.posterior(np.array([r.votes for r in rows]), np.array([r.kind for r in rows]))[None, :]
     features, row = flat(r.features for r in rows)
+    used, own = choose(feature_sums(features, row, wanted, _FEATURES), least=2.0, effect=0.0)
+    number = np.full(_FEATURES, -1)
+    number[used] = np.arange(len(used))
+    inside = number[features] >= 0
+    model = Linear(own, wanted.mean(axis=1))
     for _ in range(60):
-        model.move(model.gradient(features, row, wanted[None, :]))
-    return labellers, model
+        model.move(model.gradient(number[features[inside]], row[inside], wanted))
+    return labellers, model.spread(used, _FEATURES)[0], float(model.bias[0])
 
 
 def personal_data(docs: DataFrame, max_training: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and spans, arrays of (start, kind, stop)."""
     found = stored(candidates(docs))
-    _, model = fit(found, max_training)
-    weights = docs.sparkSession.sparkContext.broadcast((model.weights[0], float(model.bias[0])))
+    _, *fitted = fit(found, max_training)
+    weights = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

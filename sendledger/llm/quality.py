@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sendledger.llm.common import stored
 from sendledger.llm.decontaminate import words
-from sendledger.llm.weak import ABSTAIN, Linear, Reliabilities, sigmoid
+from sendledger.llm.weak import ABSTAIN, Linear, Reliabilities, choose, feature_sums, flat, sigmoid
 
 _BITS = 18
 FEATURES = 2**_BITS
@@ -214,12 +214,50 @@ def _weigh(voted: DataFrame, column: str, labellers: int) -> Reliabilities:
     return fitted
 
 
-def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple, max_training: int) -> Linear:
-    """The linear scorer of both questions, trained on a bounded sample with posterior labels."""
+class Weights:
+    """The trained scorer: a weight for each feature and question, and the biases."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights, bias
+
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, the row of each, and what is wanted of the rows of a training batch."""
+    features, row = flat(np.frombuffer(f, np.int32) for f in batch.column("features").to_pylist())
+    return features, row, np.stack([batch.column(c).to_numpy() for c in ("junk", "toxic")])
+
+
+def _total(df: DataFrame, kind, shape: tuple[int, ...]) -> np.ndarray:
+    """Adds the packed sums of a few partitions, one at a time."""
+    total = np.zeros(shape)
+    for r in df.collect():
+        total += np.frombuffer(r.sums, kind).reshape(shape)
+    return total
+
+
+def _summing(add, kind):
+    """A mapInArrow function: one packed sum for each partition that has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            if batch.num_rows:
+                part = add(*_rows(batch))
+                sums = part if sums is None else sums + part
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([sums.astype(kind).tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple, max_training: int) -> Weights:
+    """The linear scorer of both questions, trained on a bounded sample with posterior labels.
+
+    One pass chooses the telling features, a second keeps them alone; the gradients then run over small rows.
+    """
     spark = docs.sparkSession
     hashed = F.xxhash64("doc_id")
     ids = docs.select("doc_id", hashed.alias("h")).where("doc_id IS NOT NULL").distinct()
-    model = Linear(_WIDTH, heads=2)
     chosen = ids.orderBy("h", "doc_id").limit(max_training).join(given, "doc_id", "left").select(
         "doc_id", *[F.coalesce(c, F.lit(ABSTAIN)).alias(c) for c in ("junk_label", "toxic_label")]
     )
@@ -244,36 +282,33 @@ def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple,
                 ["features", "junk", "toxic"],
             )
 
-    sample = stored(texts.mapInArrow(prepare, "features binary, junk double, toxic double").repartition(_PARTS))
-    for _ in range(_ROUNDS):
-        current = spark.sparkContext.broadcast(model)
-
-        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = None
-            for batch in batches:
-                lists = [np.frombuffer(f, np.int32) for f in batch.column("features").to_pylist()]
-                if not lists:
-                    continue
-                row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                wanted = np.stack([batch.column(c).to_numpy() for c in ("junk", "toxic")])
-                part = current.value.gradient(np.concatenate(lists), row, wanted)
-                sums = part if sums is None else sums + part
-            if sums is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], ["sums"])
+    schema = "features binary, junk double, toxic double"
+    sample = stored(texts.mapInArrow(prepare, schema).repartition(_PARTS))
+    counted = sample.mapInArrow(_summing(lambda *rows: feature_sums(*rows, _WIDTH), np.float32), "sums binary")
+    sums = _total(counted, np.float32, (3, _WIDTH + 1))  # 3 MB from each of a few partitions
+    used, own = choose(sums)
+    model = Linear(own, sums[:2, -1] / max(sums[2, -1], 1))
 
-        total = np.zeros((2, 2, _WIDTH + 1))
-        for r in sample.mapInArrow(gradient, "sums binary").collect():  # 2 MB from each of a few partitions
-            total += np.frombuffer(r.sums, np.float32).reshape(total.shape)
-        model.move(total)
-        current.unpersist()
-    return model
+    def keep_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(_WIDTH, -1, np.int32)
+        number[used] = np.arange(len(used))
+        for batch in batches:
+            kept = [number[np.frombuffer(f, np.int32)] for f in batch.column("features").to_pylist()]
+            kept = pa.array([k[k >= 0].tobytes() for k in kept], pa.binary())
+            yield pa.RecordBatch.from_arrays([kept, batch.column("junk"), batch.column("toxic")], ["features", "junk", "toxic"])
+
+    small = stored(sample.mapInArrow(keep_used, schema))
+    for _ in range(_ROUNDS):
+        step = small.mapInArrow(_summing(model.gradient, np.float64), "sums binary")
+        model.move(_total(step, np.float64, (2, 2, len(used) + 1)))
+    return Weights(model.spread(used, _WIDTH), model.bias)
 
 
 class Scorer:
     """The fitted labellers and weights, ready to score texts."""
 
-    def __init__(self, learned: Learned, model: Linear):
-        self.learned, self.weights, self.bias = learned, model.weights.astype(np.float32), model.bias
+    def __init__(self, learned: Learned, model: Weights):
+        self.learned, self.weights, self.bias = learned, model.weights, model.bias
 
     def score(self, text: str | None) -> tuple[float, float]:
         found, numbers, listed = self.learned.read(text)

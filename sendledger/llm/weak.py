@@ -52,50 +52,66 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def feature_sums(features: np.ndarray, row: np.ndarray, wanted: np.ndarray, size: int) -> np.ndarray:
+    """Sums over some rows: per head how often each feature occurs, weighted by the wanted class; then how
+    often it occurs at all. The last entry counts the rows."""
+    out = np.zeros((len(wanted) + 1, size + 1))
+    for h, w in enumerate([*wanted, np.ones(wanted.shape[1])]):
+        out[h, :-1] = np.bincount(features, weights=w[row], minlength=size)
+        out[h, -1] = w.sum()
+    return out
+
+
+def choose(sums: np.ndarray, least: float = 8.0, effect: float = 0.18, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell the classes apart, and for each head which of them are its own.
+
+    A feature must be ``least`` standard deviations from chance, and ``effect`` times the root
+    of the number of rows; the ``most`` telling ones of each head are taken.
+    """
+    count, total = sums[-1, :-1], max(sums[-1, -1], 1)
+    telling = np.zeros((len(sums) - 1, len(count)))
+    for h, own in enumerate(sums[:-1]):
+        mean = np.clip(own[-1] / total, 1e-3, 1 - 1e-3)
+        telling[h] = np.abs(own[:-1] - mean * count) / np.sqrt(np.maximum(count, 1) * mean * (1 - mean))
+    telling[:, count < 10] = 0
+    for t in telling:
+        t[np.argsort(-t, kind="stable")[most:]] = 0
+    own = telling >= max(least, effect * np.sqrt(total))
+    chosen = np.flatnonzero(own.any(axis=0))
+    return chosen, own[:, chosen]
+
+
 class Linear:
-    """A logistic scorer over hashed binary features.
+    """A logistic scorer over a few binary features, one head for each question.
 
-    The first sums choose the features that tell the classes apart (``least`` standard
-    deviations from chance, and ``effect`` times the root of the rows); the later ones move their weights. A step is divided by the
-    curvature times the number of features of a row, so it cannot overshoot, and is carried
-    on by momentum.
+    A step is divided by the curvature times the number of features of a row, so it cannot
+    overshoot, and is carried on by momentum. ``own`` says which features a head uses.
     """
 
-    def __init__(self, size: int, heads: int = 1, ridge: float = 1.0, least: float = 8.0, effect: float = 0.18):
-        self.weights, self.bias = np.zeros((heads, size)), np.zeros(heads)
-        self.chosen, self.ridge, self.least, self.effect = None, ridge, least, effect
+    def __init__(self, own: np.ndarray, means: np.ndarray, ridge: float = 1.0):
+        means = np.clip(means, 1e-3, 1 - 1e-3)
+        self.own, self.ridge = own, ridge
+        self.weights, self.bias = np.zeros(own.shape), np.log(means / (1 - means))
         self._last, self._steps = (self.weights, self.bias), 0
 
     def gradient(self, features: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Sums over some rows: per head the gradient and the curvature, the bias last."""
-        out = np.zeros((len(self.bias), 2, self.weights.shape[1] + 1))
-        for h in range(len(self.bias)):
-            own, at = features, row
-            if self.chosen is not None:
-                inside = self.chosen[h][features]
-                own, at = features[inside], row[inside]
-            p = sigmoid(self.score(own, at, wanted.shape[1], h))
-            error, curve = wanted[h] - p, np.maximum(p * (1 - p), 0.02)
-            if self.chosen is not None:
-                curve = curve * (1 + np.bincount(at, minlength=wanted.shape[1]))
-            out[h, 0, :-1] = np.bincount(own, weights=error[at], minlength=self.weights.shape[1])
-            out[h, 1, :-1] = np.bincount(own, weights=curve[at], minlength=self.weights.shape[1])
+        heads, size = self.own.shape
+        out = np.zeros((heads, 2, size + 1))
+        for h in range(heads):
+            inside = self.own[h][features]
+            own, at = features[inside], row[inside]
+            p = sigmoid(np.bincount(at, weights=self.weights[h][own], minlength=wanted.shape[1]) + self.bias[h])
+            error = wanted[h] - p
+            curve = np.maximum(p * (1 - p), 0.02) * (1 + np.bincount(at, minlength=wanted.shape[1]))
+            out[h, 0, :-1] = np.bincount(own, weights=error[at], minlength=size)
+            out[h, 1, :-1] = np.bincount(own, weights=curve[at], minlength=size)
             out[h, :, -1] = error.sum(), curve.sum()
         return out
 
     def move(self, sums: np.ndarray) -> None:
-        if self.chosen is None:  # all scores were 0, so the sums tell how often each feature goes with yes
-            count, total = sums[:, 1] * 4, np.maximum(sums[:, 1, -1] * 4, 1)
-            mean = np.clip(0.5 + sums[:, 0, -1] / total, 1e-3, 1 - 1e-3)[:, None]
-            excess = sums[:, 0, :-1] + (0.5 - mean) * count[:, :-1]
-            chance = np.sqrt(np.maximum(count[:, :-1], 1) * mean * (1 - mean))
-            least = np.maximum(self.least, self.effect * np.sqrt(total))[:, None]
-            self.chosen = (np.abs(excess) >= least * chance) & (count[:, :-1] >= 10)
-            self.bias = np.log(mean / (1 - mean))[:, 0]
-            self._last = self.weights, self.bias
-            return
         stepped = (
-            self.weights + (sums[:, 0, :-1] - self.ridge * self.weights) / (sums[:, 1, :-1] + self.ridge) * self.chosen,
+            self.weights + (sums[:, 0, :-1] - self.ridge * self.weights) / (sums[:, 1, :-1] + self.ridge) * self.own,
             self.bias + sums[:, 0, -1] / (sums[:, 1, -1] + 1),
         )
         self._steps += 1
@@ -103,8 +119,11 @@ class Linear:
         self.weights, self.bias = (now + ahead * (now - last) for now, last in zip(stepped, self._last))
         self._last = stepped
 
-    def score(self, features: np.ndarray, row: np.ndarray, rows: int, head: int) -> np.ndarray:
-        return np.bincount(row, weights=self.weights[head][features], minlength=rows) + self.bias[head]
+    def spread(self, chosen: np.ndarray, size: int) -> np.ndarray:
+        """The weights over all features."""
+        out = np.zeros((len(self.weights), size), np.float32)
+        out[:, chosen] = self.weights
+        return out
 
 
 def flat(lists: Iterable) -> tuple[np.ndarray, np.ndarray]:
