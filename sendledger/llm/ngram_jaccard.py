@@ -27,8 +27,8 @@ Defined results: a null, empty or wordless text has an empty set, links with not
 is its own component. A text of fewer words than the width is one shingle. Rows with
 one set are linked. Rows may repeat a ``doc_id``; a null ``doc_id`` links but cannot name a
 component (its component is null if no row of it has an id). An empty table gives an
-empty result; other columns are ignored. Sets and shingles are known by 64-bit
-hashes.
+empty result; other columns are ignored. Sets are known and shingles counted by 64-bit
+hashes, shingles of different sets compared by 56 bits of theirs.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sendledger.llm.common import stored
+from sendledger.llm.common import pieces, stored
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -104,7 +104,7 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             )
 
         names, id_type = ["doc_id", "key", "n", "common", "counts"], None
-        for batch in batches:
+        for batch in pieces(batches):
             id_type, keys, sizes = batch.column("doc_id").type, [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, width)
@@ -121,15 +121,30 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             )
         if sets:
             yield frequent()
+        _HASH_OF.clear()  # a worker goes on to other tasks
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, key long, n long, common array<long>, counts array<long>"
     )
 
 
-def _even(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Part of each 64-bit key: its upper half scaled to the number of parts."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+_TOKEN_BYTES = 7  # of a hash that travel; sets are counted by whole hashes
+_TOKEN_MASK = np.uint64(2 ** (8 * _TOKEN_BYTES) - 1)
+
+
+def _even(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Part of each value: its upper 32 bits scaled to the number of parts."""
+    return ((values >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES]).tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _TOKEN_BYTES, 8), np.uint8)
+    out[:, :_TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _TOKEN_BYTES)
+    return out.view(np.uint64).reshape(-1)
 
 
 _PACKED = ["bucket", "keys", "counts", "tokens", "freqs"]
@@ -137,7 +152,7 @@ _PACKED = ["bucket", "keys", "counts", "tokens", "freqs"]
 
 def _pack(bucket: int, keys, counts, tokens, freqs) -> tuple:
     return (bucket, keys.astype(np.uint64).tobytes(), counts.astype(np.int32).tobytes() if counts is not None else None,
-            tokens.astype(np.uint64).tobytes(), freqs.astype(np.int64).tobytes() if freqs is not None else None)
+            _short(tokens.astype(np.uint64)), np.minimum(freqs, 2**31 - 1).astype(np.int32).tobytes() if freqs is not None else None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -148,7 +163,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _by_set(keys: np.ndarray, tokens: np.ndarray, freqs: np.ndarray, parts: int) -> list[tuple]:
     """Packed rows for the sets' own buckets, numbered below zero."""
-    part = _even(keys, parts)
+    part = _even(keys, 64, parts)
     order = np.argsort(part, kind="stable")
     part, keys, tokens, freqs = part[order], keys[order], tokens[order], freqs[order]
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, int)
@@ -167,7 +182,7 @@ def _packed_tokens(docs: DataFrame, width: int, parts: int, common: np.ndarray,
         def block() -> Iterator[pa.RecordBatch]:
             names = np.array(list(keys), np.int64).view(np.uint64)
             lengths = np.array([len(s) for s in sets])
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+            tokens, owner = np.concatenate(sets) & _TOKEN_MASK, np.repeat(np.arange(len(sets)), lengths)
             known = np.zeros(len(tokens), bool)
             if len(common):
                 at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
@@ -181,7 +196,7 @@ def _packed_tokens(docs: DataFrame, width: int, parts: int, common: np.ndarray,
                 np.concatenate((np.zeros(len(names), np.int64), freq)), parts,
             ))
             tokens, owner = tokens[~known], owner[~known]
-            bucket = _even(tokens, parts)
+            bucket = _even(tokens, 8 * _TOKEN_BYTES, parts)
             order = np.argsort(bucket.astype(np.uint16) if parts < 2**16 else bucket, kind="stable")
             bucket, tokens, owner = bucket[order], tokens[order], owner[order]
             rows = []
@@ -195,7 +210,7 @@ def _packed_tokens(docs: DataFrame, width: int, parts: int, common: np.ndarray,
             if rows:
                 yield _batch(rows)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingle_set(text, width)
                 if not len(tokens):
@@ -211,14 +226,15 @@ def _packed_tokens(docs: DataFrame, width: int, parts: int, common: np.ndarray,
                     sets, keys, size = [], {}, 0
         if sets:
             yield from block()
+        _HASH_OF.clear()
 
     schema = "bucket int, keys binary, counts binary, tokens binary, freqs binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    return np.concatenate(parts) if parts else np.empty(0, kind)
+    data = b"".join(table.column(name).to_pylist())
+    return _whole(data) if name == "tokens" else np.frombuffer(data, kind)
 
 
 def _counted(parts: int):
@@ -255,7 +271,7 @@ def _prefixes(similarity: int):
 
     def run(table: pa.Table) -> pa.Table:
         keys, tokens = _column(table, "keys", np.uint64), _column(table, "tokens", np.uint64)
-        freqs = _column(table, "freqs", np.int64)
+        freqs = _column(table, "freqs", np.int32)
         order = np.lexsort((tokens, freqs > 0, keys))
         keys, tokens, freqs = keys[order], tokens[order], freqs[order]
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (tokens[1:] != tokens[:-1]) | ((freqs[1:] > 0) != (freqs[:-1] > 0))))
@@ -494,9 +510,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 75) -> Da
         .limit(_MOST_COMMON)
         .toPandas()
     )
-    common = often["common"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    common, counts = common[order], often["count"].to_numpy(np.int64)[order]
+    common, first = np.unique(often["common"].to_numpy(np.int64).view(np.uint64) & _TOKEN_MASK, return_index=True)
+    counts = often["count"].to_numpy(np.int64)[first]
     parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // _BUCKET + 1))
     packed = "bucket int, keys binary, counts binary, tokens binary, freqs binary"
     sets = stored(
