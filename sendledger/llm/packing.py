@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from sendledger.llm.common import stored
+from sendledger.llm.common import pieces, stored
 
 WINDOW = 2048
 END_ID = 1
 _FRACTION = 16  # bits of a share after the point
-_MEMO_WORDS = 1_500_000  # words whose ids a worker remembers, about 300 MB
+_MEMO_WORDS = 800_000  # words whose ids a worker remembers, about 160 MB
 _SLICE = 16_000_000  # bytes of text encoded at once
 _MARK = "\x02"  # stands between words that are encoded together
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
@@ -57,23 +57,36 @@ class _Encoder:
         if self.tokenizer.get_vocab_size() > 2**16:
             raise ValueError("ids must fit 16 bits")
         self.mark = self._whole(_MARK)[0]
+        self.ends = np.zeros(2**16, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.signs = {c: self._whole(c).tobytes() for c in ".,;:!?"}
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def _learn(self, found: list[str]) -> None:
-        plain = [w for w in found if _MARK not in w]
-        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        texts = [f" {_MARK} ".join(line) for line in lines]
+    def _encode_lines(self, found: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        lines = [found[i : i + 200] for i in range(0, len(found), 200)]
+        texts = [between.join(line) for line in lines]
         for line, encoded in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, np.uint16)
+            yield line, np.array(encoded.ids, np.uint16)
+
+    def _remember(self, line: list[str], ids: np.ndarray, starts: list[int], stops: list[int]) -> None:
+        data = ids.tobytes()
+        self.memo.update((w, data[2 * i : 2 * j]) for w, i, j in zip(line, starts, stops))
+
+    def _learn(self, found: list[str]) -> None:
+        """Encode words together. A word of letters is as a rule one piece, whose last id ends a word."""
+        marked = [w for w in found if not w.isalpha() and _MARK not in w]
+        for line, ids in self._encode_lines([w for w in found if w.isalpha()], " "):
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(line):
+                self._remember(line, ids, [0, *stops[:-1]], stops)
+            else:
+                marked += line
+        for line, ids in self._encode_lines(marked, f" {_MARK} "):
             marks = np.flatnonzero(ids == self.mark)
-            data = ids.tobytes()
-            self.memo.update(
-                (w, data[2 * i : 2 * j]) for w, i, j in zip(line, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
-            )
+            self._remember(line, ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
         self.memo.update((w, self._whole(w).tobytes()) for w in found if _MARK in w)
 
     def _words(self, names: list[str]) -> list[bytes]:
@@ -105,27 +118,24 @@ class _Encoder:
         starts = np.cumsum(sizes) - sizes
         counts = sizes[use]
         ends = np.concatenate(([0], np.cumsum(counts)))
-        at = np.repeat(starts[use] - ends[:-1], counts) + np.arange(ends[-1])
+        at = np.repeat((starts[use] - ends[:-1]).astype(np.int32), counts) + np.arange(ends[-1], dtype=np.int32)
         edges = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return np.frombuffer(b"".join(values), np.uint16)[at], np.diff(edges)
 
-    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
-        """Ids of each text; null is empty."""
+    def encode(self, texts: pa.StringArray) -> Iterator[list[np.ndarray]]:
+        """Ids of each text, some texts at a time; null is empty."""
         texts = texts.fill_null("")
         special = pc.match_substring(texts, "<|").to_pylist()
-        out: list[np.ndarray] = []
         size, first = 0, 0
-        lengths = pc.binary_length(texts).to_pylist()
-        for i, length in enumerate([*lengths, None]):
-            if length is None or size and size + length > _SLICE:
-                chunk = texts.slice(first, i - first)
-                ids, counts = self._plain(pa.concat_arrays([chunk]))
-                out += np.split(ids, np.cumsum(counts)[:-1]) if len(chunk) else []
+        for i, length in enumerate([*pc.binary_length(texts).to_pylist(), None]):
+            if i > first and (length is None or size + length > _SLICE):
+                ids, counts = self._plain(pa.concat_arrays([texts.slice(first, i - first)]))
+                out = np.split(ids, np.cumsum(counts)[:-1])
+                for k in (k for k in range(first, i) if special[k]):
+                    out[k - first] = self._whole(texts[k].as_py())
+                yield out
                 size, first = 0, i
             size += length or 0
-        for i in (i for i, s in enumerate(special) if s):
-            out[i] = self._whole(texts[i].as_py())
-        return out
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -152,17 +162,20 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
         encoder, served = _ENCODERS[path], {}
         part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            ids, before, count = [], [], []
-            for own, queue in zip(encoder.encode(batch.column("text")), batch.column("queue").to_pylist()):
-                ids.append(own.tobytes() + end)
-                before.append(served.get(queue, 0))
-                count.append(len(own) + 1)
-                served[queue] = served.get(queue, 0) + len(own) + 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), pa.array([part] * len(ids), pa.int32()),
-                 pa.array(before, pa.int64()), pa.array(count, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "queue", "part", "before", "doc_tokens", "ids"],
-            )
+            at = 0
+            for some in encoder.encode(batch.column("text")):
+                part_of = batch.slice(at, len(some))
+                before, count = [], [len(own) + 1 for own in some]
+                for n, queue in zip(count, part_of.column("queue").to_pylist()):
+                    before.append(served.get(queue, 0))
+                    served[queue] = served.get(queue, 0) + n
+                yield pa.RecordBatch.from_arrays(
+                    [part_of.column("doc_id"), part_of.column("queue"), pa.array([part] * len(some), pa.int32()),
+                     pa.array(before, pa.int64()), pa.array(count, pa.int64()),
+                     pa.array([own.tobytes() + end for own in some], pa.binary())],
+                    ["doc_id", "queue", "part", "before", "doc_tokens", "ids"],
+                )
+                at += len(some)
 
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), "text")
     return rows.mapInArrow(
@@ -251,9 +264,7 @@ def pack(
     number = {name: i for i, name in enumerate(rounds.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, 2000):
             base, before, count = (batch.column(c).to_numpy() for c in ("base", "before", "doc_tokens"))
             queue = np.array([number[q] for q in batch.column("queue").to_pylist()])
             found = []
