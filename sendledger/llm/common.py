@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sendledger.session import settle
@@ -29,3 +32,10 @@ def ascii_lower(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """128-bit key of a whole text, for joining results that depend on the text alone."""
     return F.unhex(F.md5(text))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sendledger.llm.common import text_key
+from sendledger.llm.common import pieces, text_key
 
 WIDTH = 13
 MAX_WINDOWS = 200_000  # about 60 MB in a worker
@@ -105,7 +105,7 @@ def _scanner(shared, width: int, extra: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             n, hits, items = [], [], []
             for text in batch.column("text").to_pylist():
                 found = words(text)
@@ -174,7 +174,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
         shared = docs.sparkSession.sparkContext.broadcast(WindowSet(first, width))
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 clean = []
                 for text in batch.column("text").to_pylist():
                     found = words(text)
@@ -198,16 +198,16 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = []
             for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
                 if hits:
                     spans = [m.span() for m in _WORD.finditer(text)]
-                    pieces, at = [], 0
+                    kept, at = [], 0
                     for group in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1):
-                        pieces.append(text[at : spans[group[0]][0]])
+                        kept.append(text[at : spans[group[0]][0]])
                         at = spans[group[-1]][1]
-                    text = "".join(pieces) + text[at:]
+                    text = "".join(kept) + text[at:]
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

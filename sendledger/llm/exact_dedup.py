@@ -83,7 +83,15 @@ def exact_groups(
 
 
 def keep_one(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The row of ``docs`` that stays for each distinct text, with all its columns."""
-    row = F.struct(F.col("doc_id").alias("rank_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """The row of ``docs`` that stays for each distinct text, with all its columns.
+
+    The text travels once, as part of the group; the other columns travel beside it.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(
+        F.col("doc_id").alias("rank_id"), F.col("text").isNull().alias("no_text"),
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
+    )
     best = _combined(_salted(docs, salts, sha256, row))
-    return best.select("best.row.*")
+    text = F.when(~F.col("best.no_text"), F.col("content")).alias("text")
+    return best.select(*[text if c == "text" else F.col(f"best.row.`{c}`").alias(c) for c in docs.columns])
