@@ -22,13 +22,15 @@ ignored by ``score_documents`` and carried along by ``keep_good``.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sendledger.llm.common import stored
+from sendledger.llm.common import pieces, stored
 from sendledger.llm.decontaminate import words
 from sendledger.llm.weak import ABSTAIN, Linear, Reliabilities, choose, feature_sums, flat, sigmoid
 
@@ -53,14 +55,39 @@ _INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers pathetic worthless disgusting trash scum clown clowns "
     "garbage imbecile fool fools cretin jerk bastard filthy vermin degenerate".encode().split()
 )
+_HASH = xxhash.xxh64_intdigest
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123))
 
 
 def _hashes(word: bytes) -> tuple[int, int, int]:
     """Of a word and of its first four and five bytes, which inflected words share."""
-    import xxhash
+    return _HASH(word), _HASH(word[:4], 1), _HASH(word[:5], 1)
 
-    return (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(word[:4], 1), xxhash.xxh64_intdigest(word[:5], 1))
+
+_PACK, _SHIFT = struct.Struct("<4i").pack, 64 - _BITS
+
+
+class _Memo(dict):
+    """Word -> its three feature buckets and its flags, as bytes."""
+
+    def __init__(self, lists: tuple[frozenset[int], ...]):
+        super().__init__()
+        self.lists = lists
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _MEMO_WORDS:
+            self.clear()
+        a, b, c = found = _hashes(word)
+        flags = _STOP_FLAG * (word in _STOP) + _INSULT_FLAG * (word in _INSULTS)
+        for k, listed in enumerate(self.lists):
+            if not listed.isdisjoint(found):
+                flags |= 1 << k
+        value = self[word] = _PACK(a >> _SHIFT, b >> _SHIFT, c >> _SHIFT, flags)
+        return value
+
+
+# Flags of a word: bits 0 and 1 say that a learned list has it.
+_LIST_FLAGS, _STOP_FLAG, _INSULT_FLAG = 3, 4, 8
 
 
 class Learned:
@@ -71,42 +98,36 @@ class Learned:
 
     def __init__(self, *toxic: frozenset[int]):
         self.toxic = toxic or (frozenset(), frozenset())
-        self.memo: dict[bytes, bytes] = {}
-
-    def __getstate__(self):
-        return {"toxic": self.toxic, "memo": {}}
-
-    def _features_of(self, word: bytes) -> bytes:
-        found = _hashes(word)
-        listed = sum(1 << k for k, t in enumerate(self.toxic) if not t.isdisjoint(found))
-        return np.array([*(h >> (64 - _BITS) for h in found), listed], np.int32).tobytes()
-
-    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, list[int]]:
-        """The words of a text; their three feature buckets each; whether either list has one of them."""
-        found = words(text)
-        memo = self.memo
-        for w in {w for w in found if w not in memo}:
-            memo[w] = self._features_of(w)
+        self.memo = _Memo(self.toxic)
+
+    def __reduce__(self):
+        return Learned, self.toxic
+
+    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words of a text, their three feature buckets each, and their flags."""
+        found, memo = words(text), self.memo
         numbers = np.frombuffer(b"".join([memo[w] for w in found]), np.int32).reshape(-1, 4)
-        listed = int(np.bitwise_or.reduce(numbers[:, 3])) if found else 0
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        return found, numbers[:, :3], [listed >> k & 1 if t else ABSTAIN for k, t in enumerate(self.toxic)]
+        return found, numbers[:, :3], numbers[:, 3]
+
+    def votes(self, text: str | None, found: list[bytes], numbers: np.ndarray, flags: np.ndarray) -> tuple[list[int], list[int]]:
+        listed = int(np.bitwise_or.reduce(flags)) if found else 0
+        return votes(text, found, numbers, flags, [listed >> k & 1 if t else ABSTAIN for k, t in enumerate(self.toxic)])
 
 
-def votes(text: str | None, found: list[bytes], numbers: np.ndarray, listed: list[int]) -> tuple[list[int], list[int]]:
+def votes(
+    text: str | None, found: list[bytes], numbers: np.ndarray, flags: np.ndarray, listed: list[int]
+) -> tuple[list[int], list[int]]:
     """What the labellers of junk and of toxicity say: 1 yes, 0 no, 2 nothing. A sign's absence says nothing."""
     n = len(found)
     if not n:
         return [ABSTAIN] * JUNK, [ABSTAIN] * TOXIC
     raw = text.encode()
-    pieces = len(raw.split())
     letters = len(raw) - len(raw.translate(None, _LETTERS))
     capitals = len(raw) - len(raw.translate(None, _UPPER))
-    symbols = sum(text.count(c) for c in "%$#&*~^") / pieces
-    bars, bangs = text.count("|") / pieces, text.count("!!") / pieces
+    symbols = (len(raw) - len(raw.translate(None, b"%$#&*~^"))) / n
+    bars, bangs = raw.count(b"|") / n, raw.count(b"!!") / n
     repeats = float((numbers[1:, 0] == numbers[:-1, 0]).mean()) if n > 1 else 0.0
-    stops = sum(map(_STOP.__contains__, found)) / n
+    stops = float((flags & _STOP_FLAG > 0).mean())
 
     def sign(fires: bool) -> int:
         return 1 if fires else ABSTAIN
@@ -124,7 +145,7 @@ def votes(text: str | None, found: list[bytes], numbers: np.ndarray, listed: lis
     # prose: none of these, hardly a symbol, and frequent words stand between the others
     calm = not any(signs) and symbols + bars + bangs <= 0.02 and (stops >= 0.05 or n < 20)
     junk = [*map(sign, signs), 0 if calm else ABSTAIN]
-    insults = len(_INSULTS.intersection(found))
+    insults = len(_INSULTS.intersection(found)) if (flags & _INSULT_FLAG).any() else 0
     toxic = [int(insults > 0), *listed, sign(insults > 1)]
     return junk, toxic
 
@@ -160,7 +181,7 @@ def _learn(docs: DataFrame, given: DataFrame, max_labelled: int) -> Learned:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [
                 np.array(sorted({h for w in set(words(t)) for h in _hashes(w)}), np.uint64).view(np.int64)
                 for t in batch.column("text").to_pylist()
@@ -194,13 +215,15 @@ def _voted(docs: DataFrame, learned: Learned) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cast = [votes(t, *shared.value.read(t)) for t in batch.column("text").to_pylist()]
+        for batch in pieces(batches):
+            known = shared.value
+            cast = [known.votes(t, *known.read(t)) for t in batch.column("text").to_pylist()]
             whole = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([c[0] for c in cast], whole), pa.array([c[1] for c in cast], whole)],
                 ["doc_id", "junk", "toxic"],
             )
+        shared.value.memo.clear()  # a worker goes on to other tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, junk array<int>, toxic array<int>")
 
@@ -267,12 +290,12 @@ def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple,
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (junk_fit, toxic_fit) = shared.value
         zero = np.zeros(1, int)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             columns = [batch.column(c).to_pylist() for c in ("text", "junk_label", "toxic_label")]
             for text, junk_label, toxic_label in zip(*columns):
-                found, numbers, listed = known.read(text)
-                junk, toxic = votes(text, found, numbers, listed)
+                found, numbers, flags = known.read(text)
+                junk, toxic = known.votes(text, found, numbers, flags)
                 cast = (junk_fit, [*junk, junk_label]), (toxic_fit, [*toxic, toxic_label])
                 wanted = [float(f.posterior(np.array([v]), zero)[0]) for f, v in cast]
                 rows.append((_features(numbers, junk, toxic).astype(np.int32).tobytes(), *wanted))
@@ -292,7 +315,7 @@ def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple,
     def keep_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(_WIDTH, -1, np.int32)
         number[used] = np.arange(len(used))
-        for batch in batches:
+        for batch in pieces(batches):
             kept = [number[np.frombuffer(f, np.int32)] for f in batch.column("features").to_pylist()]
             kept = pa.array([k[k >= 0].tobytes() for k in kept], pa.binary())
             yield pa.RecordBatch.from_arrays([kept, batch.column("junk"), batch.column("toxic")], ["features", "junk", "toxic"])
@@ -309,10 +332,12 @@ class Scorer:
 
     def __init__(self, learned: Learned, model: Weights):
         self.learned, self.weights, self.bias = learned, model.weights, model.bias
+        self.used = model.weights.any(axis=0)
 
     def score(self, text: str | None) -> tuple[float, float]:
-        found, numbers, listed = self.learned.read(text)
-        features = _features(numbers, *votes(text, found, numbers, listed))
+        found, numbers, flags = self.learned.read(text)
+        telling = numbers[self.used[numbers]]  # the others weigh nothing
+        features = _features(telling, *self.learned.votes(text, found, numbers, flags))
         raw = self.weights[:, features].sum(axis=1, dtype=np.float64) + self.bias
         return tuple(sigmoid(raw).tolist())
 
@@ -334,10 +359,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             scores = [shared.value.score(t) for t in batch.column("text").to_pylist()]
             junk, toxic = (pa.array([s[k] for s in scores], pa.float64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), junk, toxic], ["doc_id", "junk", "toxic"])
+        shared.value.learned.memo.clear()
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, junk double, toxic double")
     return scored.withColumn("kept", (F.col("junk") < 0.5) & (F.col("toxic") < 0.5))
@@ -348,8 +374,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             good = [max(shared.value.score(t)) < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
+        shared.value.learned.memo.clear()
 
     return docs.mapInArrow(run, docs.schema)
