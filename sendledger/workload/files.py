@@ -277,7 +277,7 @@ def _watched(t: Inputs) -> Store:
 
 @query(
     "watched_log", LOAD_USES,
-    f"SELECT {_names(LOG)} FROM ({JOINED.replace(TEXT, 'text').replace(STRAY, 'channel_name')}) j",
+    f"SELECT {_names(LOG)} FROM ({JOINED.replace(TEXT, 'text AS text').replace(STRAY, 'channel_name AS channel_name')}) j",
 )
 def _(t):
     return _plain_source(_watched(t).read(LOG))
