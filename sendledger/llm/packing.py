@@ -114,11 +114,13 @@ class _Encoder:
         coded = parts.flatten().dictionary_encode()
         names, use = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         values = self._words(names)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
-        starts = np.cumsum(sizes) - sizes
+        # a slice has far fewer than 2^31 ids
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 2
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         counts = sizes[use]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        at = np.repeat((starts[use] - ends[:-1]).astype(np.int32), counts) + np.arange(ends[-1], dtype=np.int32)
+        ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int32)), dtype=np.int32)
+        at = np.repeat(starts[use] - ends[:-1], counts)
+        at += np.arange(ends[-1], dtype=np.int32)
         edges = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return np.frombuffer(b"".join(values), np.uint16)[at], np.diff(edges)
 
