@@ -51,6 +51,7 @@ _SHARE = 256  # a token or class with one in so many of all rows is common
 _MANY = 1000  # and this many at least
 _MOST_COMMON = 100_000  # tokens in the list of common ones, 1.6 MB
 _MEMO_WORDS = 500_000
+_FEW_KEYS = 100_000  # set keys that may be broadcast, 1 MB
 _LARGE = 8  # sets of a component that is compared as a whole
 _SET_BLOCK = 1000  # sets compared with as many others in one task
 
@@ -405,9 +406,10 @@ def _links_to_large(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, similar
 
     blocks = blocks.select("large", parts("large_size").alias("rows"), parts("asking").alias("columns"))
     whole = sets.select("key", "n", "tokens")
-    asking = asked.select("key", "large").join(blocks, "large").join(whole, "key")
+    asking = asked.select("key", "large").join(blocks, "large").join(_narrowed(whole, asked.select("key")), "key")
     asking = asking.withColumn("column", block(F.col("columns"))).withColumn("row", each(F.col("rows")))
-    members = nodes.select("key", F.col("comp").alias("large")).join(blocks, "large").join(whole, "key")
+    members = stored(nodes.select("key", F.col("comp").alias("large")).join(blocks, "large"))
+    members = members.join(_narrowed(whole, members.select("key")), "key")
     members = members.withColumn("row", block(F.col("rows"))).withColumn("column", each(F.col("columns")))
     names = ["large", "row", "column", "key", "n", "tokens"]
     left = asking.select(*[F.col(c).alias(c) for c in names])  # new columns: both sides come from one table
@@ -436,13 +438,21 @@ def _left_links(postings: DataFrame, labels: DataFrame | None, sets: DataFrame,
     return found.unionByName(_links_to_large(mixed, nodes, sets, similarity))
 
 
+def _narrowed(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets with one of these keys, without a shuffle where the keys are few."""
+    keys = stored(keys.distinct())
+    few = keys.count() <= _FEW_KEYS
+    return sets.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the other orders and whose sets are similar."""
+    pairs = stored(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    sets = _narrowed(sets, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    pairs = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     met = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b")
     met = met.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b")
     whole = met.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
