@@ -91,10 +91,10 @@ class _Encoder:
 
     def _words(self, names: list[str]) -> list[bytes]:
         """The ids of distinct words; letters with one sign at their end share the letters' ids."""
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo.clear()
+        values = list(map(self.memo.get, names))
+        if len(self.memo) > _MEMO_WORDS:  # go on with the words of this slice
+            self.memo = {w: v for w, v in zip(names, values) if v is not None}
         memo, signs = self.memo, self.signs
-        values = list(map(memo.get, names))
         rest = [i for i, v in enumerate(values) if v is None]
         stems = [w[:-1] if w[-1:] in signs and w[:-1].isalpha() else w for w in map(names.__getitem__, rest)]
         missing = {w for w in stems if w not in memo}
