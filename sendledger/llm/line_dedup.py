@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sendledger.llm.common import SPACES, ascii_lower, stored, text_key
 
+_SALTS = 8
+
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z lower-cased."""
@@ -52,8 +54,14 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Da
         .where(F.col("docs") >= min_docs)
         .select("hash")
     )
-    placed = texts.select("text_key", F.posexplode("hashes").alias("pos", "hash")).where("hash IS NOT NULL")
-    return placed.join(frequent, "hash").groupBy("text_key").agg(F.collect_set("pos").alias("dropped"))
+    # A line may stand in a third of all texts: its places are dealt over several tasks.
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    placed = (
+        texts.select("text_key", F.posexplode("hashes").alias("pos", "hash"))
+        .where("hash IS NOT NULL")
+        .withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(_SALTS)).cast("int"))
+    )
+    return placed.join(frequent, ["hash", "salt"]).groupBy("text_key").agg(F.collect_set("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
