@@ -2,7 +2,9 @@
 
 Two questions are put to each document: is it junk, is it toxic. Overlapping labellers vote
 on each: signs of style, stop words, an insult list, word lists learned from
-labelled documents, and the given labels, which abstain on most documents. The vote patterns
+labelled documents, and the given labels, which abstain on most documents. A learned list holds
+hashes that are significantly commoner in toxic documents of their language, each with its evidence;
+it votes yes where the evidence of a document's words is enough and abstains elsewhere. The vote patterns
 of all documents are counted; expectation-maximisation over the counts estimates how reliable
 each labeller is. The posteriors of a bounded sample
 of documents (``max_training``, by hash) train one linear scorer per question over hashed words
@@ -22,6 +24,7 @@ ignored by ``score_documents`` and carried along by ``keep_good``.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -41,6 +44,9 @@ MAX_TRAINING = 20_000
 _MEMO_WORDS = 500_000
 _ROUNDS = 40
 _LISTED = 1000  # hashes a learned list holds at most
+_CHANCE = 1e-5  # a hash is listed if it stands in so many toxic documents by about this chance or less
+_ENOUGH = math.log(50)  # evidence of the listed words of a document for a vote
+_LEAST = 5.0  # standard deviations of a feature of the scorer
 _PARTS = 6  # of the training sample
 JUNK, TOXIC = 7, 4  # labellers of either question, the given labels aside
 
@@ -56,6 +62,7 @@ _INSULTS = frozenset(
     "garbage imbecile fool fools cretin jerk bastard filthy vermin degenerate".encode().split()
 )
 _HASH = xxhash.xxh64_intdigest
+_EVERY = 0  # a hash that stands for any document
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123))
 
 
@@ -91,14 +98,15 @@ _LIST_FLAGS, _STOP_FLAG, _INSULT_FLAG = 3, 4, 8
 
 
 class Learned:
-    """Hashes that go with toxic documents, from two halves of the labelled ones.
+    """Hashes that go with toxic documents, from two halves of the labelled ones, with their evidence:
+    the logarithm of how many times more often a toxic document holds them.
 
     It also remembers the features of the words that a worker has read.
     """
 
-    def __init__(self, *toxic: frozenset[int]):
-        self.toxic = toxic or (frozenset(), frozenset())
-        self.memo = _Memo(self.toxic)
+    def __init__(self, *toxic: dict[int, float]):
+        self.toxic = toxic or ({}, {})
+        self.memo = _Memo(tuple(frozenset(t) for t in self.toxic))
 
     def __reduce__(self):
         return Learned, self.toxic
@@ -110,8 +118,13 @@ class Learned:
         return found, numbers[:, :3], numbers[:, 3]
 
     def votes(self, text: str | None, found: list[bytes], numbers: np.ndarray, flags: np.ndarray) -> tuple[list[int], list[int]]:
-        listed = int(np.bitwise_or.reduce(flags)) if found else 0
-        return votes(text, found, numbers, flags, [listed >> k & 1 if t else ABSTAIN for k, t in enumerate(self.toxic)])
+        listed = []
+        for k, known in enumerate(self.toxic):
+            # words of one stem count once each, by their strongest hash
+            own = {found[i] for i in np.flatnonzero(flags >> k & 1)}
+            evidence = sum(max(known.get(h, 0.0) for h in _hashes(w)) for w in own)
+            listed.append(1 if evidence >= _ENOUGH else ABSTAIN)
+        return votes(text, found, numbers, flags, listed)
 
 
 def votes(
@@ -173,39 +186,51 @@ def _given(labels: DataFrame) -> DataFrame:
 
 
 def _learn(docs: DataFrame, given: DataFrame, max_labelled: int) -> Learned:
-    """Word lists from a bounded sample of the labelled documents, in two halves."""
+    """Word lists from a bounded sample of the labelled documents, in two halves.
+
+    Whether a hash goes with toxic documents is asked inside each language and added up, so a
+    language's share of the documents does not matter, nor how common toxic ones are.
+    """
     marked = given.where(F.col("toxic_label") < ABSTAIN).select("doc_id", F.col("toxic_label").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = stored(chosen)
-    marked_sizes = chosen.groupBy(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"), "toxic").count()
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    texts = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # max_labelled ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = [
-                np.array(sorted({h for w in set(words(t)) for h in _hashes(w)}), np.uint64).view(np.int64)
+                np.array([_EVERY, *{h for w in set(words(t)) for h in _hashes(w)}], np.uint64).view(np.int64)
                 for t in batch.column("text").to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("half"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["half", "toxic", "hashes"]
-            )
+            kept = [batch.column(c) for c in ("half", "lang", "toxic")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], ["half", "lang", "toxic", "hashes"])
 
-    texts = texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
-    read = texts.mapInArrow(run, "half long, toxic int, hashes array<long>")
-    sizes = {(r.half, r.toxic): r["count"] for r in marked_sizes.collect()}
+    read = texts.select("text", "toxic", "lang", half.alias("half")).mapInArrow(run, "half long, lang string, toxic int, hashes array<long>")
     yes, no = F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))
-    counted = read.select("half", "toxic", F.explode("hashes").alias("hash")).groupBy("hash", "half").agg(yes.alias("yes"), no.alias("no"))
+    each = read.select("half", "lang", "toxic", F.explode("hashes").alias("hash"))
+    counted = stored(each.groupBy("hash", "half", "lang").agg(yes.alias("yes"), no.alias("no")))
+    every = counted.where(F.col("hash") == _EVERY).select("half", "lang", F.col("yes").alias("toxic"), F.col("no").alias("other"))
+    rows, held = F.col("toxic") + F.col("other"), F.col("yes") + F.col("no")
+
+    def told(count, of, among):  # against what chance gives, also right for small counts
+        return F.when(count > 0, count * F.log(count * rows / (of * among))).otherwise(0.0)
+
+    yes, no, toxic, other = (F.col(c) for c in ("yes", "no", "toxic", "other"))
+    deviance = told(yes, held, toxic) + told(no, held, other) + told(toxic - yes, rows - held, toxic) + told(other - no, rows - held, other)
+    joined = counted.where(F.col("hash") != _EVERY).join(F.broadcast(every), ["half", "lang"])  # a row for each language
+    summed = joined.groupBy("hash", "half").agg(
+        F.sum(F.when(yes * rows > held * toxic, deviance).otherwise(-deviance)).alias("surprise"),
+        F.sum((yes + 0.5) * (other + 1) / rows).alias("for"),
+        F.sum((no + 0.5) * (toxic + 1) / rows).alias("against"),
+    )
+    often = summed.where((F.col("surprise") >= -math.log(_CHANCE)) & (F.col("for") > F.col("against")))
+    often = often.withColumn("evidence", F.log(F.col("for") / F.col("against")))
     lists = []
-    for half in (0, 1):
-        toxic, other = sizes.get((half, 1), 0), sizes.get((half, 0), 0)
-        if toxic < 20:
-            lists.append(frozenset())
-            continue
-        # in 4 % of the toxic documents, and 100 times rarer in the others
-        share = F.col("yes") / toxic
-        often = counted.where((F.col("half") == half) & (share >= 0.04) & (share >= 100 * (F.col("no") + 0.5) / (other + 1)))
-        best = often.orderBy(F.desc("yes"), "hash").limit(_LISTED).collect()
-        lists.append(frozenset(r.hash % 2**64 for r in best))
+    for k in (0, 1):
+        best = often.where(F.col("half") == k).orderBy(F.desc("surprise"), "hash").limit(_LISTED).collect()
+        lists.append({r.hash % 2**64: r.evidence for r in best})
     return Learned(*lists)
 
 
@@ -309,7 +334,7 @@ def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple,
     sample = stored(texts.mapInArrow(prepare, schema).repartition(_PARTS))
     counted = sample.mapInArrow(_summing(lambda *rows: feature_sums(*rows, _WIDTH), np.float32), "sums binary")
     sums = _total(counted, np.float32, (3, _WIDTH + 1))  # 3 MB from each of a few partitions
-    used, own = choose(sums)
+    used, own = choose(sums, least=_LEAST, effect=0.0)
     model = Linear(own, sums[:2, -1] / max(sums[2, -1], 1))
 
     def keep_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

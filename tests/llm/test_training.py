@@ -133,6 +133,20 @@ def test_quality_on_held_out_labels(spark, middle):
     assert sum(junk) >= 0.95 * len(junk)
 
 
+def test_toxic_is_found_in_each_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    wanted = labels.where(held & (F.col("quality") == 1)).select("doc_id", F.col("toxic").alias("is_toxic"))
+    scored = quality.score_documents(docs, labels.where(~held)).join(wanted, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rejected = defaultdict(list)
+    for r in scored.collect():
+        rejected[r.lang, r.is_toxic].append(r.toxic >= 0.5)
+    assert {lang for lang, toxic in rejected if toxic} == {"en", "de", "fr", "es"}
+    for (_, toxic), found in rejected.items():
+        assert sum(found) >= 0.85 * len(found) if toxic else sum(found) <= 0.05 * len(found)
+
+
 def test_insults_are_rejected_without_labels(spark, middle):
     docs, labels = middle
     scored = {r.doc_id: r.kept for r in quality.score_documents(docs, labels.limit(0)).collect()}
