@@ -7,12 +7,13 @@ hashes that are significantly commoner in toxic documents of their language, eac
 it votes yes where the evidence of a document's words is enough and abstains elsewhere. The vote patterns
 of all documents are counted; expectation-maximisation over the counts estimates how reliable
 each labeller is. The posteriors of a bounded sample
-of documents (``max_training``, by hash) train one linear scorer per question over hashed words
+of documents (``max_training``, by hash, the classes alike) train one linear scorer per question over hashed words
 and votes, by full gradients summed over the sample's partitions. The scorer then reads every
 document; those at 0.5 or more for either question are rejected.
 
-Parameters that bound the fitting: ``max_labelled`` labelled documents (by hash) for the word
-lists, ``max_training`` documents for the scorer. Counts of vote patterns, votes and scores
+Parameters that bound the fitting: ``max_labelled`` labelled documents (by hash, toxic and others
+alike) for the word lists, ``max_training`` documents for the scorer. A class with fewer documents than
+its part of a bound gives them all and leaves the rest to the others. Counts of vote patterns, votes and scores
 cover all documents.
 
 Defined results: a null, empty or wordless text casts no votes for junk or insult and is
@@ -24,6 +25,7 @@ ignored by ``score_documents`` and carried along by ``keep_good``.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 from collections.abc import Iterator
@@ -43,8 +45,9 @@ MAX_LABELLED = 20_000
 MAX_TRAINING = 20_000
 _MEMO_WORDS = 500_000
 _ROUNDS = 40
-_LISTED = 1000  # hashes a learned list holds at most
+_LISTED = 10_000  # hashes a learned list holds at most
 _CHANCE = 1e-5  # a hash is listed if it stands in so many toxic documents by about this chance or less
+_TELLING = math.log(4)  # least evidence of a hash; long documents would add up many weaker ones
 _ENOUGH = math.log(50)  # evidence of the listed words of a document for a vote
 _LEAST = 5.0  # standard deviations of a feature of the scorer
 _PARTS = 6  # of the training sample
@@ -185,6 +188,20 @@ def _given(labels: DataFrame) -> DataFrame:
     )
 
 
+def _sample(rows: DataFrame, kind: str, bound: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most ``bound`` rows by hash of ``doc_id``, as evenly from each kind as there are rows, and how many
+    rows each chosen row of a kind stands for."""
+    rows = stored(rows)
+    sizes = sorted((r["count"], r[kind]) for r in rows.groupBy(kind).count().collect())  # a few kinds
+    parts, stands, left = [rows.limit(0)], {}, bound
+    for k, (size, which) in enumerate(sizes):  # what a rare kind leaves goes to the others
+        take = min(size, left // (len(sizes) - k))
+        left -= take
+        stands[which] = size / max(1, take)
+        parts.append(rows.where(F.col(kind) == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take))
+    return stored(functools.reduce(DataFrame.unionByName, parts)), stands
+
+
 def _learn(docs: DataFrame, given: DataFrame, max_labelled: int) -> Learned:
     """Word lists from a bounded sample of the labelled documents, in two halves.
 
@@ -192,8 +209,7 @@ def _learn(docs: DataFrame, given: DataFrame, max_labelled: int) -> Learned:
     language's share of the documents does not matter, nor how common toxic ones are.
     """
     marked = given.where(F.col("toxic_label") < ABSTAIN).select("doc_id", F.col("toxic_label").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    chosen = stored(chosen)
+    chosen, _ = _sample(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", max_labelled)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     texts = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # max_labelled ids
@@ -226,7 +242,7 @@ def _learn(docs: DataFrame, given: DataFrame, max_labelled: int) -> Learned:
         F.sum((no + 0.5) * (toxic + 1) / rows).alias("against"),
     )
     often = summed.where((F.col("surprise") >= -math.log(_CHANCE)) & (F.col("for") > F.col("against")))
-    often = often.withColumn("evidence", F.log(F.col("for") / F.col("against")))
+    often = often.withColumn("evidence", F.log(F.col("for") / F.col("against"))).where(F.col("evidence") >= _TELLING)
     lists = []
     for k in (0, 1):
         best = often.where(F.col("half") == k).orderBy(F.desc("surprise"), "hash").limit(_LISTED).collect()
@@ -253,13 +269,28 @@ def _voted(docs: DataFrame, learned: Learned) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, junk array<int>, toxic array<int>")
 
 
-def _weigh(voted: DataFrame, column: str, labellers: int) -> Reliabilities:
+def _weigh(voted: DataFrame, column: str, labellers: int) -> tuple[Reliabilities, list[tuple]]:
+    """The reliabilities, and the patterns of votes that speak for yes."""
     counted = voted.groupBy(column, f"{column}_label").count().collect()  # at most 3^(labellers + 1) rows
     fitted = Reliabilities(labellers + 1, 1)
-    if counted:
-        cast = np.array([[*r[column], r[f"{column}_label"]] for r in counted])
-        fitted.fit(cast, np.zeros(len(cast), int), np.array([float(r["count"]) for r in counted]))
-    return fitted
+    if not counted:
+        return fitted, []
+    cast, group = np.array([[*r[column], r[f"{column}_label"]] for r in counted]), np.zeros(len(counted), int)
+    fitted.fit(cast, group, np.array([float(r["count"]) for r in counted]))
+    likely = fitted.posterior(cast, group) >= 0.5
+    return fitted, [(r[column], r[f"{column}_label"]) for r, yes in zip(counted, likely) if yes]
+
+
+def _kinds(voted: DataFrame, likely: tuple[list, list]) -> DataFrame:
+    """(doc_id, kind): 2 for documents that the votes hold for toxic, 1 for junk, 0 for others."""
+    spark = voted.sparkSession
+    for column, patterns in zip(("junk", "toxic"), likely):
+        known = spark.createDataFrame(
+            [(*p, True) for p in patterns], f"{column} array<int>, {column}_label int, is_{column} boolean"
+        )
+        voted = voted.join(F.broadcast(known), [column, f"{column}_label"], "left")
+    kind = F.when(F.col("is_toxic"), 2).when(F.col("is_junk"), 1).otherwise(0)
+    return voted.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(kind).alias("kind"))
 
 
 class Weights:
@@ -269,10 +300,10 @@ class Weights:
         self.weights, self.bias = weights, bias
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, the row of each, and what is wanted of the rows of a training batch."""
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Features, the row of each, and what is wanted of the rows of a training batch and their weight."""
     features, row = flat(np.frombuffer(f, np.int32) for f in batch.column("features").to_pylist())
-    return features, row, np.stack([batch.column(c).to_numpy() for c in ("junk", "toxic")])
+    return features, row, np.stack([batch.column(c).to_numpy() for c in ("junk", "toxic")]), batch.column("weight").to_numpy()
 
 
 def _total(df: DataFrame, kind, shape: tuple[int, ...]) -> np.ndarray:
@@ -298,18 +329,22 @@ def _summing(add, kind):
     return run
 
 
-def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple, max_training: int) -> Weights:
+def _train(
+    docs: DataFrame, given: DataFrame, kinds: DataFrame, learned: Learned, weighed: tuple, max_training: int
+) -> Weights:
     """The linear scorer of both questions, trained on a bounded sample with posterior labels.
 
+    The sample holds toxic, junk and other documents alike, as the votes have them, so that a rare class
+    is learned; each row then weighs as many documents as it stands for.
     One pass chooses the telling features, a second keeps them alone; the gradients then run over small rows.
     """
     spark = docs.sparkSession
-    hashed = F.xxhash64("doc_id")
-    ids = docs.select("doc_id", hashed.alias("h")).where("doc_id IS NOT NULL").distinct()
-    chosen = ids.orderBy("h", "doc_id").limit(max_training).join(given, "doc_id", "left").select(
-        "doc_id", *[F.coalesce(c, F.lit(ABSTAIN)).alias(c) for c in ("junk_label", "toxic_label")]
+    ids, stands = _sample(kinds, "kind", max_training)
+    stands_for = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(w))) for k, w in stands.items()], F.lit(1.0))
+    chosen = ids.join(given, "doc_id", "left").select(
+        "doc_id", stands_for.alias("weight"), *[F.coalesce(c, F.lit(ABSTAIN)).alias(c) for c in ("junk_label", "toxic_label")]
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_training rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_training ids
     shared = spark.sparkContext.broadcast((learned, weighed))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,25 +352,24 @@ def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple,
         zero = np.zeros(1, int)
         for batch in pieces(batches):
             rows = []
-            columns = [batch.column(c).to_pylist() for c in ("text", "junk_label", "toxic_label")]
-            for text, junk_label, toxic_label in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("text", "junk_label", "toxic_label", "weight")]
+            for text, junk_label, toxic_label, weight in zip(*columns):
                 found, numbers, flags = known.read(text)
                 junk, toxic = known.votes(text, found, numbers, flags)
                 cast = (junk_fit, [*junk, junk_label]), (toxic_fit, [*toxic, toxic_label])
                 wanted = [float(f.posterior(np.array([v]), zero)[0]) for f, v in cast]
-                rows.append((_features(numbers, junk, toxic).astype(np.int32).tobytes(), *wanted))
-            columns = list(zip(*rows)) or [[], [], []]
+                rows.append((_features(numbers, junk, toxic).astype(np.int32).tobytes(), *wanted, weight))
+            columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())],
-                ["features", "junk", "toxic"],
+                [pa.array(columns[0], pa.binary()), *[pa.array(c, pa.float64()) for c in columns[1:]]],
+                ["features", "junk", "toxic", "weight"],
             )
 
-    schema = "features binary, junk double, toxic double"
+    schema = "features binary, junk double, toxic double, weight double"
     sample = stored(texts.mapInArrow(prepare, schema).repartition(_PARTS))
-    counted = sample.mapInArrow(_summing(lambda *rows: feature_sums(*rows, _WIDTH), np.float32), "sums binary")
+    counted = sample.mapInArrow(_summing(lambda *rows: feature_sums(*rows[:3], _WIDTH), np.float32), "sums binary")
     sums = _total(counted, np.float32, (3, _WIDTH + 1))  # 3 MB from each of a few partitions
-    used, own = choose(sums, least=_LEAST, effect=0.0)
-    model = Linear(own, sums[:2, -1] / max(sums[2, -1], 1))
+    used, own = choose(sums, least=_LEAST, effect=0.0, seldom=0, shrink=1.0)
 
     def keep_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(_WIDTH, -1, np.int32)
@@ -343,9 +377,12 @@ def _train(docs: DataFrame, given: DataFrame, learned: Learned, weighed: tuple,
         for batch in pieces(batches):
             kept = [number[np.frombuffer(f, np.int32)] for f in batch.column("features").to_pylist()]
             kept = pa.array([k[k >= 0].tobytes() for k in kept], pa.binary())
-            yield pa.RecordBatch.from_arrays([kept, batch.column("junk"), batch.column("toxic")], ["features", "junk", "toxic"])
+            rest = ["junk", "toxic", "weight"]
+            yield pa.RecordBatch.from_arrays([kept, *[batch.column(c) for c in rest]], ["features", *rest])
 
     small = stored(sample.mapInArrow(keep_used, schema))
+    means = small.agg(*[F.sum(F.col(c) * F.col("weight")) / F.sum("weight") for c in ("junk", "toxic")]).first()
+    model = Linear(own, np.array([m or 0.0 for m in means]))
     for _ in range(_ROUNDS):
         step = small.mapInArrow(_summing(model.gradient, np.float64), "sums binary")
         model.move(_total(step, np.float64, (2, 2, len(used) + 1)))
@@ -374,8 +411,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         {c: F.coalesce(c, F.lit(ABSTAIN)) for c in ("junk_label", "toxic_label")}
     )
     voted = stored(voted)
-    weighed = _weigh(voted, "junk", JUNK), _weigh(voted, "toxic", TOXIC)
-    return Scorer(learned, _train(docs, given, learned, weighed, max_training))
+    weighed, likely = zip(_weigh(voted, "junk", JUNK), _weigh(voted, "toxic", TOXIC))
+    return Scorer(learned, _train(docs, given, _kinds(voted, likely), learned, weighed, max_training))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:

@@ -62,18 +62,21 @@ def feature_sums(features: np.ndarray, row: np.ndarray, wanted: np.ndarray, size
     return out
 
 
-def choose(sums: np.ndarray, least: float = 8.0, effect: float = 0.18, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def choose(
+    sums: np.ndarray, least: float = 8.0, effect: float = 0.18, most: int = 4096, seldom: int = 10, shrink: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
     """The features that tell the classes apart, and for each head which of them are its own.
 
     A feature must be ``least`` standard deviations from chance, and ``effect`` times the root
-    of the number of rows; the ``most`` telling ones of each head are taken.
+    of the number of rows; the ``most`` telling ones of each head are taken. Features that occur less
+    than ``seldom`` times are left out; ``shrink`` adds to the variance, so that a few rows tell less.
     """
     count, total = sums[-1, :-1], max(sums[-1, -1], 1)
     telling = np.zeros((len(sums) - 1, len(count)))
     for h, own in enumerate(sums[:-1]):
         mean = np.clip(own[-1] / total, 1e-3, 1 - 1e-3)
-        telling[h] = np.abs(own[:-1] - mean * count) / np.sqrt(np.maximum(count, 1) * mean * (1 - mean))
-    telling[:, count < 10] = 0
+        telling[h] = np.abs(own[:-1] - mean * count) / np.sqrt(np.maximum(count, 1) * mean * (1 - mean) + shrink)
+    telling[:, count < seldom] = 0
     for t in telling:
         t[np.argsort(-t, kind="stable")[most:]] = 0
     own = telling >= max(least, effect * np.sqrt(total))
@@ -94,16 +97,18 @@ class Linear:
         self.weights, self.bias = np.zeros(own.shape), np.log(means / (1 - means))
         self._last, self._steps = (self.weights, self.bias), 0
 
-    def gradient(self, features: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Sums over some rows: per head the gradient and the curvature, the bias last."""
+    def gradient(
+        self, features: np.ndarray, row: np.ndarray, wanted: np.ndarray, weight: np.ndarray | float = 1.0
+    ) -> np.ndarray:
+        """Sums over some weighted rows: per head the gradient and the curvature, the bias last."""
         heads, size = self.own.shape
         out = np.zeros((heads, 2, size + 1))
         for h in range(heads):
             inside = self.own[h][features]
             own, at = features[inside], row[inside]
             p = sigmoid(np.bincount(at, weights=self.weights[h][own], minlength=wanted.shape[1]) + self.bias[h])
-            error = wanted[h] - p
-            curve = np.maximum(p * (1 - p), 0.02) * (1 + np.bincount(at, minlength=wanted.shape[1]))
+            error = weight * (wanted[h] - p)
+            curve = weight * np.maximum(p * (1 - p), 0.02) * (1 + np.bincount(at, minlength=wanted.shape[1]))
             out[h, 0, :-1] = np.bincount(own, weights=error[at], minlength=size)
             out[h, 1, :-1] = np.bincount(own, weights=curve[at], minlength=size)
             out[h, :, -1] = error.sum(), curve.sum()

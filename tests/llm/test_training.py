@@ -147,6 +147,20 @@ def test_toxic_is_found_in_each_language(spark):
         assert sum(found) >= 0.85 * len(found) if toxic else sum(found) <= 0.05 * len(found)
 
 
+def test_a_rare_class_is_learned_within_the_bounds(spark):
+    """16 toxic labels among 300, and 500 labels that name no document."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 40)) for _ in range(900)]
+    rows = [(i, f"zorgnat {t} plimfox" if i % 37 == 0 else t) for i, t in enumerate(texts)]  # 25 toxic
+    labels = [(i, 1, int(i % 37 == 0)) for i in range(900) if i % 37 == 0 and i < 16 * 37 or i % 3 == 1 and i % 37]
+    labels += [(i, 1, 0) for i in range(10_000, 10_500)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scored = quality.score_documents(docs_of(spark, rows), labels, max_labelled=60, max_training=90).collect()
+    unseen = [r.toxic >= 0.5 for r in scored if r.doc_id % 37 == 0 and r.doc_id >= 16 * 37]
+    assert len(unseen) == 9 and all(unseen)
+    assert sum(r.toxic >= 0.5 for r in scored if r.doc_id % 37) <= 9
+
+
 def test_insults_are_rejected_without_labels(spark, middle):
     docs, labels = middle
     scored = {r.doc_id: r.kept for r in quality.score_documents(docs, labels.limit(0)).collect()}
