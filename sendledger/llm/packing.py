@@ -10,18 +10,23 @@ place follows from its index in its queue. That index is the sum of the earlier
 partitions (a small table) plus a running sum inside the partition, so no task
 reads a whole queue.
 
-Without ``weights`` the target is each source's share of all tokens. A source beyond the
-``max_queues`` largest shares a queue with others, chosen by hash; nothing is left out.
+Up to 64 queues are placed by the closed form inside each task. For more, the runs of all rounds
+are made from the table of queues, summed in order over ranges of rounds, and joined to the
+documents by queue and round; the places are the same.
+
+Without ``weights`` the target is each source's share of all tokens. Every source has a queue
+of its own, however many there are. Only if ``max_queues`` is given, a source beyond the largest
+shares a queue with others, chosen by hash, which has their weights added up.
 
 Defined results: a null or empty text is the end token alone; a null source is a
-source of its own; repeated rows are packed as often as they occur; a null doc_id is
+source of its own with a null queue; repeated rows are packed as often as they occur; a null doc_id is
 kept. An empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ _MEMO_WORDS = 800_000  # words whose ids a worker remembers, about 160 MB
 _SLICE = 16_000_000  # bytes of text encoded at once
 _MARK = "\x02"  # stands between words that are encoded together
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+_FEW_QUEUES = 64  # queues that each task places by the closed form
+_RUNS = 100_000  # of a queue made at once
 _PLACES_LIMIT = 200_000  # rows of the start table that may be broadcast, about 8 MB
 
 
@@ -179,23 +186,34 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
                 )
                 at += len(some)
 
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), "text")
-    return rows.mapInArrow(
+    return docs.select("doc_id", "queue", "text").mapInArrow(
         run, f"doc_id {kind}, queue string, part int, before long, doc_tokens long, ids binary"
     )
 
 
-def _merge_small(docs: DataFrame, max_queues: int) -> DataFrame:
-    """``docs`` with ``source`` replaced by a shared name for all but the largest sources."""
+def _queued(docs: DataFrame, max_queues: int | None) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``queue`` to rows with ``source``: empty for null, else a sign and the source's or the shared name."""
+    own = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    if max_queues is None:
+        return lambda rows: rows.withColumn("queue", own)
     sizes = docs.groupBy("source").agg(F.sum(F.length("text")).alias("size"))
     if sizes.limit(max_queues + 1).count() <= max_queues:
-        return docs
-    largest = sizes.orderBy(F.desc("size"), "source").limit(max_queues // 2).select(
+        return lambda rows: rows.withColumn("queue", own)
+    largest = stored(sizes.orderBy(F.desc("size"), "source").limit(max_queues // 2).select(
         F.col("source").alias("large"), F.lit(True).alias("is_large")
-    )
-    shared = F.concat(F.lit("shared "), F.pmod(F.xxhash64("source"), F.lit(max_queues // 2)))
-    marked = docs.join(F.broadcast(largest), F.col("source").eqNullSafe(F.col("large")), "left")
-    return marked.withColumn("source", F.when(F.col("is_large"), F.col("source")).otherwise(shared))
+    ))
+    shared = F.concat(F.lit("+shared "), F.pmod(F.xxhash64("source"), F.lit(max_queues // 2)))
+
+    def merged(rows: DataFrame) -> DataFrame:
+        marked = rows.join(F.broadcast(largest), F.col("source").eqNullSafe(F.col("large")), "left")
+        return marked.withColumn("queue", F.when(F.col("is_large"), own).otherwise(shared))
+
+    return merged
+
+
+def _named(pieces: DataFrame) -> DataFrame:
+    """``queue`` without its sign."""
+    return pieces.withColumn("queue", F.when(F.col("queue") != "", F.substring("queue", 2, 2**31 - 1)))
 
 
 class Rounds:
@@ -248,20 +266,129 @@ class Rounds:
         return doc, begins + shift - first[doc], np.where(second, lengths - head, head), at + shift
 
 
+def _runs(totals: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The queues with their quanta; and (queue, round, run_begin, run_at) of every run of theirs, ``run_at``
+    being its place in the stream."""
+    whole = totals.agg(F.sum("weight").alias("all_weight"), F.count("*").alias("n"))  # one row
+    share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(1 / F.col("n"))
+    quantum = F.greatest(F.lit(1), F.rint(share * window * 2**_FRACTION).cast("long"))
+    queues = totals.crossJoin(F.broadcast(whole)).select("queue", "total", quantum.alias("quantum"))
+    queues = stored(queues)
+    one = 1 << _FRACTION
+    last = F.expr(f"(total * {one} + quantum - 1) div quantum")
+    number = F.when(F.col("quantum") >= one, last).otherwise(F.col("total"))  # else each token is a run
+    blocks = queues.withColumn("number", number).withColumn("block", F.explode(F.expr(f"sequence(0L, (number - 1) div {_RUNS})")))
+    each = blocks.repartition("queue", "block").withColumn(
+        "k", F.explode(F.expr(f"sequence(block * {_RUNS}, least(number, (block + 1) * {_RUNS}) - 1)"))
+    )
+    wide = F.col("quantum") >= one
+    runs = each.select(
+        "queue",
+        F.when(wide, F.col("k") + 1).otherwise(F.expr(f"((k + 1) * {one} + quantum - 1) div quantum")).alias("round"),
+        F.when(wide, F.expr(f"k * quantum div {one}")).otherwise(F.col("k")).alias("run_begin"),
+        F.when(wide, F.expr(f"least(total, (k + 1) * quantum div {one})")).otherwise(F.col("k") + 1).alias("run_end"),
+    )
+    runs = stored(runs.repartitionByRange("round", "queue").withColumn("range", F.spark_partition_id()))
+    size = F.sum(F.col("run_end") - F.col("run_begin"))
+    ranges = runs.groupBy("range").agg(size.alias("tokens"))  # a row for each task
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("range_at"))
+    inside = Window.partitionBy("range").orderBy("round", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("range_at") + F.coalesce(size.over(inside), F.lit(0))
+    return queues, runs.join(F.broadcast(ranges), "range").select("queue", "round", "run_begin", at.alias("run_at"))
+
+
+def _placed(tokens: DataFrame, places: DataFrame, totals: DataFrame, window: int) -> DataFrame:
+    """The pieces for any number of queues."""
+    queues, runs = _runs(totals, window)
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part of each document in each round."""
+        for batch in pieces(batches, 2000):
+            base, before, count, quantum, total = (
+                batch.column(c).to_numpy() for c in ("base", "before", "doc_tokens", "quantum", "total")
+            )
+            first, stop = base + before, base + before + count
+            low, high = (-((-(t << _FRACTION)) // quantum) for t in (first + 1, stop))
+            number = np.where(quantum >= 1 << _FRACTION, high - low + 1, count)
+            doc = np.repeat(np.arange(len(first)), number)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+            rate = quantum[doc]
+            by_token = -((-((first[doc] + k + 1) << _FRACTION)) // rate)
+            rounds = np.where(rate >= 1 << _FRACTION, low[doc] + k, by_token)
+            begins = np.maximum((rounds - 1) * rate >> _FRACTION, first[doc])
+            lengths = np.minimum(np.minimum(total[doc], rounds * rate >> _FRACTION), stop[doc]) - begins
+            start = begins - first[doc]
+            ids = memoryview(b"".join(batch.column("ids").to_pylist()))
+            at = 2 * ((np.cumsum(count) - count)[doc] + start)
+            own = [bytes(ids[a:b]) for a, b in zip(at.tolist(), (at + 2 * lengths).tolist())]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("queue").take(take), batch.column("doc_tokens").take(take),
+                 pa.array(rounds), pa.array(begins), pa.array(start), pa.array(lengths), pa.array(own, pa.binary())],
+                ["doc_id", "queue", "doc_tokens", "round", "begin", "start", "length", "ids"],
+            )
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part crosses at most one border of sequences."""
+        for batch in pieces(batches, 20_000):
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in ("start", "length", "at", "ids")]
+            for i, (start, length, at, ids) in enumerate(zip(*columns)):
+                wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+                head = min(length, window - at % window)
+                for a, b in ((0, head), (head, length)):
+                    if a < b:
+                        rows.append((i, start + a, b - a, zlib.crc32(wide[4 * a : 4 * b]), (at + a) // window, (at + a) % window))
+            take, start, length, check, sequence, offset = (pa.array(c, pa.int64()) for c in zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), start, length, check, batch.column("doc_tokens").take(take),
+                 sequence, offset, batch.column("queue").take(take)],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
+            )
+
+    known = places.select("queue", "part", "base").join(queues, "queue")
+    whole = tokens.join(known, ["queue", "part"])
+    parts = whole.select("doc_id", "queue", "base", "before", "doc_tokens", "quantum", "total", "ids").mapInArrow(
+        cut, f"doc_id {kind}, queue string, doc_tokens long, round long, begin long, start long, length long, ids binary"
+    )
+    at = F.col("run_at") + F.col("begin") - F.col("run_begin")
+    return parts.join(runs, ["queue", "round"]).withColumn("at", at).select(
+        "doc_id", "queue", "doc_tokens", "start", "length", "at", "ids"
+    ).mapInArrow(
+        split,
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+        "offset long, queue string",
+    )
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str | None = None,
     window: int = WINDOW,
     weights: dict[str, float] | None = None,
-    max_queues: int = 64,
+    max_queues: int | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source queue."""
-    tokens = stored(tokenized(_merge_small(docs, max_queues), tokenizer_path))
+    docs = docs.select("doc_id", "source", "text")
+    queued = _queued(docs, max_queues)
+    tokens = stored(tokenized(queued(docs), tokenizer_path))
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = stored(parts.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))))
-    totals = {r.queue: r.total for r in places.groupBy("queue").agg(F.sum("tokens").alias("total")).collect()}
-    rounds = Rounds(totals, window, weights)
+    totals = places.groupBy("queue").agg(F.sum("tokens").alias("total"))
+    if weights:
+        given = docs.sparkSession.createDataFrame([(n, float(w)) for n, w in weights.items()], "source string, weight double")
+        given = queued(given.withColumn("source", F.col("source").cast(docs.schema["source"].dataType)))
+        totals = totals.join(given.groupBy("queue").agg(F.sum("weight").alias("weight")), "queue", "left")
+    else:
+        totals = totals.withColumn("weight", F.col("total").cast("double"))
+    totals = stored(totals.fillna(0.0, ["weight"]))
+    if totals.limit(_FEW_QUEUES + 1).count() > _FEW_QUEUES:
+        return _named(_placed(tokens, places, totals, window))
+    few = totals.collect()
+    rounds = Rounds({r.queue: r.total for r in few}, window, {r.queue: r.weight for r in few})
     kind = docs.schema["doc_id"].dataType.simpleString()
     number = {name: i for i, name in enumerate(rounds.names)}
 
@@ -288,8 +415,8 @@ def pack(
 
     base = places.select("queue", "part", "base")
     placed = tokens.join(F.broadcast(base) if base.count() <= _PLACES_LIMIT else base, ["queue", "part"])
-    return placed.select("doc_id", "queue", "base", "before", "doc_tokens", "ids").mapInArrow(
+    return _named(placed.select("doc_id", "queue", "base", "before", "doc_tokens", "ids").mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
         "offset long, queue string",
-    )
+    ))

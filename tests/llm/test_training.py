@@ -103,6 +103,22 @@ def test_packing_with_many_sources(spark, tokenizer):
     assert len({p.queue for p in pieces}) <= 8
 
 
+def test_packing_keeps_each_source_a_queue(spark, tokenizer, monkeypatch):
+    rows = [(i, f"text number {i} " * (i % 9)) for i in range(300)]
+    site = F.pmod(F.col("doc_id"), F.lit(90))
+    docs = docs_of(spark, rows).withColumn("source", F.when(site == 1, F.lit("")).when(site > 1, F.concat(F.lit("site"), site)))
+    weights = {"site7": 0.5, "site8": 0.25, "site9": 0.25, **{f"site{k}": 0.01 for k in range(10, 40)}}
+    for given in (None, weights):
+        pieces = packing.pack(docs, weights=given, window=64).collect()
+        check_packed(pieces, dict(rows), tokenizer, 64)
+        assert len({p.queue for p in pieces}) == 90 and {None, ""} < {p.queue for p in pieces}
+        with monkeypatch.context() as few:
+            few.setattr(packing, "_FEW_QUEUES", 1000)  # the closed form
+            assert sorted(map(tuple, packing.pack(docs, weights=given, window=64).collect()), key=repr) == sorted(
+                map(tuple, pieces), key=repr
+            )
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.3
