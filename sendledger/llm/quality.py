@@ -49,7 +49,7 @@ _LISTED = 10_000  # hashes a learned list holds at most
 _CHANCE = 1e-5  # a hash is listed if it stands in so many toxic documents by about this chance or less
 _TELLING = math.log(4)  # least evidence of a hash; long documents would add up many weaker ones
 _ENOUGH = math.log(50)  # evidence of the listed words of a document for a vote
-_LEAST = 5.0  # standard deviations of a feature of the scorer
+_LEAST, _EFFECT = 5.0, 0.12  # of a feature of the scorer; many weaker ones together reject clean documents
 _PARTS = 6  # of the training sample
 JUNK, TOXIC = 7, 4  # labellers of either question, the given labels aside
 
@@ -369,7 +369,7 @@ def _train(
     sample = stored(texts.mapInArrow(prepare, schema).repartition(_PARTS))
     counted = sample.mapInArrow(_summing(lambda *rows: feature_sums(*rows[:3], _WIDTH), np.float32), "sums binary")
     sums = _total(counted, np.float32, (3, _WIDTH + 1))  # 3 MB from each of a few partitions
-    used, own = choose(sums, least=_LEAST, effect=0.0, seldom=0, shrink=1.0)
+    used, own = choose(sums, least=_LEAST, effect=_EFFECT, seldom=0, shrink=1.0)
 
     def keep_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(_WIDTH, -1, np.int32)
