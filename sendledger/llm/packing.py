@@ -10,13 +10,13 @@ place follows from its index in its queue. That index is the sum of the earlier
 partitions (a small table) plus a running sum inside the partition, so no task
 reads a whole queue.
 
-Up to 64 queues are placed by the closed form inside each task. For more, the runs of all rounds
-are made from the table of queues, summed in order over ranges of rounds, and joined to the
-documents by queue and round; the places are the same.
+A piece's place looks at every queue's numbers once for each round that a batch meets, so the work
+grows with rounds times queues, not with tokens times queues.
 
 Without ``weights`` the target is each source's share of all tokens. Every source has a queue
-of its own, however many there are. Only if ``max_queues`` is given, a source beyond the largest
-shares a queue with others, chosen by hash, which has their weights added up.
+of its own, however many there are; the tasks hold the queues' names and numbers (about 100 bytes each).
+Only if ``max_queues`` is given, a source beyond the largest shares a queue with others, chosen by hash,
+which has their weights added up.
 
 Defined results: a null or empty text is the end token alone; a null source is a
 source of its own with a null queue; repeated rows are packed as often as they occur; a null doc_id is
@@ -25,6 +25,7 @@ kept. An empty table gives no pieces. Other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,12 +41,13 @@ from sendledger.llm.common import pieces, stored
 WINDOW = 2048
 END_ID = 1
 _FRACTION = 16  # bits of a share after the point
-_MEMO_WORDS = 800_000  # words whose ids a worker remembers, about 160 MB
-_SLICE = 16_000_000  # bytes of text encoded at once
+_MEMO_WORDS = 200_000  # words whose ids a task remembers, about 40 MB
+_KEPT_WORDS = 100_000  # a worker goes on to other tasks with at most so many
+_SLICE = 8_000_000  # bytes of text encoded at once
+_WHOLE = "<\\||[\u0300-\u036f]"  # texts that are not cut into words
 _MARK = "\x02"  # stands between words that are encoded together
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
-_FEW_QUEUES = 64  # queues that each task places by the closed form
-_RUNS = 100_000  # of a queue made at once
+_CELLS = 2_000_000  # (round, queue) pairs looked at together
 _PLACES_LIMIT = 200_000  # rows of the start table that may be broadcast, about 8 MB
 
 
@@ -53,8 +55,8 @@ class _Encoder:
     """Ids of many texts at once, by the distinct words between spaces and line ends.
 
     White space always parts words, so a text's ids are its words' ids one after another. A-Z
-    is lower-cased beforehand, as the tokenizer does. Texts that may hold a special token's
-    string are encoded whole.
+    is lower-cased beforehand, as the tokenizer does after composing. Texts that may hold a special
+    token's string, or marks that compose with A-Z, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -84,8 +86,9 @@ class _Encoder:
 
     def _learn(self, found: list[str]) -> None:
         """Encode words together. A word of letters is as a rule one piece, whose last id ends a word."""
-        marked = [w for w in found if not w.isalpha() and _MARK not in w]
-        for line, ids in self._encode_lines([w for w in found if w.isalpha()], " "):
+        plain = {w for w in found if w.isalpha() and self._stays(w)}
+        marked = [w for w in found if w not in plain and _MARK not in w]
+        for line, ids in self._encode_lines([w for w in found if w in plain], " "):
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(line):
                 self._remember(line, ids, [0, *stops[:-1]], stops)
@@ -96,6 +99,14 @@ class _Encoder:
             self._remember(line, ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
         self.memo.update((w, self._whole(w).tobytes()) for w in found if _MARK in w)
 
+    @staticmethod
+    def _stays(stem: str) -> bool:
+        """Whether the tokenizer sees letters alone in these letters, so that a sign behind them stands apart.
+
+        Composing and lower-casing may leave a mark at the end (as of a dotted capital I), which would join the sign.
+        """
+        return stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()
+
     def _words(self, names: list[str]) -> list[bytes]:
         """The ids of distinct words; letters with one sign at their end share the letters' ids."""
         values = list(map(self.memo.get, names))
@@ -103,7 +114,10 @@ class _Encoder:
             self.memo = {w: v for w, v in zip(names, values) if v is not None}
         memo, signs = self.memo, self.signs
         rest = [i for i, v in enumerate(values) if v is None]
-        stems = [w[:-1] if w[-1:] in signs and w[:-1].isalpha() else w for w in map(names.__getitem__, rest)]
+        stems = [
+            w[:-1] if w[-1:] in signs and w[:-1].isalpha() and self._stays(w[:-1]) else w
+            for w in map(names.__getitem__, rest)
+        ]
         missing = {w for w in stems if w not in memo}
         if missing:
             self._learn(list(missing))
@@ -134,7 +148,7 @@ class _Encoder:
     def encode(self, texts: pa.StringArray) -> Iterator[list[np.ndarray]]:
         """Ids of each text, some texts at a time; null is empty."""
         texts = texts.fill_null("")
-        special = pc.match_substring(texts, "<|").to_pylist()
+        special = pc.match_substring_regex(texts, _WHOLE).to_pylist()
         size, first = 0, 0
         for i, length in enumerate([*pc.binary_length(texts).to_pylist(), None]):
             if i > first and (length is None or size + length > _SLICE):
@@ -185,6 +199,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
                     ["doc_id", "queue", "part", "before", "doc_tokens", "ids"],
                 )
                 at += len(some)
+        if len(encoder.memo) > _KEPT_WORDS:
+            encoder.memo.clear()
 
     return docs.select("doc_id", "queue", "text").mapInArrow(
         run, f"doc_id {kind}, queue string, part int, before long, doc_tokens long, ids binary"
@@ -217,7 +233,7 @@ def _named(pieces: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """The round-robin of a few queues in closed form."""
+    """The round-robin of the queues in closed form: three numbers a queue, whatever they hold."""
 
     def __init__(self, totals: dict[str, int], window: int, weights: dict[str, float] | None):
         self.window, self.names = window, sorted(totals)
@@ -232,6 +248,18 @@ class Rounds:
         capped = np.minimum(rounds, self.last[queue]) * self.quanta[queue] >> _FRACTION
         return np.minimum(self.totals[queue], capped)
 
+    def _others(self, queue: int, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of all other queues that stand before this queue's turn in these rounds."""
+        distinct, which = np.unique(rounds, return_inverse=True)
+        before = (np.arange(len(self.names)) >= queue).astype(np.int64)  # a later queue has had its turn in the last round
+        own = np.arange(len(self.names)) != queue
+        found, step = np.empty(len(distinct), np.int64), max(1, _CELLS // len(self.names))
+        for i in range(0, len(distinct), step):
+            ended = distinct[i : i + step, None] - before
+            served = np.minimum(self.totals, np.minimum(ended, self.last) * self.quanta >> _FRACTION)
+            found[i : i + step] = served[:, own].sum(axis=1)
+        return found[which]
+
     def place(self, queue: int, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
         """Where the documents at tokens first..first+count of a queue stand.
 
@@ -252,10 +280,7 @@ class Rounds:
         lengths = np.minimum(self.served(queue, rounds), stop[doc]) - begins
         filled = lengths > 0
         doc, rounds, begins, lengths = doc[filled], rounds[filled], begins[filled], lengths[filled]
-        at = begins.copy()
-        for other in range(len(self.names)):
-            if other != queue:
-                at += self.served(other, rounds if other < queue else rounds - 1)
+        at = begins + self._others(queue, rounds)
         # a run holds at most one window of tokens, so it crosses at most one border
         head = np.minimum(lengths, self.window - at % self.window)
         pieces = 1 + (head < lengths)
@@ -266,103 +291,6 @@ class Rounds:
         return doc, begins + shift - first[doc], np.where(second, lengths - head, head), at + shift
 
 
-def _runs(totals: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """The queues with their quanta; and (queue, round, run_begin, run_at) of every run of theirs, ``run_at``
-    being its place in the stream."""
-    whole = totals.agg(F.sum("weight").alias("all_weight"), F.count("*").alias("n"))  # one row
-    share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(1 / F.col("n"))
-    quantum = F.greatest(F.lit(1), F.rint(share * window * 2**_FRACTION).cast("long"))
-    queues = totals.crossJoin(F.broadcast(whole)).select("queue", "total", quantum.alias("quantum"))
-    queues = stored(queues)
-    one = 1 << _FRACTION
-    last = F.expr(f"(total * {one} + quantum - 1) div quantum")
-    number = F.when(F.col("quantum") >= one, last).otherwise(F.col("total"))  # else each token is a run
-    blocks = queues.withColumn("number", number).withColumn("block", F.explode(F.expr(f"sequence(0L, (number - 1) div {_RUNS})")))
-    each = blocks.repartition("queue", "block").withColumn(
-        "k", F.explode(F.expr(f"sequence(block * {_RUNS}, least(number, (block + 1) * {_RUNS}) - 1)"))
-    )
-    wide = F.col("quantum") >= one
-    runs = each.select(
-        "queue",
-        F.when(wide, F.col("k") + 1).otherwise(F.expr(f"((k + 1) * {one} + quantum - 1) div quantum")).alias("round"),
-        F.when(wide, F.expr(f"k * quantum div {one}")).otherwise(F.col("k")).alias("run_begin"),
-        F.when(wide, F.expr(f"least(total, (k + 1) * quantum div {one})")).otherwise(F.col("k") + 1).alias("run_end"),
-    )
-    runs = stored(runs.repartitionByRange("round", "queue").withColumn("range", F.spark_partition_id()))
-    size = F.sum(F.col("run_end") - F.col("run_begin"))
-    ranges = runs.groupBy("range").agg(size.alias("tokens"))  # a row for each task
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("range_at"))
-    inside = Window.partitionBy("range").orderBy("round", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("range_at") + F.coalesce(size.over(inside), F.lit(0))
-    return queues, runs.join(F.broadcast(ranges), "range").select("queue", "round", "run_begin", at.alias("run_at"))
-
-
-def _placed(tokens: DataFrame, places: DataFrame, totals: DataFrame, window: int) -> DataFrame:
-    """The pieces for any number of queues."""
-    queues, runs = _runs(totals, window)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The part of each document in each round."""
-        for batch in pieces(batches, 2000):
-            base, before, count, quantum, total = (
-                batch.column(c).to_numpy() for c in ("base", "before", "doc_tokens", "quantum", "total")
-            )
-            first, stop = base + before, base + before + count
-            low, high = (-((-(t << _FRACTION)) // quantum) for t in (first + 1, stop))
-            number = np.where(quantum >= 1 << _FRACTION, high - low + 1, count)
-            doc = np.repeat(np.arange(len(first)), number)
-            k = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-            rate = quantum[doc]
-            by_token = -((-((first[doc] + k + 1) << _FRACTION)) // rate)
-            rounds = np.where(rate >= 1 << _FRACTION, low[doc] + k, by_token)
-            begins = np.maximum((rounds - 1) * rate >> _FRACTION, first[doc])
-            lengths = np.minimum(np.minimum(total[doc], rounds * rate >> _FRACTION), stop[doc]) - begins
-            start = begins - first[doc]
-            ids = memoryview(b"".join(batch.column("ids").to_pylist()))
-            at = 2 * ((np.cumsum(count) - count)[doc] + start)
-            own = [bytes(ids[a:b]) for a, b in zip(at.tolist(), (at + 2 * lengths).tolist())]
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("queue").take(take), batch.column("doc_tokens").take(take),
-                 pa.array(rounds), pa.array(begins), pa.array(start), pa.array(lengths), pa.array(own, pa.binary())],
-                ["doc_id", "queue", "doc_tokens", "round", "begin", "start", "length", "ids"],
-            )
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A part crosses at most one border of sequences."""
-        for batch in pieces(batches, 20_000):
-            rows = []
-            columns = [batch.column(c).to_pylist() for c in ("start", "length", "at", "ids")]
-            for i, (start, length, at, ids) in enumerate(zip(*columns)):
-                wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                head = min(length, window - at % window)
-                for a, b in ((0, head), (head, length)):
-                    if a < b:
-                        rows.append((i, start + a, b - a, zlib.crc32(wide[4 * a : 4 * b]), (at + a) // window, (at + a) % window))
-            take, start, length, check, sequence, offset = (pa.array(c, pa.int64()) for c in zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), start, length, check, batch.column("doc_tokens").take(take),
-                 sequence, offset, batch.column("queue").take(take)],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
-            )
-
-    known = places.select("queue", "part", "base").join(queues, "queue")
-    whole = tokens.join(known, ["queue", "part"])
-    parts = whole.select("doc_id", "queue", "base", "before", "doc_tokens", "quantum", "total", "ids").mapInArrow(
-        cut, f"doc_id {kind}, queue string, doc_tokens long, round long, begin long, start long, length long, ids binary"
-    )
-    at = F.col("run_at") + F.col("begin") - F.col("run_begin")
-    return parts.join(runs, ["queue", "round"]).withColumn("at", at).select(
-        "doc_id", "queue", "doc_tokens", "start", "length", "at", "ids"
-    ).mapInArrow(
-        split,
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-        "offset long, queue string",
-    )
-
-
 def pack(
     docs: DataFrame,
     tokenizer_path: str | None = None,
@@ -385,14 +313,13 @@ def pack(
     else:
         totals = totals.withColumn("weight", F.col("total").cast("double"))
     totals = stored(totals.fillna(0.0, ["weight"]))
-    if totals.limit(_FEW_QUEUES + 1).count() > _FEW_QUEUES:
-        return _named(_placed(tokens, places, totals, window))
-    few = totals.collect()
-    rounds = Rounds({r.queue: r.total for r in few}, window, {r.queue: r.weight for r in few})
+    queues = totals.collect()  # one row per source
+    rounds = Rounds({r.queue: r.total for r in queues}, window, {r.queue: r.weight for r in queues})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    number = {name: i for i, name in enumerate(rounds.names)}
+    shared = docs.sparkSession.sparkContext.broadcast((rounds, {name: i for i, name in enumerate(rounds.names)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds, number = shared.value
         for batch in pieces(batches, 2000):
             base, before, count = (batch.column(c).to_numpy() for c in ("base", "before", "doc_tokens"))
             queue = np.array([number[q] for q in batch.column("queue").to_pylist()])

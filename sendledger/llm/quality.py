@@ -43,7 +43,7 @@ _BITS = 18
 FEATURES = 2**_BITS
 MAX_LABELLED = 20_000
 MAX_TRAINING = 20_000
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 200_000  # words whose features a task remembers, about 50 MB
 _ROUNDS = 40
 _LISTED = 10_000  # hashes a learned list holds at most
 _CHANCE = 1e-5  # a hash is listed if it stands in so many toxic documents by about this chance or less
@@ -364,6 +364,7 @@ def _train(
                 [pa.array(columns[0], pa.binary()), *[pa.array(c, pa.float64()) for c in columns[1:]]],
                 ["features", "junk", "toxic", "weight"],
             )
+        known.memo.clear()
 
     schema = "features binary, junk double, toxic double, weight double"
     sample = stored(texts.mapInArrow(prepare, schema).repartition(_PARTS))

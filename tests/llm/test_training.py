@@ -1,11 +1,13 @@
 """Packing, the quality classifier, the queries and the pipeline."""
 
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,12 +66,26 @@ def check_packed(pieces, texts, tokenizer, window=2048):
 
 def test_packing(spark, tokenizer):
     rows = [(i, t) for k, (i, t) in enumerate(awkward()) if i is not None and i not in (12, 13)]
-    rows += [(900, "<|endoftext|> in it"), (901, "\x02 odd \x02\x02 marks"), (902, "A\tB\u00a0c  d")]
+    rows += [(900, "<|endoftext|> in it"), (901, "\x02 odd \x02\x02 marks"), (902, "A\tB\u00a0c  d"), *enumerate(ODD_TEXTS, 910)]
     pieces = packing.pack(docs_of(spark, rows)).collect()
     check_packed(pieces, dict(rows), tokenizer)
     assert packing.pack(docs_of(spark, [])).collect() == []
 
 
+ODD_TEXTS = ["SABR\u0130, AL\u0130.", "\u095c, x", "\ufb2a. y", "J\u030c H\u0331 I\u0323\u0307", "\u0939\u093f\u0928\u094d\u0926\u0940, \u092d\u093e\u0937\u093e."]
+
+
+def test_ids_are_the_tokenizers(tokenizer):
+    """Odd letters before signs, and random texts over the first planes, against the plain tokenizer."""
+    rng = random.Random(11)
+    every = [chr(c) for c in range(32, 0x3000)]
+    pools = [every, [c for c in every if c.isalpha()], list("abcI\u0130i\u00e9\u00df\u03a3\u03c3'.,;:! \n\t12"), [chr(c) for c in range(0x300, 0x370)]]
+    texts = ODD_TEXTS + ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 14))) + rng.choice(["", ",", "."]) for _ in range(8000)]
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = [ids.tolist() for some in encoder.encode(pa.array(texts, pa.string())) for ids in some]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_keeps_repeated_rows(spark):
     rows = awkward()
     pieces = packing.pack(docs_of(spark, rows)).collect()
@@ -103,7 +119,30 @@ def test_packing_with_many_sources(spark, tokenizer):
     assert len({p.queue for p in pieces}) <= 8
 
 
-def test_packing_keeps_each_source_a_queue(spark, tokenizer, monkeypatch):
+def round_robin(pieces, weights, window):
+    """The runs of each sequence, served round by round: a plain version over the queues' totals."""
+    totals = Counter()
+    for p in pieces:
+        totals[p.queue] += p.length
+    # null sorts first, then by name
+    names = sorted(totals, key=lambda q: (q is not None, q or ""))
+    shares = {q: (weights or totals).get(q, 0) for q in names}
+    quanta = {q: max(1, round(shares[q] / sum(shares.values()) * window * 65536)) for q in names}
+    stream, served, r = [], Counter(), 0
+    while sum(served.values()) < sum(totals.values()):
+        r += 1
+        for q in names:
+            due = min(totals[q], quanta[q] * r >> 16)
+            stream += [q] * (due - served[q])
+            served[q] = due
+    return stream
+
+
+def queue_stream(pieces):
+    return [p.queue for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) for _ in range(p.length)]
+
+
+def test_packing_keeps_each_source_a_queue(spark, tokenizer):
     rows = [(i, f"text number {i} " * (i % 9)) for i in range(300)]
     site = F.pmod(F.col("doc_id"), F.lit(90))
     docs = docs_of(spark, rows).withColumn("source", F.when(site == 1, F.lit("")).when(site > 1, F.concat(F.lit("site"), site)))
@@ -112,11 +151,8 @@ def test_packing_keeps_each_source_a_queue(spark, tokenizer, monkeypatch):
         pieces = packing.pack(docs, weights=given, window=64).collect()
         check_packed(pieces, dict(rows), tokenizer, 64)
         assert len({p.queue for p in pieces}) == 90 and {None, ""} < {p.queue for p in pieces}
-        with monkeypatch.context() as few:
-            few.setattr(packing, "_FEW_QUEUES", 1000)  # the closed form
-            assert sorted(map(tuple, packing.pack(docs, weights=given, window=64).collect()), key=repr) == sorted(
-                map(tuple, pieces), key=repr
-            )
+        assert queue_stream(pieces) == round_robin(pieces, given, 64)
+
 
 
 def test_reliabilities_are_recovered():
