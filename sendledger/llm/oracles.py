@@ -118,3 +118,63 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+SQL["op11_collocations"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), {UP}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, p, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+x AS (
+  SELECT lang, word AS a1, a1 || ' ' || lead(word, 1) OVER piece AS a2, a2 || ' ' || lead(word, 2) OVER piece AS a3,
+    a3 || ' ' || lead(word, 3) OVER piece AS a4 FROM t WINDOW piece AS (PARTITION BY p ORDER BY pos)),
+g AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, unnest([1, 2, 3, 4]) AS size, unnest([a1, a2, a3, a4]) AS phrase FROM x) WHERE phrase IS NOT NULL
+  GROUP BY lang, size, phrase HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE size > 1),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM c JOIN (VALUES (1), (2), (3)) v(k) ON k < size),
+cuts AS (
+  SELECT parts.lang, parts.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM parts JOIN g x ON x.lang = parts.lang AND x.phrase = first JOIN g y ON y.lang = parts.lang AND y.phrase = rest),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c JOIN (VALUES (2), (3)) t(m) ON m < size, (VALUES (1), (2), (3)) u(i) WHERE i + m - 1 <= size
+  GROUP BY 1, 2),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS terms FROM d WHERE len(ws) > 0),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, docs),
+r AS (
+  SELECT item_id, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20"""
+
+# for the markup that the given pages have: one article of headings and paragraphs, and these references
+_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&amp;?", "&")]
+_DECODED = "piece"
+for _reference, _character in _REFERENCES:
+    _DECODED = f"regexp_replace({_DECODED}, '{_reference}', '{_character}', 'g')"
+
+SQL["op13_main_text"] = rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(</article>|$)', 1) AS body FROM pages),
+p AS (
+  SELECT page_id, url, list_transform(
+    string_split(regexp_replace(body, '</?(p|h[1-6])( [^>]*)?>', chr(1), 'g'), chr(1)),
+    lambda x: regexp_replace(regexp_replace(x, '<br */?>', ' ', 'g'), '<[^>]*>', '', 'g')) AS pieces FROM a),
+t AS (
+  SELECT page_id, url, list_transform(pieces, lambda piece: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))) AS pieces FROM p)
+SELECT page_id, url, array_to_string(list_filter(pieces, lambda x: x <> ''), chr(10)) AS text,
+  length(array_to_string(list_filter(pieces, lambda x: x <> ''), chr(10))) AS n_chars FROM t"""

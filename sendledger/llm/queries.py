@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sendledger.llm import (
-    chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, personal_data, quality, secret_scan,
-    url_rules,
+    chat, collocations, decontaminate, exact_dedup, lexical, line_dedup, main_text, ngram_jaccard, packing,
+    personal_data, quality, secret_scan, url_rules,
 )
 from sendledger.llm.common import table
 from sendledger.llm.oracles import SQL
@@ -128,3 +128,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
