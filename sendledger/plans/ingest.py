@@ -2,10 +2,10 @@
 
 The cleaned rows are grouped by month and key and settled once in the shared
 folder; the tables are four projections of them, written without another
-shuffle. A small ledger holds which (table, month, key, source) was loaded. Before
-the writes the batch's keys are marked as pending, after them as loaded. A later load
-skips loaded keys by the ledger alone; only keys that a load cut short left pending are
-looked up in the stored table itself, so a load can simply be run again.
+shuffle. A small ledger holds which (table, month, key, source) was loaded, and only the
+months of the batch are read from it. The four tables and the ledger change in one
+commit (see ``sources.commits``): a load that is cut short leaves nothing that anyone reads, and
+can simply be run again.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from sendledger.functions.text import nth_field
 from sendledger.operators.enrich import mapping_key, with_circle, with_error_text
 from sendledger.operators.existence import known_keys, same_messages, unseen
 from sendledger.session import in_one_task, scratch, settle
+from sendledger.sources.commits import Commits, Entry
 from sendledger.sources.reports import NOT_GIVEN
-from sendledger.sources.store import grouped, month_text, read_table, write_month_partitioned
+from sendledger.sources.store import grouped, month_text
 
 # FIXED VALUES: channel name and place of the ids in a call-detail record.
 CDR_CHANNEL_NAME = "UI"
@@ -49,16 +50,26 @@ REJECTED = Table("rejected_files", S.REJECTED, (), ("file_path",))
 
 @dataclass(frozen=True)
 class Store:
-    """The stored tables below one folder."""
+    """The stored tables below one folder, kept by commits."""
 
     spark: SparkSession
     root: str
 
-    def path(self, table: Table) -> str:
-        return f"{self.root.rstrip('/')}/{table.folder}"
+    @property
+    def commits(self) -> Commits:
+        return Commits(self.spark, self.root)
 
-    def read(self, table: Table) -> DataFrame:
-        return read_table(self.spark, self.path(table), table.schema)
+    def read(self, table: Table, start=None, end=None) -> DataFrame:
+        """The table's rows; with ``start``, of the months from its own to that of ``end`` only."""
+        if start is None or not table.partitions:
+            return self.commits.read(table.folder, table.schema)
+        first, last = month_text(start), month_text(end or start)
+        rows = self.commits.read(table.folder, table.schema, lambda month: first <= month <= last)
+        return rows.where(F.col("month").between(first, last))
+
+    def compact(self, table: Table, **sizes: int) -> list[Entry]:
+        """Join the small files that many loads have left (``Commits.compact``)."""
+        return self.commits.compact(table.folder, table.schema, table.partitions, **sizes)
 
 
 def route(
@@ -117,14 +128,11 @@ class Loaded:
 
 # The column of a stage row that a table's key is taken from; none for a table kept by month only.
 KEYS = {LOG.folder: "mapping_key", DND.folder: "mapping_key", DONE.folder: "done_key", PROMO.folder: None}
-LOADED, PENDING = "loaded", "pending"
-
+_LEDGER_FILES = 16  # of a month, beyond which a load joins them
 
-def _marks(stage: DataFrame, store: Store, tables: list[Table]) -> DataFrame:
-    """The batch's keys in each table with what the ledger says of them: folder, month, key, source, state.
 
-    A key may stand more than once.
-    """
+def _keys(stage: DataFrame, tables: list[Table]) -> DataFrame:
+    """The batch's keys in each table: folder, month, key, source, each once."""
     keys = stage.groupBy("month", "mapping_key", "done_key", "source").agg(
         F.max(is_dnd(F.col("cause"))).alias("has_dnd")
     )
@@ -135,66 +143,75 @@ def _marks(stage: DataFrame, store: Store, tables: list[Table]) -> DataFrame:
         return F.when(F.col("has_dnd"), mark) if t is DND else mark
 
     each = keys.select(F.explode(F.array(*[entry(t) for t in tables])).alias("m")).where("m IS NOT NULL").select("m.*")
-    names = list(LOADS.keys)
-    ledger = (
-        in_one_task(store.read(LOADS))
-        .groupBy(*names)
-        .agg(F.min("state").alias("state"))  # "loaded" sorts before "pending"
-    )
-    return settle(each.join(ledger, names, "left"))
+    return settle(in_one_task(each).distinct())
 
 
-def _note(marks: DataFrame, store: Store, state: str) -> None:
-    rows = marks.where(F.col("source").isNotNull()).withColumn("state", F.lit(state))
-    rows.select(S.LOADS.names).coalesce(1).write.partitionBy("month").mode("append").parquet(store.path(LOADS))
+def ledger_of(store: Store, months: list[str], live: dict[Entry, Entry]) -> DataFrame:
+    """The ledger's entries of some months."""
+    return store.commits.read(LOADS.folder, LOADS.schema, set(months).__contains__, state=live).where(F.col("month").isin(months))
 
 
-def _fresh(rows: DataFrame, store: Store, table: Table, marks: DataFrame, states: set[str]) -> DataFrame:
-    """The rows whose key is not stored yet, by the ledger; pending keys are looked up in the table."""
-    if not states:
-        return rows
-    own = marks.where(F.col("folder") == table.folder)
+def _fresh(rows: DataFrame, table: Table, known: DataFrame) -> DataFrame:
+    """The rows whose key the ledger does not hold for the table."""
     names = {"key": KEYS[table.folder]} if KEYS[table.folder] else {}
-    own = own.withColumnsRenamed(names).select("state", *table.keys)
-    known = own.where(F.col("state") == LOADED).drop("state")
-    if PENDING in states:
-        pending = own.where(F.col("state") == PENDING).drop("state")
-        stored = store.read(table).join(pending, list(table.keys), "left_semi")
-        known = known.unionByName(known_keys(pending, stored, list(table.keys)))
-    return unseen(rows, settle(known), list(table.keys))
+    own = known.where(F.col("folder") == table.folder).withColumnsRenamed(names)
+    return unseen(rows, own, list(table.keys))
+
+
+def _new_ledger(keys: DataFrame, store: Store, live: dict[Entry, Entry], months: list[str]) -> tuple[list[Entry], list[Entry]]:
+    """Writes the batch's keys; a month with many small ledger files gets one for all of them."""
+    rows, removed = keys.where(F.col("source").isNotNull()).select(LOADS.schema.names), []
+    for month in months:
+        own = [e for e in live if e.table == LOADS.folder and e.part == f"month={month}"]
+        if sum(e.files for e in own) > _LEDGER_FILES:
+            rows = rows.unionByName(store.commits.read_entries(own, LOADS.folder, LOADS.schema))
+            removed += own
+    return store.commits.write(rows.coalesce(1), LOADS.folder, LOADS.partitions), removed
 
 
 def load_stage(
     stage: DataFrame, store: Store, steps: list[tuple[Table, Callable[[DataFrame], DataFrame]]], deciding: Table
 ) -> Loaded:
-    """Append a settled stage to the tables; the deciding table tells which sources are known."""
-    marks = _marks(stage, store, [table for table, _ in steps])
-    source = F.when(F.col("folder") == deciding.folder, F.col("source"))
-    states: dict[str, set[str]] = {}
-    sources: dict[str | None, set[str]] = {}
-    unnamed = False
-    # A load has few sources: the driver listed their files.
-    for r in in_one_task(marks).groupBy("folder", "state").agg(
-        F.collect_set(source).alias("sources"), F.max(F.col("source").isNull()).alias("unnamed")
-    ).collect():
-        sources.setdefault(r["state"], set()).update(r["sources"])
-        unnamed = unnamed or r["unnamed"]
-        if r["state"]:
-            states.setdefault(r["folder"], set()).add(r["state"])
-    known = sources.get(LOADED, set())
-    added = set().union(*sources.values()) - known if sources else set()
-    if not added and not unnamed:
-        return Loaded([], sorted(known))
-    rows = stage
-    if known:
-        listed = marks.where((F.col("folder") == deciding.folder) & (F.col("state") == LOADED)).select("source")
-        rows, marks = unseen(stage, listed, ["source"]), settle(unseen(marks, listed, ["source"]))
-    _note(marks.where("state IS NULL"), store, PENDING)
+    """Append a settled stage to the tables; the deciding table tells which sources are known.
+
+    Another load that has added one of the same keys meanwhile is a ``Conflict``; then this one is to be repeated.
+    """
+    commits = store.commits
+    base, live = commits.state()
+    keys = _keys(stage, [table for table, _ in steps])
+    # A load has few months and sources: the driver listed their files.
+    found = keys.agg(
+        F.collect_set("month").alias("months"),
+        F.collect_set(F.when(F.col("folder") == deciding.folder, F.col("source"))).alias("sources"),
+        F.max(F.col("source").isNull()).alias("unnamed"),
+    ).first()
+    known = None
+    if any(e.table == LOADS.folder and e.part.removeprefix("month=") in found["months"] for e in live):
+        known = settle(known_keys(keys, ledger_of(store, found["months"], live), list(LOADS.keys)))
+    counted = known.groupBy("folder").agg(F.collect_set("source").alias("sources")).collect() if known else []
+    held = {r["folder"]: set(r["sources"]) for r in counted}
+    before = held.get(deciding.folder, set())
+    added = set(found["sources"]) - before
+    if not added and not found["unnamed"]:
+        return Loaded([], sorted(before))
+    rows, fresh = stage, keys
+    if before:
+        listed = known.where(F.col("folder") == deciding.folder).select("source")
+        rows, fresh = unseen(stage, listed, ["source"]), unseen(keys, listed, ["source"])
+    entries: list[Entry] = []
     for table, project in steps:
-        fresh = _fresh(project(rows), store, table, marks, states.get(table.folder, set()))
-        write_month_partitioned(fresh, store.path(table), table.partitions, is_grouped=True)
-    _note(marks.where(F.coalesce(F.col("state"), F.lit("")) != LOADED), store, LOADED)
-    return Loaded(sorted(added), sorted(known))
+        own = _fresh(project(rows), table, known) if held.get(table.folder) else project(rows)
+        entries += commits.write(own, table.folder, table.partitions)
+    if held:
+        fresh = unseen(fresh, known, list(LOADS.keys))
+    ledger, joined = _new_ledger(fresh, store, live, found["months"])
+
+    def clash(theirs: list[Entry]) -> bool:
+        own = [e for e in theirs if e.table == LOADS.folder]
+        return bool(own) and not known_keys(keys, commits.read_entries(own, LOADS.folder, LOADS.schema), list(LOADS.keys)).isEmpty()
+
+    commits.commit(base, entries + ledger, joined, clash)
+    return Loaded(sorted(added), sorted(before))
 
 
 def ingest(

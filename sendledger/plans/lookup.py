@@ -12,7 +12,6 @@ from sendledger.functions.text import name_key
 from sendledger.operators.enrich import mapped_name
 from sendledger.operators.reports import base_check
 from sendledger.plans.ingest import DONE, LOG, Store, Table
-from sendledger.sources.store import read_months
 
 # Which column of the mapping names a table's key, by what the key is looked up, and the key's column.
 _LOOKUPS = {LOG.folder: ("sender", "mapping", "mapping_key"), DONE.folder: ("client", "log_mapping", "done_key")}
@@ -37,8 +36,7 @@ def stored_rows(
     key = table_key(mapping, table, name, fallback)
     if key is None:
         raise LookupError(f"no mapping for {name}")
-    rows = store.read(table).where(F.col(_LOOKUPS[table.folder][2]) == key)
-    return rows if start is None else read_months(rows, start, end or start)
+    return store.read(table, start, end).where(F.col(_LOOKUPS[table.folder][2]) == key)
 
 
 def client_base(store: Store, mapping: DataFrame, client: str, start, end) -> DataFrame:

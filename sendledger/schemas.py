@@ -71,7 +71,7 @@ DND = _stored([*DND_COLUMNS, "source"], "submit_date", "month", "mapping_key")
 CAMPAIGN_DONE = _stored(DONE_COLUMNS, "submit_date", "month", "done_key")
 PROMOTIONS = _stored(PROMO_COLUMNS, "delivered_date", "month")
 
-LOADS = texts("folder", "key", "source", "state", "month")
+LOADS = texts("folder", "key", "source", "month")
 
 MAPPING = layout(
     "id int, sender string, client string, product string, channel string, "

@@ -37,30 +37,23 @@ SPLITS_AT_ONCE = 100_000
 SAME, OUTSIDE, INSIDE, TURN = range(4)
 
 
+# Text of a quoted cell up to a lone quote or the end of the line; a cell outside quotes or closed on its line.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_CELLS = rf'(?:(?:[^",][^,]*+)?+,|"{_QUOTED}"[^,]*+,)*+'
+# Lines that end inside a quoted cell, begun outside or inside one.
+_OPENS = rf'^{_CELLS}"{_QUOTED}\z'
+_STAYS = rf'^{_QUOTED}(?:\z|"[^,]*+,{_CELLS}"{_QUOTED}\z)'
+
+
 def _effect(line: Column) -> Column:
     """The state after a line, for either state before it, as one of the four effects.
 
-    Line by line only commas part cells. Inside a quoted cell a piece between commas
-    closes it if a quote is left once doubled quotes are taken away; outside,
-    a piece opens a cell if it begins with a quote and its rest does not close it.
+    Outside, a cell that begins with a quote runs to the next lone quote, and what follows that up to the
+    comma is text; inside, a lone quote ends the cell. One pass of a pattern without backtracking tells
+    each state.
     """
-
-    def holds(piece: Column) -> Column:
-        return ~F.contains(F.replace(piece, F.lit('""'), F.lit("")), F.lit('"'))
-
-    def step(state: Column, piece: Column) -> Column:
-        stays = holds(piece)
-        opens = F.startswith(piece, F.lit('"')) & holds(F.substr(piece, F.lit(2)))
-        return F.struct(
-            F.when(state["out"], stays).otherwise(opens).alias("out"),
-            F.when(state["in"], stays).otherwise(opens).alias("in"),
-        )
-
-    start = F.struct(F.lit(False).alias("out"), F.lit(True).alias("in"))
-    effect = F.aggregate(
-        F.split(line, ",", -1), start, step,
-        lambda s: F.when(~s["out"] & s["in"], SAME).when(~s["out"], OUTSIDE).when(s["in"], INSIDE).otherwise(TURN),
-    )
+    opens, stays = F.rlike(line, F.lit(_OPENS)), F.rlike(line, F.lit(_STAYS))
+    effect = F.when(opens, F.when(stays, INSIDE).otherwise(TURN)).otherwise(F.when(stays, SAME).otherwise(OUTSIDE))
     return F.when(F.contains(line, F.lit('"')), effect).otherwise(SAME)
 
 

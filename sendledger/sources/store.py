@@ -10,11 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sendledger.functions.text import same_text
 from sendledger.schemas import CDR, LEDGER
-
-
-def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    """An empty table that the optimizer knows to be empty."""
-    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+from sendledger.sources.commits import Commits, no_rows
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -110,8 +106,28 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def replace_month(df: DataFrame, path: str, month: str, column: str = "month") -> None:
-    """Replace one month of a feed by ``df``, also when ``df`` holds no row."""
-    df.write.mode("overwrite").parquet(f"{path}/{column}={month}")
+    """Replace one month of a feed by ``df``, also when ``df`` holds no row.
+
+    The new rows are written beside the old ones and swapped for them in one commit, so a reader finds the
+    old month or the new one, also if this is cut short.
+    """
+    root, table = path.rstrip("/").rsplit("/", 1)
+    commits = Commits(df.sparkSession, root)
+    base, live = commits.state()
+    commits.commit(base, *month_change(commits, live, df, table, month, column))
+
+
+def month_change(commits: Commits, live: dict, df: DataFrame, table: str, month: str, column: str) -> tuple[list, list]:
+    """The entries to add and to remove for a month that ``df`` replaces."""
+    added = commits.write(df.withColumn(column, F.lit(month)), table, (column,))
+    old = commits.write_name(column, month)
+    return added, [e for e in live if e.table == table and e.part == old]
+
+
+def read_committed(spark: SparkSession, path: str, schema: T.StructType, months=None, column: str = "month") -> DataFrame:
+    """The live rows of a table kept by commits, of the months that ``months`` accepts if given."""
+    root, table = path.rstrip("/").rsplit("/", 1)
+    return Commits(spark, root).read(table, schema, months, column)
 
 
 # --- upload ledger -----------------------------------------------------------------
@@ -122,10 +138,14 @@ def ledger_filter(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("filename").distinct(), "filename", "left_anti")
 
 
+def ledger_rows(files: DataFrame) -> DataFrame:
+    """``date, filename, filepath`` rows, stamped with the present time."""
+    return files.withColumn("uploaded_at", F.localtimestamp()).select(LEDGER.names)
+
+
 def ledger_append(files: DataFrame, path: str) -> None:
-    """Add ``date, filename, filepath`` rows, stamped with the present time."""
-    stamped = files.withColumn("uploaded_at", F.localtimestamp())
-    stamped.select(LEDGER.names).write.mode("append").parquet(path)
+    """Add ``date, filename, filepath`` rows."""
+    ledger_rows(files).write.mode("append").parquet(path)
 
 
 def files_for_month(ledger: DataFrame, mon: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sendledger.operators.existence import unseen
@@ -12,7 +12,8 @@ from sendledger.operators.reports import counters
 from sendledger.plans.ingest import REJECTED, Store, ingest
 from sendledger.session import scratch, settle
 from sendledger.sources.reports import read_delivery_reports
-from sendledger.sources.store import read_current, replace_table
+from sendledger.sources.commits import Commits
+from sendledger.sources.store import read_committed
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_BATCH = 1000
@@ -55,7 +56,8 @@ def watch_reports(
             with scratch(batch.sparkSession):
                 rows, rejected = read_delivery_reports(batch.sparkSession, paths, campaign)
                 noted = unseen(rejected, store.read(REJECTED), ["file_path"])
-                noted.select(REJECTED.schema.names).write.mode("append").parquet(store.path(REJECTED))
+                base, _ = store.commits.state()
+                store.commits.commit(base, store.commits.write(noted.select(REJECTED.schema.names), REJECTED.folder, ()))
                 ingest(rows, store, mapping, region)
 
     writer = names.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
@@ -68,24 +70,46 @@ def running_counts(stream: DataFrame) -> DataFrame:
     return stream.where("source IS NOT NULL").groupBy("source").agg(*counters())
 
 
-def keep_counts(counted: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+COUNT_BUCKETS = 256
+
+
+def keep_counts(counted: DataFrame, path: str, checkpoint: str, buckets: int = COUNT_BUCKETS) -> StreamingQuery:
     """Keep the newest counters of each source in a stored table; drains what is there and stops.
 
-    Only the sources of a micro-batch arrive; the table is rewritten as a new version, so a
-    batch run again gives the same table.
+    The table lies in ``buckets`` by a hash of the source. Only the sources of a micro-batch arrive, and only the
+    buckets they fall into are written anew and swapped in one commit, so a batch writes in proportion to its
+    sources; a batch run again gives the same table. ``kept_counts`` reads it.
     """
-    schema = counted.schema
+    root, table = path.rstrip("/").rsplit("/", 1)
+    schema = _counts_schema(counted)
 
     def merge(batch: DataFrame, _: int) -> None:
-        with scratch(batch.sparkSession):
-            changed = settle(batch)
-            kept = read_current(batch.sparkSession, path, schema).join(changed, "source", "left_anti")
-            replace_table(kept.select(schema.names).unionByName(changed), path)
+        spark = batch.sparkSession
+        commits = Commits(spark, root)
+        base, live = commits.state()
+        with scratch(spark):
+            bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("string")
+            changed = settle(batch.withColumn("bucket", bucket).select(schema.names))
+            touched = {f"bucket={r['bucket']}" for r in changed.select("bucket").distinct().collect()}
+            old = [e for e in live if e.table == table and e.part in touched]
+            kept = commits.read_entries(old, table, schema).join(changed.select("source"), "source", "left_anti")
+            merged = kept.select(schema.names).unionByName(changed).repartition("bucket")
+            commits.commit(base, commits.write(merged, table, ("bucket",)), old, lambda theirs: any(e.table == table for e in theirs))
 
     writer = counted.writeStream.outputMode("update").foreachBatch(merge)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _counts_schema(counted: DataFrame) -> T.StructType:
+    return T.StructType([*counted.schema.fields, T.StructField("bucket", T.StringType())])
+
+
+def kept_counts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The counters that ``keep_counts`` holds."""
+    rows = read_committed(spark, path, T.StructType([*schema.fields, T.StructField("bucket", T.StringType())]))
+    return rows.select(schema.names)
+
+
 def hourly_counts(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Counters by source and hour of submission, closed once ``lateness`` has passed."""
     moment = F.col("submit_time").try_cast("timestamp")

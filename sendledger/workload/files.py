@@ -9,8 +9,8 @@ from sendledger.schemas import FEEDS, STAGED_COLUMNS
 from sendledger.session import work_folder
 from sendledger.sources.feeds import read_feed, read_templates
 from sendledger.sources.reports import read_delivery_reports, read_number_list
-from sendledger.sources.store import read_cdr, read_current, write_cdr
-from sendledger.streaming.watch import hourly_counts, keep_counts, running_counts, stream_table, watch_reports
+from sendledger.sources.store import read_cdr, write_cdr
+from sendledger.streaming.watch import hourly_counts, keep_counts, kept_counts, running_counts, stream_table, watch_reports
 from sendledger.workload.campaigns import COUNTS
 from sendledger.workload.loads import CAMPAIGN, CLIENT_MAP, REGION, SENDER_MAP
 from sendledger.workload.registry import CSV, Inputs, query
@@ -289,7 +289,7 @@ def _(t):
     t.staged.repartition(4, "message_id").write.parquet(f"{folder}/log")
     counted = running_counts(stream_table(t.spark, f"{folder}/log", t.staged.schema, files_per_batch=2))
     keep_counts(counted, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
-    return read_current(t.spark, f"{folder}/counts", counted.schema)
+    return kept_counts(t.spark, f"{folder}/counts", counted.schema)
 
 
 @query(

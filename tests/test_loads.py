@@ -1,6 +1,7 @@
 """Loads on small stores: idempotence, routing, guards, and the laws between reports."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,13 +14,14 @@ from sendledger.operators.paging import page, page_info
 from sendledger.operators.templates import refresh_templates
 from sendledger.plans import ingest as I
 from sendledger.plans.feeds import (
-    LOADED, append_feed, first_per_phone, ledger_path, load_feed, read_stored_feed,
+    LOADED, append_feed, first_per_phone, load_feed, read_ledger, read_stored_feed,
 )
 from sendledger.plans.lookup import client_base, stored_rows
 from sendledger.plans.tables import change_mappings, load_templates, save_mappings
 from sendledger import session
 from sendledger.session import settle
 from sendledger.sources import store as S
+from sendledger.sources.commits import Commits
 from sendledger.sources.reports import read_delivery_reports
 from sendledger.streaming.watch import hourly_counts, running_counts, stream_table, watch_reports
 from sendledger.workload.fixtures import frame
@@ -97,34 +99,41 @@ class Crash(Exception):
 
 
 @pytest.mark.parametrize("writes", range(7))
-def test_interrupted_load_is_completed(spark, tmp_path, mapping, region, monkeypatch, writes):
-    """A load may stop after any write, ledger entries included; run again, it doubles nothing."""
+def test_interrupted_load_is_absent(spark, tmp_path, mapping, region, monkeypatch, writes):
+    """A load may stop inside any write, with some of its files in place, or before its commit; nothing of it is seen,
+    and run again it gives every row once."""
     store = I.Store(spark, str(tmp_path))
+    I.ingest(staged(spark, [{"source": "s0"}]), store, mapping, region)
     rows = staged(spark, [{"cause": "NCPR Fail"}, {"source": "s2"}, {"source": "s2", "submit_time": "2025-05-05 10:00:00"}])
     left = [writes]
 
-    def guarded(write):
-        def run(*args, **options):
-            if not left[0]:
-                raise Crash
-            left[0] -= 1
-            return write(*args, **options)
+    def broken(write):
+        def run(commits, *args, **options):
+            if left[0]:
+                left[0] -= 1
+                return write(commits, *args, **options)
+            if write.__name__ == "write":
+                for e in write(commits, *args, **options)[1:]:  # the first partition is in place, the others are not
+                    shutil.rmtree(f"{commits.root}/{e.folder}")
+            raise Crash
 
         return run
 
+    before = counts(store)
     with monkeypatch.context() as patch:
-        patch.setattr(I, "write_month_partitioned", guarded(I.write_month_partitioned))
-        patch.setattr(I, "_note", guarded(I._note))
+        patch.setattr(Commits, "write", broken(Commits.write))
+        patch.setattr(Commits, "commit", broken(Commits.commit))
         if writes < 6:
             with pytest.raises(Crash):
                 I.ingest(rows, store, mapping, region)
+            assert counts(store) == before
         else:
             I.ingest(rows, store, mapping, region)
     again = I.ingest(rows, store, mapping, region)
-    assert counts(store) == {"message_log": 3, "dnd": 1, "campaign_done": 3, "promotions_log": 3}
+    assert counts(store) == {"message_log": 4, "dnd": 1, "campaign_done": 4, "promotions_log": 4}
     assert (again.sources, again.duplicates) == (([], ["s1", "s2"]) if writes == 6 else (["s1", "s2"], []))
     assert I.ingest(rows, store, mapping, region).duplicates == ["s1", "s2"]
-    assert counts(store)["promotions_log"] == 3
+    assert counts(store)["promotions_log"] == 4
 
 
 def test_a_load_leaves_no_settled_files(spark, tmp_path, mapping, region, monkeypatch):
@@ -448,8 +457,7 @@ def test_feed_a_load(spark, tmp_path):
     assert leads.where("city = ''").count() == 3
     (r,) = feed_a_counts(leads, read_stored_feed(spark, root, "A", "sales")).collect()
     assert (r["extracted_date"], r["lead_count"], r["sale_count"]) == ("05_04_2025", 3, 1)
-    ledger = S.read_table(spark, ledger_path(root, "A"), C.LEDGER)
-    assert sorted(r["date"] for r in ledger.collect()) == ["05/04/2025", "06/04/2025"]
+    assert sorted(r["date"] for r in read_ledger(spark, root, "A").collect()) == ["05/04/2025", "06/04/2025"]
 
 
 def test_feed_a_ids_go_on_over_months(spark, tmp_path):

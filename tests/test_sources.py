@@ -115,6 +115,22 @@ def test_splits_make_no_difference(spark, tmp_path, splits, split_bytes):
     assert [int(r["cells"][0]) for r in in_order] == list(range(120))
 
 
+def test_effect_of_a_line(spark):
+    """Against a walk from comma to comma, with either state before; and on long lines."""
+    def walk(line, inside):
+        for piece in line.split(","):
+            lone = lambda text: '"' in text.replace('""', "")
+            inside = not lone(piece) if inside else piece.startswith('"') and not lone(piece[1:])
+        return inside
+
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(['"', '"', '""', ",", "a", " b"]) for _ in range(rng.randrange(0, 14))) for _ in range(5000)]
+    lines += ['"' + "x" * 300_000, '""' * 200_000, '"a,' * 100_000, "a," * 100_000 + '"']
+    names = {(False, True): csv_rows.SAME, (False, False): csv_rows.OUTSIDE, (True, True): csv_rows.INSIDE, (True, False): csv_rows.TURN}
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(csv_rows._effect(F.col("line")).alias("e"))
+    assert [r["e"] for r in rows.collect()] == [names[(walk(x, False), walk(x, True))] for x in lines]
+
+
 @pytest.mark.parametrize("split_bytes", SPLITS)
 def test_stray_quotes_are_text(spark, tmp_path, splits, split_bytes):
     """A quote inside a cell opens nothing, wherever the file is split."""
@@ -222,9 +238,10 @@ def test_replace_month(spark, tmp_path):
     S.replace_month(spark.range(3), path, "2025-04")
     S.replace_month(spark.range(5), path, "2025-05")
     S.replace_month(spark.range(1), path, "2025-04")
-    assert {r["month"]: r["count"] for r in spark.read.parquet(path).groupBy("month").count().collect()} == {
-        "2025-04": 1, "2025-05": 5,
-    }
+    stored = lambda: S.read_committed(spark, path, S.T.StructType([*spark.range(0).schema.fields, S.T.StructField("month", S.T.StringType())]))
+    assert {r["month"]: r["count"] for r in stored().groupBy("month").count().collect()} == {"2025-04": 1, "2025-05": 5}
+    S.replace_month(spark.range(0), path, "2025-05")
+    assert [tuple(r) for r in stored().collect()] == [(0, "2025-04")]
 
 
 def test_ledger(spark, tmp_path):
