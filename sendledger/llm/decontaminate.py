@@ -86,17 +86,23 @@ class WindowSet:
 
 
 def _blocks(benchmark: DataFrame, width: int, max_windows: int) -> Iterator[list[tuple]]:
-    """The benchmark's items in blocks of at most ``max_windows`` words (one item at least)."""
+    """The benchmark's items in blocks of at most ``max_windows`` words.
+
+    A longer item is cut into runs that share ``width`` - 1 words, so that each of its windows lies in one of them.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    most = max(max_windows, 2 * width)
     block, size = [], 0
     for row in items.toLocalIterator():  # one partition at a time, one block in memory
         found = words(row.text)
-        if block and size + len(found) > max_windows:
-            yield block
-            block, size = [], 0
-        if found:
-            block.append((row.item, found))
-            size += len(found)
+        for first in range(0, max(1, len(found) - width + 1), most - width + 1):
+            run = found[first : first + most]
+            if block and size + len(run) > max_windows:
+                yield block
+                block, size = [], 0
+            if run:
+                block.append((row.item, run))
+                size += len(run)
     yield block
 
 

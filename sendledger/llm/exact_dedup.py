@@ -87,11 +87,20 @@ def keep_one(docs: DataFrame, salts: int = 16) -> DataFrame:
 
     The text travels once, as part of the group; the other columns travel beside it.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others, kinds = [c for c in docs.columns if c != "text"], dict(docs.dtypes)
+
+    def orderable(c: str) -> Column:  # maps have no order, their entries do
+        column = F.col(f"`{c}`")
+        return (F.array_sort(F.map_entries(column)) if kinds[c].startswith("map<") else column).alias(c)
+
+    def back(c: str) -> Column:
+        column = F.col(f"best.row.`{c}`")
+        return (F.map_from_entries(column) if kinds[c].startswith("map<") else column).alias(c)
+
     row = F.struct(
         F.col("doc_id").alias("rank_id"), F.col("text").isNull().alias("no_text"),
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
+        F.struct(*[orderable(c) for c in others]).alias("row"),
     )
     best = _combined(_salted(docs, salts, sha256, row))
     text = F.when(~F.col("best.no_text"), F.col("content")).alias("text")
-    return best.select(*[text if c == "text" else F.col(f"best.row.`{c}`").alias(c) for c in docs.columns])
+    return best.select(*[text if c == "text" else back(c) for c in docs.columns])

@@ -135,6 +135,15 @@ def test_keep_one(spark):
     assert found == Counter({(t, k): 1 for t, k in {(t or "", k) for (_, t), (_, k, *_) in zip(sorted(rows, key=repr), exact_plain_in(rows))}})
 
 
+def test_keep_one_with_a_map(spark):
+    rows = docs_of(spark, [(1, "a"), (2, "a"), (2, "a"), (3, None)]).withColumn(
+        "meta", F.when(F.col("doc_id") < 3, F.create_map(F.lit("k"), F.col("doc_id")))
+    )
+    kept = exact_dedup.keep_one(rows)
+    assert kept.columns == rows.columns and kept.schema["meta"].dataType == rows.schema["meta"].dataType
+    assert sorted((r.doc_id, r.text, r.meta) for r in kept.collect()) == [(2, "a", {"k": 2}), (3, None, None)]
+
+
 def exact_plain_in(rows):
     """exact_plain in the order of sorted rows."""
     by = {(d, s): (d, k) for d, k, _, _, s in exact_plain(rows)}
