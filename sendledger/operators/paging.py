@@ -6,7 +6,7 @@ source has several rows at a page edge.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sendledger.operators.reports import client_uploads
 
@@ -28,14 +28,16 @@ def page(
 ) -> DataFrame:
     """Rows of the next (or previous) ``limit`` sources after ``cursor``, ascending.
 
-    One pass: the cursor is a condition on a grouping key, so it reaches the scan, and each
-    task passes on the rows of its own first ``limit`` sources only. Rows without a source
-    stay on the first page.
+    The sources of the page are found first, from their column alone; the rows then meet these few names and
+    are sorted by ranges, so a source with a large part of the rows goes through no single task. The cursor is a
+    condition on a grouping key, so it reaches both scans. Rows without a source stay on the first page.
     """
     rest = [c for c in df.columns if c != "source"]
-    place = F.dense_rank().over(Window.orderBy(_order(direction)))
-    rows = df.where(_after(cursor, direction)).withColumn("place", place).where(F.col("place") <= limit)
-    return rows.drop("place").orderBy("source", *rest)
+    rows = df.where(_after(cursor, direction))
+    chosen = rows.select(F.col("source").alias("chosen")).distinct().orderBy(
+        F.desc("chosen") if direction == "prev" else F.asc("chosen")
+    ).limit(limit)
+    return rows.join(chosen, F.col("source").eqNullSafe(F.col("chosen")), "left_semi").orderBy("source", *rest)
 
 
 def page_info(

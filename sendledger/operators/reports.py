@@ -42,6 +42,11 @@ def totals() -> list[Column]:
     return counters(suffix="", prefix="total_")
 
 
+def counts_by(df: DataFrame, *keys: str) -> DataFrame:
+    """The four counters of each sender, source or other key (A0)."""
+    return df.groupBy(*keys).agg(*counters())
+
+
 def _day(df: DataFrame, typed: str, text: str) -> Column:
     """The typed day stored at load, else the day read from the text."""
     return F.col(typed) if typed in df.columns else day_of(F.col(text))

@@ -16,7 +16,6 @@ A file that ends inside a quoted cell, or whose quoted cell runs over more than
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -28,8 +27,6 @@ OUTSIDE_QUOTES_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
 # Distance between the splits of a quoted cell's first and last line: a text cell
 # is far shorter, a stray quote at the start of a cell makes a longer one.
 LONGEST_RECORD = 256 * 1024 * 1024
-# File names put into one filter; more files are read in as many turns.
-FILES_AT_ONCE = 10_000
 # Splits with quoted line ends that may be broadcast, about 20 MB.
 SPLITS_AT_ONCE = 100_000
 
@@ -207,12 +204,6 @@ def _cells(lines: Lines, width: int) -> DataFrame:
     )
 
 
-def _some_files(rows: DataFrame, files: list[str]) -> DataFrame:
-    """Rows of the files listed, without a join; long lists take several turns."""
-    turns = [files[i : i + FILES_AT_ONCE] for i in range(0, len(files), FILES_AT_ONCE)] or [[]]
-    return reduce(DataFrame.unionByName, [rows.where(F.col("file_path").isin(t)) for t in turns])
-
-
 def csv_cells(spark: SparkSession, paths, width: int) -> DataFrame:
     """Data rows of headed CSV files: ``file_path, block, pos, cells``.
 
@@ -237,33 +228,14 @@ def header_names(header: Column) -> Column:
 def named_cells(lines: Lines, heads: DataFrame, wanted: list[str]) -> DataFrame:
     """``file_path`` and the wanted columns by name, for the files in ``heads`` (file_path, names).
 
-    Each file may order its columns in its own way. The driver holds one entry per file,
-    as the listing of the input does; files with the same order are one case of a
-    plain expression. A column the file lacks is NULL.
+    Each file may order its columns in its own way: its order is a row of a small settled table that the records
+    meet by file, in one scan however many files and orders there are. A column the file lacks is NULL.
     """
     places = F.transform(
         F.array(*[F.lit(n) for n in wanted]), lambda n: F.array_position("names", n).cast("int")
     )
-    orders: dict[tuple[int, ...], list[str]] = {}
-    for r in heads.select("file_path", places.alias("places")).toLocalIterator():
-        orders.setdefault(tuple(r["places"]), []).append(r["file_path"])
-    width = max((max(order) for order in orders), default=1) or 1
-    cells = _cells(lines, width)
-
-    def rows(order: tuple[int, ...], files: list[str]) -> DataFrame:
-        named = [(F.get("cells", F.lit(p - 1)) if p else F.lit(None).cast("string")).alias(n) for p, n in zip(order, wanted)]
-        return _some_files(cells, files).select("file_path", *named)
-
-    if not orders:
-        return rows((0,) * len(wanted), [])
-    if len(orders) == 1 or sum(map(len, orders.values())) > FILES_AT_ONCE:
-        return reduce(DataFrame.unionByName, [rows(order, files) for order, files in orders.items()])
-    cases = list(orders.items())
-    place = F.array(*[F.lit(p) for p in cases[0][0]])
-    for order, files in cases[1:]:
-        place = F.when(F.col("file_path").isin(files), F.array(*[F.lit(p) for p in order])).otherwise(place)
-    chosen = _some_files(cells, [f for _, files in cases for f in files]).withColumn("places", place)
-    return chosen.select(
-        "file_path", *[F.when(F.get("places", F.lit(i)) > 0, F.get("cells", F.get("places", F.lit(i)) - 1)).alias(n)
-                       for i, n in enumerate(wanted)]
-    )
+    orders = settle(heads.select("file_path", places.alias("places")))
+    width = orders.agg(F.max(F.array_max("places"))).first()[0] or 1
+    rows = _cells(lines, width).join(orders, "file_path")
+    place = [F.get("places", F.lit(i)) for i in range(len(wanted))]
+    return rows.select("file_path", *[F.when(p > 0, F.get("cells", p - 1)).alias(n) for p, n in zip(place, wanted)])

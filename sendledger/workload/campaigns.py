@@ -67,6 +67,16 @@ def _(t):
     return R.campaign_summary(t.log, SENDER)
 
 
+@query("counters_by_sender", ("log",), f"SELECT sender, {COUNTS} FROM log GROUP BY sender")
+def _(t):
+    return R.counts_by(t.log, "sender")
+
+
+@query("counts_per_source", ("staged",), f"SELECT source, {COUNTS} FROM staged GROUP BY source")
+def _(t):
+    return R.counts_by(t.staged, "source")
+
+
 @query(
     "source_group_totals", ("log",),
     f"SELECT {head('source', '_', 2)} AS source_group, {TOTALS} FROM log "

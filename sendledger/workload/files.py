@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sendledger.operators.reports import campaign_summary
 from sendledger.plans.ingest import DND, DONE, LOG, PROMO, Store, ingest, ingest_cdr, ingest_numbers
 from sendledger.schemas import FEEDS, STAGED_COLUMNS
 from sendledger.session import work_folder
@@ -11,7 +12,7 @@ from sendledger.sources.feeds import read_feed, read_templates
 from sendledger.sources.reports import read_delivery_reports, read_number_list
 from sendledger.sources.store import read_cdr, write_cdr
 from sendledger.streaming.watch import hourly_counts, keep_counts, kept_counts, running_counts, stream_table, watch_reports
-from sendledger.workload.campaigns import COUNTS
+from sendledger.workload.campaigns import COUNTS, END, IN_RANGE, START
 from sendledger.workload.loads import CAMPAIGN, CLIENT_MAP, REGION, SENDER_MAP
 from sendledger.workload.registry import CSV, Inputs, query
 
@@ -283,6 +284,18 @@ def _(t):
     return _plain_source(_watched(t).read(LOG))
 
 
+@query(
+    "watched_summary", ("log", "region_all"),
+    f"""SELECT CASE WHEN r.series IS NOT NULL THEN r.c ELSE circle END AS circle, substr(submit_time, 1, 16) AS date, {COUNTS}
+FROM (SELECT * REPLACE (coalesce(status, '') AS status, coalesce(cause, '') AS cause) FROM log) log
+LEFT JOIN {REGION} r ON substr(mobileNo, 3, 4) = r.series WHERE sender = 'SENDA' AND {IN_RANGE} GROUP BY 1, 2""",
+)
+def _(t):
+    log = _watched(t).read(LOG)
+    rows = campaign_summary(log.withColumn("source", F.lit("all")), "SENDA", START, END)
+    return rows.select("circle", "date", "submitted_count", "delivered_count", "notsent_count", "failed_count")
+
+
 @query("running_counts", ("staged",), f"SELECT source, {COUNTS} FROM staged GROUP BY source")
 def _(t):
     folder = work_folder(t.spark)

@@ -303,13 +303,15 @@ def test_pages_make_the_whole(spark, direction):
     assert info["total_pages"] == -(-info["total_records"] // 40)
 
 
-def test_a_page_reads_the_rows_once(spark):
+def test_a_page_finds_its_sources_first(spark):
+    """No window over all rows; the sources are read from the columns of the filter and the key alone."""
     promo, days = frame(spark, SF, "promo"), ("client", "2024-01-01", "2024-12-31")
-
-    def scans(df):
-        return str(df._jdf.queryExecution().executedPlan()).count("FileScan parquet")
-
-    assert scans(page(R.upload_list(promo, *days), "CM")) == scans(promo) == 1
+    plan = page(R.upload_list(promo, *days), "CM")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Window" not in physical and physical.count("FileScan parquet") == 2
+    assert "LeftSemi" in physical and "rangepartitioning" in physical
+    hot = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), "id")).alias("source"), "id")
+    assert page(hot, limit=1).count() == 1667
 
 
 def test_source_without_name_is_on_the_first_page(spark):

@@ -164,17 +164,21 @@ def test_overlong_cell_is_turned_away(spark, tmp_path, splits, monkeypatch):
     assert rows.count() == 0 and [r["reason"] for r in rejected.collect()] == ["unclosed quote"]
 
 
-def test_many_files_are_read_in_turns(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv_rows, "FILES_AT_ONCE", 2)
+def test_many_files_are_read_in_one_scan(spark, tmp_path):
     names = HEADER.split(",")
     cells = dict(zip(names, ROW.split(",")))
-    for i in range(7):
-        order = names[i % 3 :] + names[: i % 3]
+    for i in range(200):
+        order = names[i % 16 :] + names[: i % 16]
         put(tmp_path, f"f{i}.csv", ",".join(order) + "\n" + ",".join(cells[n] for n in order) + "\n")
-    rows, _ = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
+    put(tmp_path, "short.csv", ",".join(names[1:]) + "\nx\n")
+    rows, rejected = read_delivery_reports(spark, str(tmp_path), CAMPAIGN)
     got = rows.collect()
-    assert sorted(r["source"] for r in got) == [f"f{i}" for i in range(7)]
+    assert sorted(r["source"] for r in got) == sorted(f"f{i}" for i in range(200))
     assert {r["transaction_id"] for r in got} == {"77"} and {r["template_id"] for r in got} == {"8"}
+    assert [r["source"] for r in rejected.collect()] == ["short"]
+    plan = rows._jdf.queryExecution().toString()
+    scans = [x for x in plan[plan.index("== Physical Plan ==") :].splitlines() if "FileScan parquet" in x and "value" in x]
+    assert len(scans) == 1  # the settled text
 
 
 def test_number_list_on_one_line(spark, tmp_path, splits):
