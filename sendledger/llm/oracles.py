@@ -54,10 +54,10 @@ _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["
 
 def _found(name: str, kind: int, pattern: str, group: int) -> str:
     return f"""{name} AS (
-  SELECT doc_id, source, lang, {kind} AS kind, unnest(list_transform(generate_series(1, len(m)), lambda i: {{
+  SELECT doc_id, source, lang, text_key, {kind} AS kind, unnest(list_transform(generate_series(1, len(m)), lambda i: {{
     'start': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
     'size': length(m[i]), 'value': v[i]}})) AS s
-  FROM (SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '{pattern}') AS m,
+  FROM (SELECT doc_id, source, lang, md5(coalesce(text, '')) AS text_key, regexp_extract_all(coalesce(text, ''), '{pattern}') AS m,
     regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) AS v,
     string_split_regex(coalesce(text, ''), '{pattern}') AS p FROM documents) WHERE len(m) > 0)"""
 
@@ -65,10 +65,11 @@ def _found(name: str, kind: int, pattern: str, group: int) -> str:
 SQL["op6_secret_scan"] = f"""
 WITH {_found("fa", 0, _ASSIGN, 2)}, {_found("fk", 1, "AKIA[A-Z0-9]{16,}", 0)}, {_found("fh", 2, "[0-9a-f]{24,}", 0)},
 base AS (
-  SELECT doc_id, source, lang, kind, s.start::BIGINT AS start, (s.start + s.size)::BIGINT AS stop, s.value AS value
+  SELECT doc_id, source, lang, text_key, kind, s.start::BIGINT AS start, (s.start + s.size)::BIGINT AS stop, s.value AS value
   FROM (FROM fa UNION ALL FROM fk UNION ALL FROM fh) WHERE kind <> 0 OR length(s.value) >= 6),
 live AS (
-  SELECT value FROM base GROUP BY value HAVING count(DISTINCT coalesce(source, '')) = 1 AND length(value) >= 12
+  SELECT value FROM base GROUP BY value HAVING count(DISTINCT coalesce(source, '')) = 1
+    AND count(DISTINCT concat_ws('/', source, lang)) = 1 AND count(DISTINCT text_key) <= 5 AND length(value) >= 12
     AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 every AS (
   SELECT doc_id, kind, start, stop FROM base

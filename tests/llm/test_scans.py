@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -40,17 +41,19 @@ def test_secrets(spark):
     rows = awkward() + [(200 + i, t) for i, t in enumerate(SECRETS * 2)]
     docs = docs_of(spark, rows, parts=2)
     found = {}
-    owners = defaultdict(set)
-    listed = docs.select("doc_id", "text", "source").collect()
+    owners, places, texts = defaultdict(set), defaultdict(set), defaultdict(set)
+    listed = docs.select("doc_id", "text", "source", "lang").collect()
     for r in listed:
         for *_, value in secrets_plain(r.text):
             owners[value].add(r.source or "")
+            places[value].add((r.source, r.lang))
+            texts[value].add(r.text)
     expected = []
     for r in listed:
         base = secrets_plain(r.text)
         live = [
             (b - len(v), 3, b, v) for a, _, b, v in base
-            if len(owners[v]) == 1 and len(v) >= 12 and len(set(v)) >= 8 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+            if len(owners[v]) == 1 == len(places[v]) and len(texts[v]) <= 5 and len(v) >= 12 and len(set(v)) >= 8 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
         ]
         expected.append((r.doc_id, base, sorted(base + sorted(set(live)))))
     made = secret_scan.scan_secrets(docs)
@@ -69,6 +72,24 @@ def test_ownership_separates_copies(spark):
     assert got[hashlib.sha256(b"Zq8xT31mmWn04").digest()] == (1, True)
 
 
+def test_copies_of_one_owner_are_no_secret(spark):
+    """An example in many texts of one source, or in two repositories of it, is copied; one in a few texts is not."""
+    rows = [(i, f"text {i} password=Zq8xT31mmWn04") for i in range(6)] + [(10 + i, f"text {i} token=aB3dE5fG7hJ9") for i in range(5)]
+    rows += [(20, "secret=Xy7Zw5Vu3Ts1"), (21, "secret=Xy7Zw5Vu3Ts1")]
+    docs = docs_of(spark, rows).withColumn("source", F.lit("one")).withColumn("lang", F.when(F.col("doc_id") == 21, "de").otherwise("en"))
+    made = secret_scan.scan_secrets(docs).collect()
+    assert sorted(r.doc_id for r in made if any(s.kind == 3 for s in r.spans)) == [10, 11, 12, 13, 14]
+
+
+def test_secrets_in_a_long_text(spark):
+    """100,000 matches in one text, in time that grows with their number."""
+    text = "".join(f"é {i:024x}{' password=abc%05dxyz' % i if i % 10 == 0 else ''}\n" for i in range(100_000))
+    began = time.time()
+    (r,) = secret_scan.scan_secrets(docs_of(spark, [(1, text)], parts=1)).select("base").collect()
+    assert time.time() - began < 60
+    assert [tuple(s) for s in r.base] == secrets_plain(text)
+
+
 PRIVATE = [
     "a.b@c.de x@y a@b@c.com_x@y.zz mail: é.joe@site.example.org. @handle1 joe [at] site [dot] com",
     "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.004 1.2.3 v10.0.0.1",
@@ -155,7 +176,7 @@ def benchmark_cases():
     return rows, items
 
 
-@pytest.mark.parametrize("limit", [decontaminate.MAX_WINDOWS, 90])
+@pytest.mark.parametrize("limit", [decontaminate.MAX_WINDOWS, 90, 27])  # some items are longer than the last
 def test_contamination(spark, limit):
     rows, items = benchmark_cases()
     bench = spark.createDataFrame(items, "item_id long, text string")
