@@ -142,4 +142,4 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.extract(table(spark, sf_dir, "pages"))
+    return main_text.extract(table(spark, sf_dir, "pages")).drop("n_boilerplate")  # SQL has no twin of it
