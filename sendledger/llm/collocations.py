@@ -7,14 +7,16 @@ before (or behind) its places gives all its extensions by one word to the left (
 counts and both new intervals, so phrases are listed length by length and nothing is hashed or looked
 up. Shard counts are summed by Spark.
 
-Three passes over the texts keep the listing short. The first counts words. The second cuts
-the texts at words that are too rare for any phrase and counts pairs; the third cuts them
-also between words that are too rare a pair, and lists the phrases. The cuts are decided by bitmaps of
-fixed size (``filter_bits``) over hashes of the words and pairs that are common enough: a bitmap may
-let rare ones through, which costs work but no row, as every count is checked at the end.
+Passes over the texts, one for each length, keep the listing short. The first counts words. The next one cuts
+the texts at words that are too rare for any phrase and counts pairs; those after it cut them
+also between words that are too rare a pair, count the phrases of one word more, and let only
+those grow whose triples are common. The common words, pairs and triples are known by bitmaps of
+fixed size (``filter_bits``) over their hashes: a bitmap may
+let rare ones through, which costs work but no row, as every count is checked. A phrase travels as the
+64-bit hashes of its words; the words themselves join the common phrases at the end.
 
 Parameters: ``min_count``, ``longest`` words, ``share`` percent, ``top`` phrases a language, ``filter_bits``
-(2**26, 8 MB in a worker).
+(2**26, three bitmaps of 8 MB in a worker).
 
 Defined results: a null text is empty, a null language is ``und``. Texts without words add nothing. Repeated
 rows count as often as they occur; doc_id is not read. Equal scores go by count, then by phrase in byte
@@ -36,7 +38,7 @@ from pyspark.sql.window import Window
 
 from sendledger.llm.common import stored
 
-_SHARD = 8_000_000  # bytes of text of a shard
+_SHARD = 6_000_000  # bytes of text of a shard
 _WAITING = 24_000_000  # bytes of texts of all languages that wait for their shard to fill
 FILTER_BITS = 2**26
 _BITMAP = 32768  # bits of a row of a bitmap under way
@@ -68,9 +70,26 @@ class Shard:
         return np.array([xxhash.xxh64_intdigest(w, seed) for w in self.names], np.uint64)
 
 
-def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    h = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(29))
+# The constants of xxHash64.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+)
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint64(bits) | h >> np.uint64(64 - bits)
+
+
+def phrase_hash(words: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` over the columns of a table of word hashes."""
+    h = np.full(len(words), 42, np.uint64)
+    for word in words.T:
+        h = h + _P5 + np.uint64(8) ^ _turned(word * _P2, 31) * _P1
+        h = _turned(h, 27) * _P1 + _P4
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def _inside(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -128,10 +147,13 @@ class Transform:
         return phrase, symbol, self.begin[symbol] + self.before(symbol, low[phrase]), other[phrase] + smaller, times
 
 
-def phrases(text: np.ndarray, symbols: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def phrases(
+    text: np.ndarray, symbols: int, longest: int, common: Callable[[np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The phrases of 2 to ``longest`` words of a text, as rows of word numbers with their counts, length by length.
 
-    They grow to the right and to the left in turn.
+    They grow to the right and to the left in turn. Given ``common``, which judges rows of three words, phrases
+    with a triple that is not are left out.
     """
     if not len(text):
         return
@@ -147,6 +169,9 @@ def phrases(text: np.ndarray, symbols: int, longest: int) -> Iterator[tuple[np.n
         else:
             phrase, symbol, mirror, low, size = backward.extended(mirror, low, size)
             rows = np.concatenate((rows[phrase], symbol[:, None]), axis=1)
+        if common and length > 2:  # the other triples were judged before
+            kept = common(rows[:, :3] if length % 2 else rows[:, -3:])
+            low, mirror, size, rows = low[kept], mirror[kept], size[kept], rows[kept]
         yield rows, size
 
 
@@ -203,40 +228,56 @@ def _common_words(shard: Shard, common: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cut(shard.text, holds[:-1] & holds[1:]), hashes
 
 
-def _pairs(docs: DataFrame, common, min_count: int) -> DataFrame:
-    """(hash): the pairs of words that occur often enough, and perhaps a few others."""
+def _common_pairs(shard: Shard, common: np.ndarray, paired: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's text cut at rare words and between rare pairs, and the hashes of its words."""
+    text, hashes = _common_words(shard, common)
+    own = hashes[text]
+    linked = (text[:-1] > 0) & (text[1:] > 0)
+    linked &= _inside(paired, phrase_hash(np.stack((own[:-1], own[1:]), axis=1)))
+    return cut(text, linked), hashes
 
-    def each(shard: Shard) -> Iterator[pa.RecordBatch]:
-        text, hashes = _common_words(shard, common.value)
-        for rows, size in phrases(text, len(shard.names), 2):
-            found = _pair_hash(hashes[rows[:, 0]], hashes[rows[:, 1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(size)], ["hash", "f"])
 
-    counted = _over_shards(docs, each, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
-    return counted.where(F.col("f") >= min_count).select("hash")
+def _words(length: int) -> list[str]:
+    return [f"w{i}" for i in range(1, length + 1)]
 
 
-def _phrase_counts(docs: DataFrame, common, paired, min_count: int, longest: int) -> DataFrame:
-    """(lang, phrase, size, f): the phrases of 2 to ``longest`` words that occur often enough."""
+def phrase_counts(docs: DataFrame, known: tuple, min_count: int, length: int) -> DataFrame:
+    """(w1, w2, .., f): the phrases of ``length`` words that occur often enough, by the hashes of their words.
+
+    ``known`` holds the bitmaps of common words, and for longer phrases of pairs and triples.
+    """
 
     def each(shard: Shard) -> Iterator[pa.RecordBatch]:
-        text, hashes = _common_words(shard, common.value)
-        own = hashes[text]
-        linked = (text[:-1] > 0) & (text[1:] > 0)
-        linked &= _inside(paired.value, _pair_hash(own[:-1], own[1:]))
-        names = pa.array(shard.names, pa.binary()).cast(pa.string())
-        for rows, size in phrases(cut(text, linked), len(shard.names), longest):
-            for first in range(0, len(rows), 100_000):
-                some = rows[first : first + 100_000]
-                joined = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in some.T], " ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.lang] * len(some)), joined, pa.array(np.full(len(some), some.shape[1], np.int32)),
-                     pa.array(size[first : first + 100_000])],
-                    ["lang", "phrase", "size", "f"],
-                )
-
-    counted = _over_shards(docs, each, "lang string, phrase string, size int, f long")
-    return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+        maps = [k.value for k in known]
+        text, hashes = (_common_words if length == 2 else _common_pairs)(shard, *maps[: 1 if length == 2 else 2])
+        common = (lambda rows: _inside(maps[2], phrase_hash(hashes[rows]))) if length > 3 else None
+        for rows, size in phrases(text, len(shard.names), length, common):
+            if rows.shape[1] == length:
+                columns = [pa.array(hashes[w].view(np.int64)) for w in rows.T]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size)], [*names, "f"])
+
+    names = _words(length)
+    counted = _over_shards(docs, each, ", ".join(f"{n} long" for n in [*names, "f"]))
+    return counted.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+
+
+def _spelled(found: list[DataFrame], words: DataFrame) -> DataFrame:
+    """(lang, phrase, size, f): phrases with their words in place of the hashes. A common word is met in several tasks."""
+    every = None
+    for rows in found:
+        own = F.array(*[c for c in rows.columns if c != "f"]).alias("ws")
+        rows = rows.select(own, "f")
+        every = rows if every is None else every.unionByName(rows)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    known = words.select("lang", F.col("phrase").alias("word"), F.xxhash64("lang", "phrase").alias("w"), salts)
+    each = every.select("ws", "f", F.posexplode("ws").alias("pos", "w"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("ws"), F.lit(_SALTS)).cast("int"))
+    made = each.join(known, ["w", "salt"]).groupBy("ws", "f").agg(
+        F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("spelled")
+    )
+    return made.select(
+        "lang", F.array_join(F.transform("spelled", lambda s: s["word"]), " ").alias("phrase"), F.size("ws").alias("size"), "f"
+    )
 
 
 def _salted_join(rows: DataFrame, counts: DataFrame, part: str, named: str) -> DataFrame:
@@ -264,9 +305,14 @@ def collocations(
     words = stored(word_counts(docs).where((F.col("f") >= min_count) | F.col("phrase").isNull()))
     totals = words.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     words = words.where("phrase IS NOT NULL")
-    common = context.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").alias("hash")), filter_bits))
-    paired = context.broadcast(_bitmap(_pairs(docs, common, min_count), filter_bits))
-    found = stored(_phrase_counts(docs, common, paired, min_count, longest))
+    known = (context.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").alias("hash")), filter_bits)),)
+    lists = []
+    for length in range(2, longest + 1):
+        lists.append(stored(phrase_counts(docs, known, min_count, length)))
+        if length < min(4, longest):
+            hashes = lists[-1].select(F.xxhash64(*_words(length)).alias("hash"))
+            known += (context.broadcast(_bitmap(hashes, filter_bits)),)
+    found = stored(_spelled(lists, words))
     counts = words.select("lang", "phrase", "f").unionByName(found.select("lang", "phrase", "f"))
     k = F.explode(F.expr("sequence(1, size - 1)")).alias("k")
     cuts = found.select("lang", "phrase", "size", F.col("f").alias("a"), k).select(

@@ -95,11 +95,14 @@ def test_phrases_are_intervals_of_both_transforms():
 
 
 def test_words_hash_as_in_spark(spark):
-    """The bitmap of words is made by Spark and read in the shards."""
+    """The bitmaps are made by Spark and read in the shards."""
     shard = collocations.Shard("de", ["Straße und Ärger, 日本 und x"])
     rows = spark.createDataFrame([("de", w.decode()) for w in shard.names[1:]], "lang string, phrase string")
     made = [r.hash % 2**64 for r in rows.select(F.xxhash64("lang", "phrase").alias("hash")).collect()]
     assert made == shard.hashes()[1:].tolist()
+    three = np.stack([shard.hashes()[1:][[0, 1, 2]], shard.hashes()[1:][[2, 0, 1]]])
+    rows = spark.createDataFrame([tuple(r) for r in three.view(np.int64).tolist()], "a long, b long, c long")
+    assert [r[0] % 2**64 for r in rows.select(F.xxhash64("a", "b", "c")).collect()] == collocations.phrase_hash(three).tolist()
 
 
 def search_plain(docs, items, k):
@@ -199,7 +202,7 @@ SHAPES = [
 def test_labelled_pages(spark):
     rows = [(i, f"http://h{i}.example.com/x", html) for i, (html, _) in enumerate(SHAPES)] + [(77, None, SHAPES[0][0])] * 2
     found = main_text.extract(pages_of(spark, rows))
-    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert found.columns == ["page_id", "url", "text", "n_chars", "n_boilerplate"]
     texts = sorted((r.page_id, r.text, r.n_chars) for r in found.collect())
     expected = [(i, text) for i, (_, text) in enumerate(SHAPES)] + [(77, SHAPES[0][1])] * 2
     assert texts == sorted((i, t, len(t)) for i, t in expected)
@@ -260,3 +263,15 @@ def test_repeated_substrings_are_boilerplate(spark, shard_tokens):
     large = [texts[i] for i, url, _ in rows if "big" in url]
     assert any("notice" in p for _, _, p in rows) and not any("notice" in t or "menu" in t for t in large)
     assert all(texts[200 + i] == texts[1] != "" for i in range(5))
+
+
+def test_menus_of_articles_are_found_by_repetition(spark):
+    """The repeated blocks outside the article are counted; the article keeps a passage that all pages share."""
+    menu, passage = "<nav><ul><li>home</li><li>about us and more</li><li>contact the authors</li></ul></nav>", "a passage that every one of these articles holds"
+    rows = [(i, "https://a.example.com/", f"{menu}<article><p>text {i}</p><p>{passage}</p></article>") for i in range(4)]
+    found = main_text.extract(pages_of(spark, rows + [(9, "https://b.example.com/", rows[0][2])]), min_pages=1).collect()
+    assert {(r.page_id, r.text, r.n_boilerplate) for r in found} == {
+        *[(i, f"text {i}\n{passage}", 3) for i in range(4)], (9, f"text 0\n{passage}", 3),
+    }
+    found = main_text.extract(pages_of(spark, rows), min_pages=2).collect()
+    assert {r.n_boilerplate for r in found} == {0}  # the four streams are the same
