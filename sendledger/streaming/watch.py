@@ -70,7 +70,7 @@ def running_counts(stream: DataFrame) -> DataFrame:
     return stream.where("source IS NOT NULL").groupBy("source").agg(*counters())
 
 
-COUNT_BUCKETS = 256
+COUNT_BUCKETS = 64
 
 
 def keep_counts(counted: DataFrame, path: str, checkpoint: str, buckets: int = COUNT_BUCKETS) -> StreamingQuery:
