@@ -3,7 +3,8 @@
 Each dimension is reduced to one row per key first. No broadcast hint is given:
 Spark broadcasts a dimension whose size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and merges, with
-skewed keys split by adaptive execution.
+skewed keys split by adaptive execution. A dimension that Spark takes for larger than that is
+settled first (``sized``), as a few groups may have been made from a large table.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sendledger.functions.text import name_key, same_text
-from sendledger.session import in_one_task
+from sendledger.session import in_one_task, sized
 
 
 def number_series(mobile: Column) -> Column:
@@ -20,7 +21,7 @@ def number_series(mobile: Column) -> Column:
 
 
 def one_circle(region: DataFrame) -> DataFrame:
-    return in_one_task(region).groupBy("series").agg(F.min("circle").alias("new_circle"))
+    return sized(in_one_task(region).groupBy("series").agg(F.min("circle").alias("new_circle")))
 
 
 def with_circle(df: DataFrame, region: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def with_circle(df: DataFrame, region: DataFrame) -> DataFrame:
 
 def one_error_text(codes: DataFrame) -> DataFrame:
     """One status and cause per code, the smallest pair."""
-    return (
+    return sized(
         in_one_task(codes)
         .groupBy(F.lower("code").alias("code_key"))
         .agg(F.min(F.struct("status", "cause")).alias("text"))
@@ -74,7 +75,7 @@ def mapping_key(
     Without a mapping the name itself with blanks as underscores is used, or
     NULL if ``fallback`` is off.
     """
-    dim = (
+    dim = sized(
         in_one_task(mapping)
         .groupBy(F.lower(on).alias("lookup"))
         .agg(F.min_by(value, "id").alias("found"))

@@ -21,7 +21,7 @@ from sendledger.functions.predicates import is_dnd
 from sendledger.functions.text import nth_field
 from sendledger.operators.enrich import mapping_key, with_circle, with_error_text
 from sendledger.operators.existence import known_keys, same_messages, unseen
-from sendledger.session import in_one_task, scratch, settle
+from sendledger.session import in_one_task, scratch, settle, sized
 from sendledger.sources.commits import Commits, Entry
 from sendledger.sources.reports import NOT_GIVEN
 from sendledger.sources.store import grouped, month_text
@@ -83,6 +83,7 @@ def route(
     rows = staged.withColumn("submit_date", day_of(F.col("submit_time")))
     rows = rows.withColumn("month", F.lit(month) if month else month_of(F.col("submit_time")))
     rows = rows.withColumn("route_sender", F.lit(sender) if sender else F.col("sender"))
+    mapping = sized(mapping)  # both keys are looked up in it
     by_sender = mapping.select("id", F.col("sender").alias("route_sender"), "mapping")
     rows = mapping_key(rows, by_sender, "route_sender", "mapping").drop("route_sender")
     return mapping_key(rows, mapping, "client", "log_mapping", out="done_key")

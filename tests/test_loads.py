@@ -525,3 +525,23 @@ def test_hot_source_needs_no_shuffle_of_rows(spark, tmp_path, mapping, region):
     known = settle(existence.known_keys(rows, rows.where("source = 'cold'"), ["source"]))
     plan = existence.unseen(rows, known, ["source"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("BroadcastHashJoin")[0]
+
+
+def test_few_groups_of_a_large_table_need_no_shuffle_of_rows(spark):
+    # An aggregate's estimated size is that of what it reads, here 32 MB and more.
+    large = spark.range(4_000_000).select((F.col("id") % 3).alias("k"), "id")
+    groups = large.groupBy("k").agg(F.min("id").alias("id"))
+    name = F.concat(F.lit("S"), F.col("k"))
+    mapping = groups.select("id", name.alias("sender"), F.concat(F.lit("m"), F.col("k")).alias("mapping"))
+    rows = spark.range(8).select("id", F.concat(F.lit("s"), F.col("id") % 4).alias("sender"))
+    keyed = enrich.mapping_key(rows, mapping, "sender", "mapping")
+    codes = groups.select(name.alias("code"), F.lit("sent").alias("status"), F.concat(F.lit("c"), F.col("k")).alias("cause"))
+    told = enrich.with_error_text(rows.select("id", F.col("sender").alias("status"), F.lit("").alias("cause")), codes)
+    for found in (keyed, told):
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in keyed.collect()) == [
+        (i, f"s{i % 4}", f"m{i % 4}" if i % 4 < 3 else "s3") for i in range(8)
+    ]
+    assert sorted(tuple(r) for r in told.collect()) == [
+        (i, "sent", f"c{i % 4}") if i % 4 < 3 else (i, "s3", "") for i in range(8)
+    ]
