@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sendledger.operators.reports import campaign_summary
 from sendledger.plans.ingest import DND, DONE, LOG, PROMO, Store, ingest, ingest_cdr, ingest_numbers
 from sendledger.schemas import FEEDS, STAGED_COLUMNS
-from sendledger.session import work_folder
+from sendledger.session import settle, work_folder
 from sendledger.sources.feeds import read_feed, read_templates
 from sendledger.sources.reports import read_delivery_reports, read_number_list
 from sendledger.sources.store import read_cdr, write_cdr
@@ -179,6 +179,7 @@ def _loaded_twice(t: Inputs) -> Store:
     """The reports loaded, then sent again: the second load adds nothing."""
     store = Store(t.spark, work_folder(t.spark))
     rows, _rejected = read_delivery_reports(t.spark, _write_reports(t), FIXED)
+    rows = settle(rows)  # parsed once for both loads
     for _ in range(2):
         ingest(rows, store, t.product_mapping, t.region_all)
     return store

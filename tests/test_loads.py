@@ -24,7 +24,9 @@ from sendledger.sources import store as S
 from sendledger.sources.commits import Commits
 from sendledger.sources.reports import read_delivery_reports
 from sendledger.streaming.watch import hourly_counts, running_counts, stream_table, watch_reports
+from sendledger.workload import files
 from sendledger.workload.fixtures import frame
+from sendledger.workload.registry import Inputs
 from test_sources import CAMPAIGN, HEADER, put
 
 SF = "/root/testdata/sf0.001"
@@ -545,3 +547,18 @@ def test_few_groups_of_a_large_table_need_no_shuffle_of_rows(spark):
     assert sorted(tuple(r) for r in told.collect()) == [
         (i, "sent", f"c{i % 4}") if i % 4 < 3 else (i, "s3", "") for i in range(8)
     ]
+
+
+def test_reports_sent_twice_are_parsed_once(spark, tmp_path, monkeypatch):
+    events = spark.range(20).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-05 10:00:00").cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 5).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2).select(F.col("id").alias("n_nationkey"), F.lit("North").alias("n_name")).write.parquet(f"{tmp_path}/nation.parquet")
+    given = []
+    monkeypatch.setattr(files, "ingest", lambda rows, *rest: given.append(rows))
+    files._loaded_twice(Inputs(spark, str(tmp_path)))
+    assert [rows.count() for rows in given] == [20, 20]
+    for rows in given:
+        assert "csv" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
