@@ -178,3 +178,12 @@ def test_single_bound_means_that_day(spark):
     assert on_days(df, "d", start="2024-01-02").count() == 1
     assert on_days(df, "d", end="2024-01-02").count() == 1
     assert on_days(df, "d").count() == 5
+
+
+def test_empty_dates_are_not_parsed(spark):
+    cells = spark.createDataFrame([("",), (None,), (" ",), ("2/3/2024",), ("2/3/24",), ("no day",)], "c string")
+    found = cells.select("c", D.try_date(F.col("c"), *D.US_DAY).alias("day"))
+    assert "gettimestamp(c" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r["c"]: str(r["day"]) for r in found.collect()} == {
+        "": "None", None: "None", " ": "None", "2/3/2024": "2024-02-03", "2/3/24": "2024-02-03", "no day": "None",
+    }
