@@ -7,11 +7,11 @@ before (or behind) its places gives all its extensions by one word to the left (
 counts and both new intervals, so phrases are listed length by length and nothing is hashed or looked
 up. Shard counts are summed by Spark.
 
-Passes over the texts, one for each length, keep the listing short. The first counts words. The next one cuts
-the texts at words that are too rare for any phrase and counts pairs; those after it cut them
-also between words that are too rare a pair, count the phrases of one word more, and let only
-those grow whose triples are common. The common words, pairs and triples are known by bitmaps of
-fixed size (``filter_bits``) over their hashes: a bitmap may
+Passes over the texts keep the listing short. The first counts words. The next one cuts
+the texts at words that are too rare for any phrase and counts pairs. The one after it cuts them
+also between words that are too rare a pair and counts phrases of three and four words, which a shard lists once each.
+Longer phrases are counted by two lengths a pass, and only those grow whose triples are common. The common words, pairs
+and triples are known by bitmaps of fixed size (``filter_bits``) over their hashes: a bitmap may
 let rare ones through, which costs work but no row, as every count is checked. A phrase travels as the
 64-bit hashes of its words; the words themselves join the common phrases at the end.
 
@@ -241,22 +241,29 @@ def _words(length: int) -> list[str]:
     return [f"w{i}" for i in range(1, length + 1)]
 
 
-def phrase_counts(docs: DataFrame, known: tuple, min_count: int, length: int) -> DataFrame:
-    """(w1, w2, .., f): the phrases of ``length`` words that occur often enough, by the hashes of their words.
+def passes(longest: int) -> list[range]:
+    """The lengths of phrases that each pass over the texts counts: pairs, then two lengths at a time."""
+    return [range(2, 3)] + [range(first, min(first + 1, longest) + 1) for first in range(3, longest + 1, 2)]
 
-    ``known`` holds the bitmaps of common words, and for longer phrases of pairs and triples.
+
+def phrase_counts(docs: DataFrame, known: tuple, min_count: int, lengths: range) -> DataFrame:
+    """(w1, w2, .., f): the phrases of these lengths that occur often enough, by the hashes of their words.
+
+    Shorter ones end with nulls. ``known`` holds the bitmaps of common words, for three words and more of pairs, and
+    for five and more of triples.
     """
 
     def each(shard: Shard) -> Iterator[pa.RecordBatch]:
         maps = [k.value for k in known]
-        text, hashes = (_common_words if length == 2 else _common_pairs)(shard, *maps[: 1 if length == 2 else 2])
-        common = (lambda rows: _inside(maps[2], phrase_hash(hashes[rows]))) if length > 3 else None
-        for rows, size in phrases(text, len(shard.names), length, common):
-            if rows.shape[1] == length:
+        text, hashes = (_common_words if lengths[0] == 2 else _common_pairs)(shard, *maps[:2])
+        common = (lambda rows: _inside(maps[2], phrase_hash(hashes[rows]))) if lengths[0] > 3 else None
+        for rows, size in phrases(text, len(shard.names), lengths[-1], common):
+            if rows.shape[1] in lengths:
                 columns = [pa.array(hashes[w].view(np.int64)) for w in rows.T]
+                columns += [pa.nulls(len(rows), pa.int64())] * (len(names) - len(columns))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(size)], [*names, "f"])
 
-    names = _words(length)
+    names = _words(lengths[-1])
     counted = _over_shards(docs, each, ", ".join(f"{n} long" for n in [*names, "f"]))
     return counted.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
 
@@ -265,7 +272,7 @@ def _spelled(found: list[DataFrame], words: DataFrame) -> DataFrame:
     """(lang, phrase, size, f): phrases with their words in place of the hashes. A common word is met in several tasks."""
     every = None
     for rows in found:
-        own = F.array(*[c for c in rows.columns if c != "f"]).alias("ws")
+        own = F.array_compact(F.array(*[c for c in rows.columns if c != "f"])).alias("ws")
         rows = rows.select(own, "f")
         every = rows if every is None else every.unionByName(rows)
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
@@ -307,11 +314,12 @@ def collocations(
     words = words.where("phrase IS NOT NULL")
     known = (context.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").alias("hash")), filter_bits)),)
     lists = []
-    for length in range(2, longest + 1):
-        lists.append(stored(phrase_counts(docs, known, min_count, length)))
-        if length < min(4, longest):
-            hashes = lists[-1].select(F.xxhash64(*_words(length)).alias("hash"))
-            known += (context.broadcast(_bitmap(hashes, filter_bits)),)
+    for lengths in passes(longest):
+        lists.append(stored(phrase_counts(docs, known, min_count, lengths)))
+        if lengths[0] < 4 and lengths[-1] < longest:  # longer ones are told by their pairs and triples
+            own = _words(lengths[0])
+            hashes = lists[-1].where(F.col(_words(lengths[-1])[-1]).isNull()) if len(lengths) > 1 else lists[-1]
+            known += (context.broadcast(_bitmap(hashes.select(F.xxhash64(*own).alias("hash")), filter_bits)),)
     found = stored(_spelled(lists, words))
     counts = words.select("lang", "phrase", "f").unionByName(found.select("lang", "phrase", "f"))
     k = F.explode(F.expr("sequence(1, size - 1)")).alias("k")

@@ -77,6 +77,17 @@ def test_collocations_with_a_full_bitmap(spark):
     assert sorted(map(tuple, found.collect())) == collocations_plain(plain, 4, 4, 80, 2000)
 
 
+def test_three_and_four_words_are_counted_in_one_pass(spark, monkeypatch):
+    """The texts are read for words, pairs, and triples with what is one word longer; two more lengths take one pass more."""
+    docs, read, over_shards = docs_of(spark, phrasey(4, 40)), [], collocations._over_shards
+    monkeypatch.setattr(collocations, "_over_shards", lambda docs, each, schema: read.append(schema) or over_shards(docs, each, schema))
+    plain = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
+    for longest, passes in ((2, 2), (3, 3), (4, 3), (6, 4)):
+        read.clear()
+        assert mined(docs, min_count=4, longest=longest) == collocations_plain(plain, 4, longest, 80, 2000) != []
+        assert len(read) == passes
+
+
 def test_collocations_of_nothing(spark):
     assert mined(docs_of(spark, [])) == []
     assert mined(docs_of(spark, [(1, None), (2, " ,. ")])) == []
