@@ -286,3 +286,33 @@ def test_menus_of_articles_are_found_by_repetition(spark):
     }
     found = main_text.extract(pages_of(spark, rows), min_pages=2).collect()
     assert {r.n_boilerplate for r in found} == {0}  # the four streams are the same
+
+
+def test_pages_with_articles_tell_what_their_host_repeats(spark):
+    """Pages that differ in their articles alone are different pages; what they repeat goes from a page without a label."""
+    menu = ["home", "about us and more", "contact the authors"]
+    nav = f"<nav><ul>{''.join(f'<li>{m}</li>' for m in menu)}</ul></nav>"
+    bare = "".join(f"<div>{m}</div>" for m in menu)
+    rows = []
+    for host, urls, texts in (("a", "wxyz", "1234"), ("copies", "wxyz", "1111"), ("once", "wwww", "1234"), ("few", "w", "1")):
+        rows += [(len(rows) + i, f"https://{host}.example.com/{u}", f"{nav}<article><p>text {t}</p></article>") for i, (u, t) in enumerate(zip(urls, texts))]
+        rows.append((len(rows) + 100, f"https://{host}.example.com/bare", f"{bare}<p>words of its own</p>"))
+    rows += [(300 + i, None, f"{nav}<article><p>text {i}</p></article>") for i in range(4)] + [(400, None, f"{bare}<p>words of its own</p>")]
+    found = main_text.extract(pages_of(spark, rows)).collect()
+    texts = {r.url or "null": r.text for r in found if r.page_id >= 100 and "text" not in r.text}
+    whole = "\n".join([*menu, "words of its own"])
+    assert texts == {
+        "https://a.example.com/bare": "words of its own", "null": "words of its own",
+        **{f"https://{host}.example.com/bare": whole for host in ("copies", "once", "few")},
+    }
+    assert all(r.n_boilerplate == (3 if r.url is None or "//a." in r.url else 0) for r in found)
+    assert sorted(r.text for r in found if r.page_id < 100 and "//a." in r.url) == [f"text {i}" for i in range(1, 5)]
+
+
+def test_main_text_around_an_article_is_judged(spark):
+    """Blocks of a weaker label than the article's are in the stream too."""
+    notice = "please read our notice on how we use your data here"
+    rows = [(i, f"https://a.example.com/{i}", f"<main><p>{notice}</p><article><p>text {i}</p></article></main>") for i in range(3)]
+    rows.append((9, "https://a.example.com/9", f"<p>{notice}</p><p>words of its own</p>"))
+    found = {r.page_id: (r.text, r.n_boilerplate) for r in main_text.extract(pages_of(spark, rows)).collect()}
+    assert found == {**{i: (f"text {i}", 1) for i in range(3)}, 9: ("words of its own", 1)}
