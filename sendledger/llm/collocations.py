@@ -276,7 +276,7 @@ def _spelled(found: list[DataFrame], words: DataFrame) -> DataFrame:
         rows = rows.select(own, "f")
         every = rows if every is None else every.unionByName(rows)
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    known = words.select("lang", F.col("phrase").alias("word"), F.xxhash64("lang", "phrase").alias("w"), salts)
+    known = words.select("lang", F.col("phrase").alias("word"), F.xxhash64("lang", "phrase").alias("w"), salts).hint("merge")
     each = every.select("ws", "f", F.posexplode("ws").alias("pos", "w"))
     each = each.withColumn("salt", F.pmod(F.xxhash64("ws"), F.lit(_SALTS)).cast("int"))
     made = each.join(known, ["w", "salt"]).groupBy("ws", "f").agg(
@@ -288,9 +288,13 @@ def _spelled(found: list[DataFrame], words: DataFrame) -> DataFrame:
 
 
 def _salted_join(rows: DataFrame, counts: DataFrame, part: str, named: str) -> DataFrame:
-    """Adds the count of ``part`` as ``named``. A part that many phrases hold is met in several tasks."""
+    """Adds the count of ``part`` as ``named``. A part that many phrases hold is met in several tasks.
+
+    The counts grow with the texts and are never broadcast: Spark goes by the size of their files, which are
+    compressed and hold each row once for all salts.
+    """
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    known = counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(named), salts)
+    known = counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(named), salts).hint("merge")
     return rows.join(known, ["lang", part, "salt"])
 
 
@@ -339,7 +343,7 @@ def collocations(
     ).select("lang", "f", "ws", "words", F.explode(F.expr("sequence(1, size(ws) - words + 1)")).alias("at"))
     longer = parts.groupBy("lang", F.expr("array_join(slice(ws, at, words), ' ')").alias("phrase")).agg(F.max("f").alias("longer"))
     hidden = F.coalesce(_wide("longer") * 100 >= _wide("a") * share, F.lit(False))
-    kept = weakest.join(longer, ["lang", "phrase"], "left").where(~hidden)
+    kept = weakest.join(longer.hint("merge"), ["lang", "phrase"], "left").where(~hidden)
     order = [F.desc("w.score"), F.desc("a"), F.asc("phrase")]
     some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(_RANKS))).orderBy(*order)
     kept = kept.withColumn("place", F.row_number().over(some)).where(F.col("place") <= top)

@@ -88,6 +88,22 @@ def test_three_and_four_words_are_counted_in_one_pass(spark, monkeypatch):
         assert len(read) == passes
 
 
+def test_counts_of_phrases_are_not_broadcast(spark):
+    """Their files look small, as they are compressed and hold each row once for all salts."""
+    docs = docs_of(spark, phrasey(4, 40))
+    words = collocations.stored(collocations.word_counts(docs))
+    pairs = words.select(F.array(F.xxhash64("lang", "phrase")).alias("ws"), "f")
+    pairs = collocations.stored(pairs.select(F.col("ws")[0].alias("w1"), F.col("ws")[0].alias("w2"), "f"))
+    plans = [
+        collocations._spelled([pairs], words),
+        collocations._salted_join(words.select("lang", F.col("phrase").alias("first"), F.lit(0).alias("salt")), words, "first", "l"),
+        collocations.collocations(docs, min_count=4, filter_bits=2**20),
+    ]
+    joins = [re.findall("SortMergeJoin|BroadcastHashJoin", p._jdf.queryExecution().executedPlan().toString()) for p in plans]
+    assert joins[0] == joins[1] == ["SortMergeJoin"]
+    assert joins[2].count("SortMergeJoin") == 3 and joins[2].count("BroadcastHashJoin") <= 1  # the totals, a row a language
+
+
 def test_collocations_of_nothing(spark):
     assert mined(docs_of(spark, [])) == []
     assert mined(docs_of(spark, [(1, None), (2, " ,. ")])) == []
