@@ -499,6 +499,32 @@ def test_feed_c_load_appends(spark, tmp_path):
     assert (r["campaign_type"], str(r["formatted_date"])) == ("SMS", "2025-04-05")
 
 
+@pytest.mark.parametrize("feed, kind", [("C", "leads"), ("A", "leads")])
+def test_stored_keys_are_broadcast_by_their_size_in_memory(spark, tmp_path, feed, kind):
+    """A key of a wide sheet takes a small share of its files, however many rows there are."""
+    names, key = C.FEEDS[(feed, kind)], {"C": "offer_id", "A": "phone"}[feed]
+
+    def joins(n):
+        rows = spark.range(n).select([(F.col("id") if c == key else F.lit("")).cast("string").alias(c) for c in names])
+        rows.coalesce(1).write.parquet(str(tmp_path / str(n)))
+        stored = spark.read.parquet(str(tmp_path / str(n)))
+        if feed == "C":
+            found = append_feed(rows.limit(3), stored, key)
+        else:
+            found = first_per_phone(rows.limit(3).withColumn("place", F.lit(1)), stored, ["place"])
+        assert found.count() == 0
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        return "strategy=merge" in plan
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "400k")
+    try:
+        assert joins(20_000) and not joins(50)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_mapping_table(spark, tmp_path, mapping):
     path = str(tmp_path / "mapping")
     new = mapping.drop("id")
