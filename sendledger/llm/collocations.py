@@ -36,12 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from sendledger.llm.common import stored
+from sendledger.llm.common import BITMAP_ROW, bitmap, inside, stored
 
 _SHARD = 6_000_000  # bytes of text of a shard
 _WAITING = 24_000_000  # bytes of texts of all languages that wait for their shard to fill
 FILTER_BITS = 2**26
-_BITMAP = 32768  # bits of a row of a bitmap under way
 _SALTS = 8  # parts of the counts of one phrase that many longer ones hold
 _RANKS = 64  # groups of a language that are ranked before they meet
 _BYTES = bytes(
@@ -92,12 +91,6 @@ def phrase_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _inside(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes a bitmap holds."""
-    bit = hashes & np.uint64(8 * len(bitmap) - 1)
-    return bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-
-
 def cut(text: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """The words that are linked to a neighbour, with a 0 behind each that is not linked to the next one.
 
@@ -207,22 +200,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _over_shards(docs, each, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits with one for each ``hash``."""
-    bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    made = hashes.groupBy(F.expr(f"(hash & {bits - 1}L) div {_BITMAP}").alias("row")).agg(
-        F.bitmap_construct_agg((bit % _BITMAP)).alias("bits")
-    )
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in made.collect():  # at most bits / 8 bytes
-        whole[r.row * (_BITMAP // 8) : (r.row + 1) * (_BITMAP // 8)] = np.frombuffer(r.bits, np.uint8)
-    return whole
-
-
 def _common_words(shard: Shard, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shard's text cut at rare words, and the hashes of its words."""
     hashes = shard.hashes()
-    known = _inside(common, hashes)
+    known = inside(common, hashes)
     known[0] = False
     holds = known[shard.text]
     return cut(shard.text, holds[:-1] & holds[1:]), hashes
@@ -233,7 +214,7 @@ def _common_pairs(shard: Shard, common: np.ndarray, paired: np.ndarray) -> tuple
     text, hashes = _common_words(shard, common)
     own = hashes[text]
     linked = (text[:-1] > 0) & (text[1:] > 0)
-    linked &= _inside(paired, phrase_hash(np.stack((own[:-1], own[1:]), axis=1)))
+    linked &= inside(paired, phrase_hash(np.stack((own[:-1], own[1:]), axis=1)))
     return cut(text, linked), hashes
 
 
@@ -256,7 +237,7 @@ def phrase_counts(docs: DataFrame, known: tuple, min_count: int, lengths: range)
     def each(shard: Shard) -> Iterator[pa.RecordBatch]:
         maps = [k.value for k in known]
         text, hashes = (_common_words if lengths[0] == 2 else _common_pairs)(shard, *maps[:2])
-        common = (lambda rows: _inside(maps[2], phrase_hash(hashes[rows]))) if lengths[0] > 3 else None
+        common = (lambda rows: inside(maps[2], phrase_hash(hashes[rows]))) if lengths[0] > 3 else None
         for rows, size in phrases(text, len(shard.names), lengths[-1], common):
             if rows.shape[1] in lengths:
                 columns = [pa.array(hashes[w].view(np.int64)) for w in rows.T]
@@ -310,20 +291,20 @@ def collocations(
     ``a``, ``l`` and ``r`` count the phrase and the parts of its weakest cut, whose score is
     floor(2000000 * a / (l + r)). Phrases inside a longer one with ``share`` percent of their count are left out.
     """
-    if filter_bits < _BITMAP or filter_bits & (filter_bits - 1):
-        raise ValueError(f"filter_bits must be a power of two, {_BITMAP} or more")
+    if filter_bits < BITMAP_ROW or filter_bits & (filter_bits - 1):
+        raise ValueError(f"filter_bits must be a power of two, {BITMAP_ROW} or more")
     context = docs.sparkSession.sparkContext
     words = stored(word_counts(docs).where((F.col("f") >= min_count) | F.col("phrase").isNull()))
     totals = words.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     words = words.where("phrase IS NOT NULL")
-    known = (context.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").alias("hash")), filter_bits)),)
+    known = (context.broadcast(bitmap(words.select(F.xxhash64("lang", "phrase").alias("hash")), filter_bits)),)
     lists = []
     for lengths in passes(longest):
         lists.append(stored(phrase_counts(docs, known, min_count, lengths)))
         if lengths[0] < 4 and lengths[-1] < longest:  # longer ones are told by their pairs and triples
             own = _words(lengths[0])
             hashes = lists[-1].where(F.col(_words(lengths[-1])[-1]).isNull()) if len(lengths) > 1 else lists[-1]
-            known += (context.broadcast(_bitmap(hashes.select(F.xxhash64(*own).alias("hash")), filter_bits)),)
+            known += (context.broadcast(bitmap(hashes.select(F.xxhash64(*own).alias("hash")), filter_bits)),)
     found = stored(_spelled(lists, words))
     counts = words.select("lang", "phrase", "f").unionByName(found.select("lang", "phrase", "f"))
     k = F.explode(F.expr("sequence(1, size - 1)")).alias("k")

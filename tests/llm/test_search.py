@@ -332,3 +332,68 @@ def test_main_text_around_an_article_is_judged(spark):
     rows.append((9, "https://a.example.com/9", f"<p>{notice}</p><p>words of its own</p>"))
     found = {r.page_id: (r.text, r.n_boilerplate) for r in main_text.extract(pages_of(spark, rows)).collect()}
     assert found == {**{i: (f"text {i}", 1) for i in range(3)}, 9: ("words of its own", 1)}
+
+
+@pytest.mark.parametrize("shard_tokens, bits", [(500_000, 2**26), (60, 2**26), (60, 2**15)])
+def test_articles_are_in_the_suffix_array(spark, monkeypatch, shard_tokens, bits):
+    """What the articles of several pages hold is boilerplate on a page without a label; the articles keep it."""
+    monkeypatch.setattr(main_text, "_FILTER_BITS", bits)
+    held = [f"this is passage {k} as it stands on page after page" for k in range(4)]
+    pages = [  # url, passages of the article, passages outside
+        *[(f"a{i}", [0], []) for i in range(2)],  # with the page without a label, on three
+        *[(f"b{i}", [1], []) for i in range(3)], *[("again", [1, 2], [i]) for i in (7, 8, 9)],  # a url that was read three times counts once
+        ("c", [3], [3]),  # twice on one page
+    ]
+    rows = [
+        (i, f"https://h.example.com/{url}", f"<article>{''.join(f'<p>{held[k]}</p>' for k in own)}<p>text {i}</p></article>"
+         + "".join(f"<p>{held[k] if k < 4 else f'note {k}'}</p>" for k in outside))
+        for i, (url, own, outside) in enumerate(pages)
+    ]
+    rows += [(50 + i, "https://h.example.com/copy", rows[0][2]) for i in range(3)]  # copies of a page count once
+    rows.append((99, "https://h.example.com/bare", "".join(f"<div>{p}</div>" for p in held) + "<p>words of its own</p>"))
+    found = {r.page_id: r for r in main_text.extract(pages_of(spark, rows), shard_tokens=shard_tokens).collect()}
+    assert found[99].text == "\n".join([held[2], held[3], "words of its own"]) and found[99].n_boilerplate == 2
+    assert all(found[i].text == "\n".join([*[held[k] for k in own], f"text {i}"]) for i, (_, own, _) in enumerate(pages))
+    assert all(found[50 + i].text == found[0].text for i in range(3)) and {found[i].n_boilerplate for i in range(9)} == {0}
+
+
+@pytest.mark.parametrize("shard_tokens", [500_000, 300])
+def test_substrings_are_counted_over_articles_and_the_rest(spark, shard_tokens):
+    """Pages with and without articles against a plain count of the distinct pages of each run."""
+    rng = random.Random(12)
+    shared = [" ".join(rng.choice("abcdefgh") * 2 + str(rng.randrange(40)) for _ in range(rng.randrange(4, 30))) for _ in range(25)]
+
+    def passages(n):
+        own = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(2, 20))) for _ in range(n)]
+        return [rng.choice(shared) if rng.random() < 0.5 else p for p in own]
+
+    rows = []
+    for i in range(80):
+        rest, article = passages(rng.randrange(0, 4)), passages(rng.randrange(1, 4)) if rng.random() < 0.6 else []
+        html = "".join(f"<p>{p}</p>" for p in rest) + ("<article>" + "".join(f"<p>{p}</p>" for p in article) + "</article>" if article else "")
+        rows.append((i, f"https://{'one' if i % 4 else 'two'}.example.com/{i if rng.random() < 0.8 else 'x'}", html))
+    held, parts = defaultdict(set), {}
+    for i, url, page in rows:
+        parts[i] = main_text.split(main_text.blocks_of(page))
+        for texts in parts[i]:
+            tokens = " ".join(texts).split()
+            size = min(8, len(tokens))
+            for at in range(len(tokens) - size + 1 if size else 0):
+                held[url.split("/")[2], *tokens[at : at + size]].add(url)
+    expected = {}
+    for i, url, _ in rows:
+        rest, article = parts[i]
+        tokens = " ".join(rest).split()
+        size, marks = min(8, len(tokens)), [False] * len(tokens)
+        for at in range(len(tokens) - size + 1 if size else 0):
+            if len(held[url.split("/")[2], *tokens[at : at + size]]) >= 3:
+                marks[at : at + size] = [True] * size
+        kept, at, repeats = [], 0, 0
+        for text in rest:
+            n = len(text.split())
+            boring = 2 * sum(marks[at : at + n]) >= n
+            repeats, at = repeats + boring, at + n
+            kept += [] if boring else [text]
+        expected[i] = ("\n".join(article or kept), repeats)
+    found = {r.page_id: (r.text, r.n_boilerplate) for r in main_text.extract(pages_of(spark, rows), shard_tokens=shard_tokens).collect()}
+    assert found == expected and sum(n for _, n in expected.values()) > 20
